@@ -1,0 +1,84 @@
+"""Versioned storage of the tables a cycle maintains, in plain Parquet.
+
+Each micro-batch writes a new version folder named by its batch id and marks it complete at the end. A
+version is never written while it is read, a batch always builds on the newest complete version before its
+own, and a replayed batch writes the same version again: replays change nothing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from skywake import schemas
+
+TABLES = {
+    "live": schemas.LIVE,
+    "anomaly_hourly": schemas.ANOMALY_HOURLY,
+    "runs": schemas.RUNS,
+    "ghosts": StructType([schemas.STATE["icao24"]]),
+    "alerts": schemas.ALERTS,
+}
+COMPLETE = "_COMPLETE"
+
+
+class CycleState:
+    def __init__(self, spark: SparkSession, root: str, keep_versions: int = 5):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.keep_versions = keep_versions
+
+    def _path(self, text: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(text)
+
+    def _files(self):
+        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _folder(self, version: int) -> str:
+        return f"{self.root}/version={version}"
+
+    def versions(self) -> list[int]:
+        """The complete versions in order."""
+        files, root = self._files(), self._path(self.root)
+        if not files.exists(root):
+            return []
+        names = [entry.getPath().getName() for entry in files.listStatus(root)]
+        numbers = sorted(int(name.split("=")[1]) for name in names if name.startswith("version="))
+        return [n for n in numbers if files.exists(self._path(f"{self._folder(n)}/{COMPLETE}"))]
+
+    def latest(self, before: int | None = None) -> int | None:
+        known = [n for n in self.versions() if before is None or n < before]
+        return known[-1] if known else None
+
+    def read(self, table: str, version: int | None) -> DataFrame:
+        """A table of one version; empty where there is no version yet."""
+        if version is None:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self._folder(version)}/{table}")
+
+    def current(self, table: str) -> DataFrame:
+        return self.read(table, self.latest())
+
+    def write(self, table: str, version: int, rows: DataFrame) -> DataFrame:
+        """Write a table of a version and return it read back, so that later steps do not compute it again."""
+        names = TABLES[table].fieldNames()
+        rows.select(*names).write.mode("overwrite").parquet(f"{self._folder(version)}/{table}")
+        return self.read(table, version)
+
+    def complete(self, version: int) -> None:
+        """Publish a version and drop those long superseded."""
+        self._files().create(self._path(f"{self._folder(version)}/{COMPLETE}"), True).close()
+        for old in self.versions()[: -self.keep_versions]:
+            self._files().delete(self._path(self._folder(old)), True)
+
+    def log_failure(self, run: DataFrame) -> None:
+        """Failed runs are kept apart: their version is written anew when the batch is tried again."""
+        run.select(*schemas.RUNS.fieldNames()).write.mode("append").parquet(f"{self.root}/failures")
+
+    def run_log(self) -> DataFrame:
+        """All runs, failures included."""
+        runs = self.current("runs")
+        failures = f"{self.root}/failures"
+        if not self._files().exists(self._path(failures)):
+            return runs
+        return runs.unionByName(self.spark.read.schema(schemas.RUNS).parquet(failures))
