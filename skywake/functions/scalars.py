@@ -17,8 +17,13 @@ WHITESPACE = (
 
 
 def moment(as_of: Column | datetime) -> Column:
-    """A reference time given as a literal or as a column such as a scalar subquery."""
-    return as_of if isinstance(as_of, Column) else F.lit(as_of)
+    """A reference time given as a column, such as a scalar subquery, or as a datetime.
+
+    A datetime without a zone is a UTC wall-clock time, whatever the zone of the driver.
+    """
+    if isinstance(as_of, Column):
+        return as_of
+    return F.lit(as_of) if as_of.tzinfo else F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def feet(meters: Column) -> Column:

@@ -90,8 +90,15 @@ def history_hourly(history: DataFrame) -> DataFrame:
 def stream_history_hourly(
     history: DataFrame, late: timedelta = K.CYCLE_INTERVAL, relative_error: float = 0.01
 ) -> DataFrame:
-    """The same over a stream, with an approximate count whose state per hour is fixed in size."""
-    flying = airborne_only(history).withWatermark("ingested_at", f"{int(late.total_seconds())} seconds")
-    return flying.groupBy(F.window("ingested_at", "1 hour")).agg(
-        F.approx_count_distinct("icao24", relative_error).alias("aircraft")
-    ).select(F.col("window.start").alias("hs"), "aircraft")
+    """The same over a stream, with an approximate count whose state per hour is fixed in size.
+
+    Event time must be a zoned timestamp; the hours come back in the type of the log.
+    """
+    stored = history.schema["ingested_at"].dataType
+    zoned = airborne_only(history).withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
+    counts = (
+        zoned.withWatermark("ingested_at", f"{int(late.total_seconds())} seconds")
+        .groupBy(F.window("ingested_at", "1 hour"))
+        .agg(F.approx_count_distinct("icao24", relative_error).alias("aircraft"))
+    )
+    return counts.select(F.col("window.start").cast(stored).alias("hs"), "aircraft")

@@ -39,16 +39,17 @@ def upsert_live(
 ) -> DataFrame:
     """Replace whole rows of ``live`` by the rows of ``batch`` with the same address, and add new ones.
 
-    Nulls of the batch overwrite. Of several rows for one address the first in ``newest_first`` wins. The
-    batch gets one ingest time; without one its rows keep theirs, and an older row never replaces a newer.
+    Nulls of the batch overwrite. Of several rows for one address the first in ``newest_first`` wins. With
+    ``ingested_at`` the whole batch gets that ingest time. A row never replaces one ingested later, so a batch
+    may be applied twice. Both steps, choosing within the batch and replacing, share one shuffle.
     """
-    fresh = latest_by_key(batch, ["icao24"], newest_first)
     if ingested_at is not None:
-        fresh = fresh.withColumn("ingested_at", S.moment(ingested_at))
+        batch = batch.withColumn("ingested_at", S.moment(ingested_at))
     both = live.select(*LIVE_COLUMNS, F.lit(0).alias("_new")).unionByName(
-        fresh.select(*LIVE_COLUMNS, F.lit(1).alias("_new"))
+        batch.withColumn("_new", F.lit(1)), allowMissingColumns=True
     )
-    return latest_by_key(both, ["icao24"], [F.desc("ingested_at"), F.desc("_new")]).drop("_new")
+    order = [F.desc("ingested_at"), F.desc("_new"), *newest_first]
+    return latest_by_key(both, ["icao24"], order).select(*LIVE_COLUMNS)
 
 
 def upsert_rows(current: DataFrame, batch: DataFrame, key: str, stamp: str) -> DataFrame:

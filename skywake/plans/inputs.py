@@ -21,6 +21,10 @@ CALLSIGN_PREFIXES = [
     "EK", "UAE", "RYR", "FR", "AAL", "AA", "DAL", "DL", "UAL", "UA", "DLH", "LH", "IGO", "IN", "BAW", "BA",
     "AFR", "AF", "QTR", "QR", "SIA", "SQ", "THY", "TK", "SVA", "SV", "AIC", "AI", "ZZZ", "NKS", "uae",
 ]
+COLUMNS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint",
+    "customer": "c_custkey bigint",
+}
 HALF_HOUR_US = 1_800_000_000
 HOUR_US = 3_600_000_000
 COMPRESSION = 720
@@ -31,15 +35,6 @@ def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _ntz(micros: Column) -> Column:
-    return F.timestamp_micros(micros).cast("timestamp_ntz")
-
-
-def _quotient(value: Column, divisor: int) -> Column:
-    """Whole-number quotient, truncated towards zero."""
-    return F.call_function("div", value, F.lit(divisor))
-
-
 class Inputs:
     """Lazy frames over one folder of tables."""
 
@@ -49,7 +44,8 @@ class Inputs:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table with the columns the derivation reads; declared, so that no file is opened to infer them."""
+        return self.spark.read.schema(COLUMNS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def as_of(self) -> Column:
@@ -90,51 +86,47 @@ class Inputs:
 
     @cached_property
     def runs(self) -> DataFrame:
-        """One run per half hour of events."""
-        slot = _quotient(F.col("ts_us"), HALF_HOUR_US).alias("b")
-        per_slot = self.states.groupBy(slot).agg(
+        """One run per half hour of events, numbered in time order; the last one ends at the reference time.
+
+        The window that numbers them has no partition, but a row per half hour only.
+        """
+        slots = self.states.groupBy(F.expr(f"ts_us div {HALF_HOUR_US}").alias("b")).agg(
             F.count("*").alias("n"), F.countDistinct("icao24").alias("u")
         )
-        b = F.col("b")
-        end = (b + 1) * F.lit(HALF_HOUR_US)
-        failed = b % 11 == 0
-        return per_slot.select(
-            # Slots are numbered in time order; they are one per half hour, so the window stays small.
-            F.expr("row_number() OVER (ORDER BY b)").cast("bigint").alias("id"),
-            _ntz(F.least(end, _micros(self.as_of))).alias("run_at"),
-            F.col("n").cast("int").alias("records_fetched"),
-            F.when(b % 23 != 0, F.col("u").cast("int")).alias("records_upserted"),
-            (F.lit(200) + (b * 37) % 900).cast("int").alias("fetch_ms"),
-            F.when(b % 5 != 0, (F.lit(50) + (b * 53) % 700).cast("int")).alias("upsert_ms"),
-            F.when(failed, "error").otherwise("success").alias("status"),
-            F.when(failed, "synthetic").alias("error_msg"),
+        return slots.withColumn("now_us", _micros(self.as_of)).selectExpr(
+            "CAST(row_number() OVER (ORDER BY b) AS BIGINT) AS id",
+            f"CAST(timestamp_micros(least((b + 1) * {HALF_HOUR_US}, now_us)) AS TIMESTAMP_NTZ) AS run_at",
+            "CAST(n AS INT) AS records_fetched",
+            "CASE WHEN b % 23 <> 0 THEN CAST(u AS INT) END AS records_upserted",
+            "CAST(200 + (b * 37) % 900 AS INT) AS fetch_ms",
+            "CASE WHEN b % 5 <> 0 THEN CAST(50 + (b * 53) % 700 AS INT) END AS upsert_ms",
+            "CASE WHEN b % 11 = 0 THEN 'error' ELSE 'success' END AS status",
+            "CASE WHEN b % 11 = 0 THEN 'synthetic' END AS error_msg",
         )
 
     @cached_property
     def anomalies(self) -> DataFrame:
-        flying = ~F.col("on_ground")
-        hour = _quotient(F.col("ts_us"), HOUR_US).alias("h")
         low = S.is_low_altitude(F.col("on_ground"), F.col("geo_altitude"))
-        counts = self.states.groupBy(hour).agg(
-            F.count_if(flying & (F.col("event_id") % 5 == 0)).cast("int").alias("ghost_count"),
+        counts = self.states.groupBy(F.expr(f"ts_us div {HOUR_US}").alias("h")).agg(
+            F.count_if(F.expr("NOT on_ground AND event_id % 5 = 0")).cast("int").alias("ghost_count"),
             F.count_if(low).cast("int").alias("low_alt_count"),
         )
-        at = _ntz(F.col("h") * F.lit(HOUR_US))
-        return counts.select(at.alias("hour_utc"), "ghost_count", "low_alt_count", at.alias("updated_at"))
+        hour = f"CAST(timestamp_micros(h * {HOUR_US}) AS TIMESTAMP_NTZ)"
+        return counts.selectExpr(f"{hour} AS hour_utc", "ghost_count", "low_alt_count", f"{hour} AS updated_at")
 
     @cached_property
     def points(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self.table("customer").select(
-            key.alias("point_id"),
-            (((key * 104729) % 3600000).cast("double") / F.lit(1e4) - F.lit(180.0)).alias("lon"),
-            (((key * 15485863) % 1600000).cast("double") / F.lit(1e4) - F.lit(80.0)).alias("lat"),
+        return self.table("customer").selectExpr(
+            "c_custkey AS point_id",
+            "CAST((c_custkey * 104729) % 3600000 AS DOUBLE) / 1e4D - 180D AS lon",
+            "CAST((c_custkey * 15485863) % 1600000 AS DOUBLE) / 1e4D - 80D AS lat",
         )
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """Wire-format vectors, some of them malformed."""
-        return derive_vectors(self.states)
+        """Wire-format vectors, some of them malformed, as the lists of one-vector snapshots."""
+        listed = derive_vectors(self.states).withColumn("states", F.array("vec"))
+        return listed.select("event_id", F.explode("states").alias("vec"))
 
     def write_documents(self) -> str:
         """Write the vectors as snapshot documents, one per line, and return the folder (an action).
@@ -142,16 +134,16 @@ class Inputs:
         The latest vector per aircraft and 180-second cycle enters the snapshot of the cycle's end. A document
         takes the vectors of a range of event ids, so none exceeds ``DOCUMENT_VECTORS``.
         """
-        now = _micros(self.as_of)
         step = int(K.CYCLE_INTERVAL.total_seconds()) * 1_000_000
-        age = now - _micros(F.col("ingested_at"))
-        end = now - _quotient(age, step) * step
-        timed = self.states.withColumn("time", _quotient(end, 1_000_000))
+        timed = (
+            self.states.withColumn("now_us", _micros(self.as_of))
+            .withColumn("age_us", F.col("now_us") - _micros(F.col("ingested_at")))
+            .withColumn("time", F.expr(f"(now_us - age_us div {step} * {step}) div 1000000"))
+        )
         latest = snapshots.latest_by_key(timed, ["time", "icao24"], self.newest)
-        chunk = _quotient(F.col("event_id"), DOCUMENT_VECTORS)
         documents = (
             derive_vectors(latest, "time")
-            .groupBy("time", chunk)
+            .groupBy("time", F.expr(f"event_id div {DOCUMENT_VECTORS}"))
             .agg(F.collect_list("vec").alias("states"))
             .select(F.to_json(F.struct("time", "states")).alias("value"))
         )
@@ -161,58 +153,41 @@ class Inputs:
 
 
 def derive_states(events: DataFrame, as_of: Column) -> DataFrame:
-    e, a = F.col("event_id"), F.col("aid")
-    base = events.select("event_id", _micros(F.col("ts")).alias("ts_us"), (F.col("user_id") * 8 + e % 8).alias("aid"))
-    prefix = F.element_at(F.array(*[F.lit(p) for p in CALLSIGN_PREFIXES]), (a % 31 + 1).cast("int"))
-    now = _micros(as_of)
-    scaled = lambda value, modulus: (value % modulus).cast("double") / F.lit(1e4)
-    altitude = e * 31 + a * 17
-    return base.select(
-        "event_id",
+    prefixes = ", ".join(f"'{p}'" for p in CALLSIGN_PREFIXES)
+    observed = events.selectExpr(
+        "event_id AS e", "unix_micros(CAST(ts AS TIMESTAMP)) AS ts_us", "user_id * 8 + event_id % 8 AS a"
+    ).withColumn("now_us", _micros(as_of))
+    return observed.selectExpr(
+        "e AS event_id",
         "ts_us",
-        F.lower(F.hex(a + 1048576)).alias("icao24"),
-        F.when(e % 17 == 0, None)
-        .when(e % 53 == 0, F.lit(""))
-        .otherwise(F.concat(prefix, a.cast("string")))
-        .alias("callsign"),
-        F.when(a % 41 != 0, F.concat(F.lit("NATION_"), (a % 25).cast("string"))).alias("origin_country"),
-        F.when(e % 23 == 0, None)
-        .when(e % 59 == 0, F.lit(180.0))
-        .otherwise(scaled(a * 7919 + e * 104729, 3600001) - F.lit(180.0))
-        .alias("lon"),
-        F.when(e % 23 != 0, scaled(a * 6007 + e * 15485863, 1800001) - F.lit(90.0)).alias("lat"),
-        F.when(e % 13 != 0, (altitude % 14900).cast("double")).alias("baro_altitude"),
-        F.when(e % 29 != 0, (altitude % 15000).cast("double") - F.lit(100.0)).alias("geo_altitude"),
-        (e % 7 == 0).alias("on_ground"),
-        F.when(e % 31 == 0, None)
-        .when(e % 37 == 0, F.lit(0.0))
-        .otherwise(((e * 13 + a * 11) % 400).cast("double"))
-        .alias("velocity"),
-        ((e * 37) % 360).cast("double").alias("true_track"),
-        ((e % 41).cast("double") - F.lit(20.0)).alias("vertical_rate"),
-        _ntz(now - _quotient(now - F.col("ts_us"), COMPRESSION)).alias("ingested_at"),
+        "lower(hex(1048576 + a)) AS icao24",
+        f"""CASE WHEN e % 17 = 0 THEN NULL WHEN e % 53 = 0 THEN ''
+            ELSE concat(element_at(array({prefixes}), CAST(a % 31 + 1 AS INT)), CAST(a AS STRING)) END AS callsign""",
+        "CASE WHEN a % 41 <> 0 THEN concat('NATION_', CAST(a % 25 AS STRING)) END AS origin_country",
+        """CASE WHEN e % 23 = 0 THEN NULL WHEN e % 59 = 0 THEN 180D
+            ELSE CAST((a * 7919 + e * 104729) % 3600001 AS DOUBLE) / 1e4D - 180D END AS lon""",
+        "CASE WHEN e % 23 <> 0 THEN CAST((a * 6007 + e * 15485863) % 1800001 AS DOUBLE) / 1e4D - 90D END AS lat",
+        "CASE WHEN e % 13 <> 0 THEN CAST((e * 31 + a * 17) % 14900 AS DOUBLE) END AS baro_altitude",
+        "CASE WHEN e % 29 <> 0 THEN CAST((e * 31 + a * 17) % 15000 AS DOUBLE) - 100D END AS geo_altitude",
+        "e % 7 = 0 AS on_ground",
+        """CASE WHEN e % 31 = 0 THEN NULL WHEN e % 37 = 0 THEN 0D
+            ELSE CAST((e * 13 + a * 11) % 400 AS DOUBLE) END AS velocity""",
+        "CAST((e * 37) % 360 AS DOUBLE) AS true_track",
+        "CAST(e % 41 AS DOUBLE) - 20D AS vertical_rate",
+        f"""CAST(timestamp_micros(now_us - (now_us - ts_us) div {COMPRESSION}) AS TIMESTAMP_NTZ) AS ingested_at""",
     )
 
 
 def derive_vectors(states: DataFrame, *kept: str) -> DataFrame:
     """Arrays of 14 texts as they come over the wire; every 101st is short, others have bad fields."""
-    e = F.col("event_id")
-    text = lambda name: F.col(name).cast("string")
-    unused = F.lit(None).cast("string")
-    vector = F.array(
-        F.when(e % 103 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.upper("icao24"), F.lit(" "))),
-        F.concat("callsign", F.lit("  ")),
-        F.col("origin_country"),
-        unused,
-        unused,
-        text("lon"),
-        text("lat"),
-        text("baro_altitude"),
-        text("on_ground"),
-        F.when(e % 97 == 0, F.lit("n/a")).otherwise(text("velocity")),
-        text("true_track"),
-        text("vertical_rate"),
-        unused,
-        text("geo_altitude"),
+    return states.selectExpr(
+        *kept,
+        "event_id",
+        """slice(array(
+            CASE WHEN event_id % 103 = 0 THEN '  ' ELSE concat(' ', upper(icao24), ' ') END,
+            concat(callsign, '  '), origin_country, CAST(NULL AS STRING), CAST(NULL AS STRING),
+            CAST(lon AS STRING), CAST(lat AS STRING), CAST(baro_altitude AS STRING), CAST(on_ground AS STRING),
+            CASE WHEN event_id % 97 = 0 THEN 'n/a' ELSE CAST(velocity AS STRING) END,
+            CAST(true_track AS STRING), CAST(vertical_rate AS STRING), CAST(NULL AS STRING),
+            CAST(geo_altitude AS STRING)), 1, CASE WHEN event_id % 101 = 0 THEN 13 ELSE 14 END) AS vec""",
     )
-    return states.select(*kept, "event_id", F.when(e % 101 == 0, F.slice(vector, 1, 13)).otherwise(vector).alias("vec"))

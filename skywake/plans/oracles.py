@@ -711,7 +711,7 @@ FROM wire_live CROSS JOIN wire_now n GROUP BY n.as_of""",
     "stream_new_ghosts": sql(
         """
 SELECT n.as_of AS cycle, icao24, @who || ' transponder signal lost' AS message FROM wire_live CROSS JOIN wire_now n
-WHERE NOT on_ground AND ingested_at < n.as_of - INTERVAL 2 MINUTE""",
+WHERE NOT on_ground AND ingested_at < n.as_of - INTERVAL 30 SECOND AND ingested_at >= n.as_of - INTERVAL 15 MINUTE""",
         "wire_live",
     ),
     "live_feed": sql(

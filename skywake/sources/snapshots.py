@@ -20,12 +20,14 @@ NUMBER_POSITIONS = {
 VECTOR_LENGTH = 14
 
 
-def explode_snapshots(snapshots: DataFrame) -> DataFrame:
-    """One row per vector with its snapshot time, file and place; empty or missing lists give no row."""
+def explode_snapshots(snapshots: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """One row per vector with its snapshot time, file and place.
+
+    An empty or missing list gives no row, or with ``keep_empty`` one row without a vector.
+    """
+    explode = F.posexplode_outer if keep_empty else F.posexplode
     return snapshots.select(
-        "time",
-        F.col("_metadata.file_path").alias("file"),
-        F.posexplode("states").alias("position", "vec"),
+        "time", F.col("_metadata.file_path").alias("file"), explode("states").alias("position", "vec")
     )
 
 
@@ -41,17 +43,20 @@ def scan_state_snapshots(spark: SparkSession, path: str, multi_line: bool = True
 def stream_state_snapshots(
     spark: SparkSession, path: str, multi_line: bool = False, max_files: int | None = None
 ) -> DataFrame:
-    """The same scan as a stream over files landing in a folder."""
+    """The same scan as a stream over files landing in a folder; empty snapshots stay, to be logged."""
     reader = spark.readStream.schema(SNAPSHOT).option("multiLine", multi_line)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return explode_snapshots(reader.json(path))
+    return explode_snapshots(reader.json(path), keep_empty=True)
 
 
 def _truth(text: Column) -> Column:
     """Truth of a scalar read as text; null, false, zero and the empty text are false."""
-    value = F.coalesce(text, F.lit(""))
-    return ~value.isin("", "false") & F.coalesce(value.try_cast("double") != 0, F.lit(True))
+    return (
+        F.when(text.isNull() | text.isin("", "false"), F.lit(False))
+        .when(text == "true", F.lit(True))
+        .otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True)))
+    )
 
 
 def parse_states(vectors: DataFrame, vec: str = "vec") -> DataFrame:
@@ -62,32 +67,25 @@ def parse_states(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """
     array = F.col(vec)
     at = lambda i: F.get(array, F.lit(i))
-    kept = [name for name in vectors.columns if name != vec]
-    numbers = {name: at(i).try_cast("double") for name, i in NUMBER_POSITIONS.items()}
-    unreadable = F.lit(False)
-    for name, i in NUMBER_POSITIONS.items():
-        unreadable = unreadable | (at(i).isNotNull() & numbers[name].isNull())
     typed = {
         "icao24": F.lower(S.strip(F.coalesce(at(0), F.lit("none")))),
         "callsign": S.strip(F.nullif(at(1), F.lit(""))),
         "origin_country": F.nullif(at(2), F.lit("")),
         "on_ground": _truth(at(8)),
-        **numbers,
     }
-    length = F.coalesce(F.size(array), F.lit(0))
-    parsed = vectors.select(
-        *kept,
-        *[typed[name].alias(name) for name in STATE_COLUMNS],
-        F.when(length < VECTOR_LENGTH, "short_vector").when(unreadable, "bad_number").alias("wire_fault"),
-    )
-    no_position = ~F.col("on_ground") & (F.col("lat").isNull() | F.col("lon").isNull())
+    unreadable = F.lit(False)
+    for name, i in NUMBER_POSITIONS.items():
+        typed[name] = at(i).try_cast("double")
+        unreadable = unreadable | (at(i).isNotNull() & typed[name].isNull())
+    placed = at(NUMBER_POSITIONS["lat"]).isNotNull() & at(NUMBER_POSITIONS["lon"]).isNotNull()
     reason = (
-        F.when(F.col("wire_fault") == "short_vector", "short_vector")
-        .when(F.col("icao24") == "", "empty_icao24")
-        .when(F.col("wire_fault").isNotNull(), F.col("wire_fault"))
-        .when(no_position, "no_position")
+        F.when(F.coalesce(F.size(array), F.lit(0)) < VECTOR_LENGTH, "short_vector")
+        .when(typed["icao24"] == "", "empty_icao24")
+        .when(unreadable, "bad_number")
+        .when(~typed["on_ground"] & ~placed, "no_position")
     )
-    return parsed.withColumn("reject_reason", reason).drop("wire_fault")
+    kept = [name for name in vectors.columns if name != vec]
+    return vectors.select(*kept, *[typed[name].alias(name) for name in STATE_COLUMNS], reason.alias("reject_reason"))
 
 
 def valid_states(parsed: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skywake.functions import scalars as S
 from skywake.operators import anomalies, ghosts, snapshots
+from skywake.schemas import LIVE_COLUMNS
 from skywake.sources.snapshots import parse_states, stream_state_snapshots, valid_states
 from skywake.sources.state import CycleState
 
@@ -36,18 +38,12 @@ def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
     """
     started = time.monotonic()
     spent = lambda: int((time.monotonic() - started) * 1000)
-    base = state.latest(before=version)
+    as_of = datetime.now(timezone.utc).replace(tzinfo=None)
     rows = accept(vectors).persist(StorageLevel.MEMORY_AND_DISK)
-    as_of = F.lit(None).cast("timestamp_ntz")
     try:
-        runs = state.read("runs", base)
-        batch = vectors.agg(F.max("time").alias("newest")).first()
-        known = runs.agg(F.max("run_at").alias("run_at")).first()
-        if batch.newest is None and known.run_at is None:
-            return
-        newest = F.timestamp_seconds(F.lit(batch.newest).cast("bigint")).cast("timestamp_ntz")
-        as_of = F.greatest(newest, F.lit(known.run_at).cast("timestamp_ntz"))
-
+        base = state.latest(before=version)
+        before = state.read("runs", base)
+        as_of = reference_time(vectors, before) or as_of
         live, hourly = state.read("live", base), state.read("anomaly_hourly", base)
         if rows.isEmpty():
             live = state.write("live", version, live)
@@ -57,10 +53,10 @@ def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
             live = state.write("live", version, snapshots.purge_stale_live(merged, as_of))
             merged = anomalies.upsert_anomaly_hour(hourly, anomalies.anomaly_hour_rollup(live, as_of))
             state.write("anomaly_hourly", version, snapshots.purge_anomaly_hourly(merged, as_of))
-        write_alerts(live, as_of, base, version, state)
 
         run = snapshots.run_row(rows, as_of, upsert_ms=spent(), run_id=version)
-        state.write("runs", version, snapshots.purge_runs(runs.unionByName(run), as_of))
+        runs = state.write("runs", version, snapshots.purge_runs(before.unionByName(run), as_of))
+        write_alerts(live, runs, as_of, base, version, state)
         state.complete(version)
     except Exception as error:
         state.log_failure(failed_run(vectors.sparkSession, as_of, version, spent(), str(error)))
@@ -69,21 +65,32 @@ def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
         rows.unpersist()
 
 
-def write_alerts(live: DataFrame, as_of: Column, base: int | None, version: int, state: CycleState) -> None:
-    """Record the aircraft whose signal was lost since the cycle before."""
-    lost = ghosts.ghosts_of(live, as_of)
+def reference_time(vectors: DataFrame, runs: DataFrame) -> datetime | None:
+    """The newest snapshot time of the batch or run time before it."""
+    seconds = vectors.agg(F.max("time").alias("newest")).first().newest
+    newest = None if seconds is None else datetime.fromtimestamp(seconds, timezone.utc).replace(tzinfo=None)
+    known = runs.agg(F.max("run_at").alias("run_at")).first().run_at
+    return max((t for t in (newest, known) if t is not None), default=None)
+
+
+def write_alerts(
+    live: DataFrame, runs: DataFrame, as_of: datetime, base: int | None, version: int, state: CycleState
+) -> None:
+    """Record the aircraft whose signal was lost since the cycle before, by the rule of the run log."""
+    lost = ghosts.scan_recent_ghosts(live, as_of, runs)
     state.write("ghosts", version, lost)
     fresh = ghosts.new_ghosts(lost, state.read("ghosts", base))
     text = S.feed_message(
         F.lit("ghost"), F.col("callsign"), F.col("icao24"), F.col("origin_country"), F.lit(None).cast("double")
     )
-    state.write("alerts", version, fresh.select(as_of.alias("cycle"), "icao24", text.alias("message")))
+    alerts = fresh.select(S.moment(as_of).alias("cycle"), "icao24", text.alias("message"))
+    state.write("alerts", version, alerts)
 
 
-def failed_run(spark: SparkSession, as_of: Column, run_id: int, spent_ms: int, error: str) -> DataFrame:
+def failed_run(spark: SparkSession, as_of: datetime, run_id: int, spent_ms: int, error: str) -> DataFrame:
     return spark.range(1).select(
         F.lit(run_id).cast("bigint").alias("id"),
-        as_of.alias("run_at"),
+        S.moment(as_of).alias("run_at"),
         F.lit(0).alias("records_fetched"),
         F.lit(0).alias("records_upserted"),
         F.lit(0).alias("fetch_ms"),
@@ -106,6 +113,7 @@ def start_ingest(
 
     In production pass ``trigger=PRODUCTION_TRIGGER``.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     vectors = stream_state_snapshots(spark, landing, multi_line, max_files)
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
@@ -129,9 +137,10 @@ def start_history(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append the airborne rows to the history log, one folder per hour, each batch exactly once."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = accept(stream_state_snapshots(spark, landing, multi_line, max_files))
     return (
-        snapshots.history_rows(rows.drop("time", "file", "position"))
+        snapshots.history_rows(rows.select(*LIVE_COLUMNS))
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
