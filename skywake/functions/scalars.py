@@ -63,7 +63,13 @@ def filled_text(value: Column) -> Column:
 
 
 def strip(value: Column) -> Column:
-    return F.btrim(value, F.lit(WHITESPACE))
+    """Remove white space of any kind at both ends.
+
+    Nearly all padding is plain blanks, so the full set is only searched where something unusual remains.
+    """
+    trimmed = F.trim(value)
+    usual = F.ascii(trimmed).between(33, 126) & F.ascii(F.substring(trimmed, -1, 1)).between(33, 126)
+    return F.when(usual, trimmed).otherwise(F.btrim(trimmed, F.lit(WHITESPACE)))
 
 
 def display_id(callsign: Column, icao24: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from skywake.functions import geo
 from skywake.session import shared_dir
 
+BROADCAST_KEYS = 100_000
+
 
 def top_rows(rows: DataFrame, order: Sequence[Column | str], limit: int, by: Sequence[str] = ()) -> DataFrame:
     """The first rows in an order, overall or for each value of ``by``."""
@@ -46,44 +48,39 @@ def page_after(rows: DataFrame, keys: Sequence[str], after: Sequence | None = No
 
 
 def row_indexes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The unique ``keys`` of all rows with their position ``row_index`` in key order (an action).
+    """The unique ``keys`` of all rows with their position ``row_index`` in key order and ``row_count`` (an action).
 
     One window over all rows would pull them into one task. Instead the keys alone are range-partitioned
     and sorted, and each partition's offset is the sum of the counts before it. The sorted keys are
     checkpointed in the shared folder: counts and positions then come from the same partitions, even if an
     executor is lost in between.
     """
-    spark = rows.sparkSession
-    shared_dir(spark)
+    shared_dir(rows.sparkSession)
     place = F.monotonically_increasing_id()
     placed = rows.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", place)
-    placed = placed.checkpoint()
-    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    placed = placed.checkpoint().withColumn("_part", F.shiftright("_place", 33))
     in_part = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     # One row per partition of the sorted keys: bounded by the number of shuffle partitions.
     counts = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
-    return placed.join(F.broadcast(offsets), "_part").select(*keys, (F.col("_offset") + in_part).alias("row_index"))
+    everything = F.sum("_rows").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"), everything.alias("row_count"))
+    return placed.join(F.broadcast(offsets), "_part").select(
+        *keys, (F.col("_offset") + in_part).alias("row_index"), "row_count"
+    )
 
 
 def systematic_sample(rows: DataFrame, limit: int, keys: Sequence[str] = ("icao24",)) -> DataFrame:
     """All rows if there are at most ``limit``, else ``limit`` rows evenly spaced in key order (an action).
 
     Row ``r`` of ``n`` stays if some sample number ``i`` has ``floor(i * n / limit) = r``; in whole numbers,
-    the first ``i`` with ``i * n >= r * limit`` must lie below ``(r + 1) * limit / n``.
+    the first ``i`` with ``i * n >= r * limit`` must lie below ``(r + 1) * limit / n``. The chosen keys, never
+    more than ``limit``, are broadcast while that is small.
     """
     indexed = row_indexes(rows, keys)
-    total = indexed.agg(F.count("*")).scalar()
-    r = F.col("row_index")
-    first = F.expr(f"(row_index * {limit} + _n - 1) div _n")
-    chosen = (
-        indexed.withColumn("_n", total)
-        .withColumn("_i", first)
-        .where(F.col("_i") * F.col("_n") < (r + 1) * limit)
-        .select(*keys)
-    )
-    return rows.join(chosen, list(keys), "left_semi")
+    first = F.expr(f"(row_index * {limit} + row_count - 1) div row_count")
+    chosen = indexed.where(first * F.col("row_count") < (F.col("row_index") + 1) * limit).select(*keys)
+    return rows.join(F.broadcast(chosen) if limit <= BROADCAST_KEYS else chosen, list(keys), "left_semi")
 
 
 def zoom_sample(

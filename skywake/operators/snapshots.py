@@ -28,10 +28,21 @@ def snapshot_at(history: DataFrame, as_of: Column | datetime, newest_first: list
     return latest_by_key(known, ["icao24"], newest_first)
 
 
-def snapshots_at(history: DataFrame, cycles: Column, newest_first: list[Column]) -> DataFrame:
-    """The live table at each moment of an array, with the moment as ``cycle``, in one pass."""
-    seen = history.withColumn("cycle", F.explode(cycles)).where(F.col("ingested_at") <= F.col("cycle"))
-    return latest_by_key(seen, ["cycle", "icao24"], newest_first)
+def snapshots_at(history: DataFrame, cycles: list[Column], newest_first: list[Column]) -> DataFrame:
+    """The live table at each of some ascending moments, with the moment as ``cycle``, from one pass.
+
+    The log is first cut to the newest row per aircraft and interval between moments, in the map tasks already.
+    Only those few rows are then repeated for the moments until the aircraft's next one.
+    """
+    first = F
+    for number, cycle in enumerate(cycles):
+        first = first.when(F.col("ingested_at") <= cycle, F.lit(number))
+    marked = history.where(F.col("ingested_at") <= cycles[-1]).withColumn("_first", first)
+    newest = latest_by_key(marked, ["icao24", "_first"], newest_first)
+    following = F.lead("_first", 1, len(cycles)).over(W.partitionBy("icao24").orderBy("_first"))
+    lasting = newest.withColumn("_cycles", following - F.col("_first"))
+    moments = F.slice(F.array(*cycles), F.col("_first") + 1, F.col("_cycles"))
+    return lasting.withColumn("cycle", F.explode(moments)).drop("_first", "_cycles")
 
 
 def upsert_live(

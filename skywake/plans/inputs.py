@@ -14,7 +14,7 @@ from skywake import constants as K
 from skywake.functions import scalars as S
 from skywake.operators import snapshots
 from skywake.schemas import LIVE_COLUMNS
-from skywake.session import work_path
+from skywake.session import shared_dir, work_path
 
 # Callsign prefix by address modulo 31.
 CALLSIGN_PREFIXES = [
@@ -80,10 +80,27 @@ class Inputs:
 
     @cached_property
     def cycles(self) -> DataFrame:
-        """The live table at both cycles."""
-        both = F.array(self.before, self.as_of)
+        """The live table at both cycles, from one pass over the log."""
+        both = [self.before, self.as_of]
         return snapshots.snapshots_at(self.history, both, self.newest).select("cycle", *LIVE_COLUMNS)
 
+    def stored(self, snapshot: DataFrame) -> DataFrame:
+        """A snapshot kept in the shared folder, for operators that read it several times (an action).
+
+        It has a row per aircraft where the log it comes from has one per observation, so storing it costs
+        little against reading the log again.
+        """
+        shared_dir(self.spark)
+        return snapshot.checkpoint()
+
+    @cached_property
+    def stored_live(self) -> DataFrame:
+        return self.stored(self.live)
+
+    @cached_property
+    def stored_cycles(self) -> DataFrame:
+        return self.stored(self.cycles)
+
     @cached_property
     def runs(self) -> DataFrame:
         """One run per half hour of events, numbered in time order; the last one ends at the reference time.

@@ -26,12 +26,13 @@ def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]
     return build
 
 
-def recent(i: Inputs) -> DataFrame:
-    return ghosts.scan_recent_ghosts(i.live, i.as_of, i.runs)
+def recent(i: Inputs, live: DataFrame | None = None) -> DataFrame:
+    return ghosts.scan_recent_ghosts(live or i.live, i.as_of, i.runs)
 
 
 def enriched(i: Inputs) -> DataFrame:
-    return ghosts.enrich_ghosts(recent(i), i.live, ghosts.snapshot_health(i.live, i.as_of))
+    live = i.stored_live
+    return ghosts.enrich_ghosts(recent(i, live), live, ghosts.snapshot_health(live, i.as_of))
 
 
 def window(i: Inputs) -> DataFrame:
@@ -216,7 +217,7 @@ def is_ghost(i: Inputs) -> DataFrame:
 
 @query
 def flight_card(i: Inputs) -> DataFrame:
-    return positions.flight_cards(positions.scan_live_positions(i.live), enriched(i))
+    return positions.flight_cards(positions.scan_live_positions(i.stored_live), enriched(i))
 
 
 @query
@@ -267,17 +268,18 @@ def enrich_ghosts(i: Inputs) -> DataFrame:
 
 @query
 def new_ghosts(i: Inputs) -> DataFrame:
-    return ghosts.new_ghosts(ghosts.ghosts_of(i.live, i.as_of), ghosts.ghosts_of(i.live_before, i.before))
+    now, before = (i.stored_cycles.where(F.col("cycle") == at).drop("cycle") for at in (i.as_of, i.before))
+    return ghosts.new_ghosts(ghosts.ghosts_of(now, i.as_of), ghosts.ghosts_of(before, i.before))
 
 
 @query
 def non_ghost_flights(i: Inputs) -> DataFrame:
-    return positions.non_ghost_flights(i.live, recent(i))
+    return positions.non_ghost_flights(i.stored_live, recent(i, i.stored_live))
 
 
 @query
 def ghost_flag(i: Inputs) -> DataFrame:
-    return positions.ghost_flag(positions.positioned(i.live), recent(i)).select("icao24", "is_ghost")
+    return positions.ghost_flag(positions.positioned(i.stored_live), recent(i, i.stored_live)).select("icao24", "is_ghost")
 
 
 @query
@@ -476,13 +478,13 @@ def ghost_alerts(i: Inputs) -> DataFrame:
 
 @query
 def page_of(i: Inputs) -> DataFrame:
-    rows = recent(i).select("icao24", "callsign", "ingested_at")
+    rows = recent(i, i.stored_live).select("icao24", "callsign", "ingested_at")
     return ranking.page_of(rows, ["ingested_at", "icao24"], page=3)
 
 
 @query
 def systematic_sample(i: Inputs) -> DataFrame:
-    return ranking.systematic_sample(i.live, 500).select("icao24")
+    return ranking.systematic_sample(i.stored_live, 500).select("icao24")
 
 
 @query
@@ -534,7 +536,7 @@ def stream_new_ghosts(i: Inputs) -> DataFrame:
 
 @query
 def live_feed(i: Inputs) -> DataFrame:
-    return ghosts.live_feed(i.cycles)
+    return ghosts.live_feed(i.stored_cycles)
 
 
 @query

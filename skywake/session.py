@@ -31,15 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder: on a cluster such a folder would
     exist on one machine alone and be lost with it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="skywake-"))
-    return context.getCheckpointDir().rstrip("/")
+        named = tempfile.mkdtemp(prefix="skywake-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return (named or context.getCheckpointDir()).rstrip("/")
 
 
 def work_path(spark: SparkSession, label: str) -> str:

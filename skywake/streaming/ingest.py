@@ -108,6 +108,7 @@ def start_ingest(
     max_files: int | None = None,
     multi_line: bool = False,
     trigger: dict | None = None,
+    keep_versions: int = 5,
 ) -> StreamingQuery:
     """Run the cycle on every batch of files landing in a folder, by default once over what is there.
 
@@ -117,7 +118,7 @@ def start_ingest(
     vectors = stream_state_snapshots(spark, landing, multi_line, max_files)
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        run_cycle(batch, batch_id, CycleState(batch.sparkSession, root))
+        run_cycle(batch, batch_id, CycleState(batch.sparkSession, root, keep_versions))
 
     return (
         vectors.writeStream.foreachBatch(cycle)
