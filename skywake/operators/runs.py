@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from skywake import constants as K
 from skywake.functions import scalars as S
 
 

@@ -115,7 +115,7 @@ def airborne_only(rows: DataFrame) -> DataFrame:
 def history_rows(batch: DataFrame) -> DataFrame:
     """Airborne rows with the hour that names their folder."""
     hour = F.date_trunc("hour", F.col("ingested_at")).cast(batch.schema["ingested_at"].dataType)
-    return airborne_only(batch).withColumn("ingest_hour", hour)
+    return airborne_only(batch).select(*LIVE_COLUMNS, hour.alias("ingest_hour"))
 
 
 def append_history(batch: DataFrame, path: str) -> None:

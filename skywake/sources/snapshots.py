@@ -23,11 +23,15 @@ VECTOR_LENGTH = 14
 def explode_snapshots(snapshots: DataFrame, keep_empty: bool = False) -> DataFrame:
     """One row per vector with its snapshot time, file and place.
 
-    An empty or missing list gives no row, or with ``keep_empty`` one row without a vector.
+    An empty or missing list gives no row, or with ``keep_empty`` one row without a vector. A document without
+    a time gets that of its file.
     """
     explode = F.posexplode_outer if keep_empty else F.posexplode
+    landed = F.unix_seconds(F.col("_metadata.file_modification_time"))
     return snapshots.select(
-        "time", F.col("_metadata.file_path").alias("file"), explode("states").alias("position", "vec")
+        F.coalesce("time", landed).alias("time"),
+        F.col("_metadata.file_path").alias("file"),
+        explode("states").alias("position", "vec"),
     )
 
 

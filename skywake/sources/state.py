@@ -7,16 +7,20 @@ own, and a replayed batch writes the same version again: replays change nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from datetime import datetime, timedelta
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from skywake import schemas
+from skywake.operators import snapshots
+from skywake.sources import files
 
 TABLES = {
     "live": schemas.LIVE,
     "anomaly_hourly": schemas.ANOMALY_HOURLY,
     "runs": schemas.RUNS,
-    "ghosts": StructType([schemas.STATE["icao24"]]),
+    "ghosts": T.StructType([schemas.STATE["icao24"]]),
     "alerts": schemas.ALERTS,
 }
 COMPLETE = "_COMPLETE"
@@ -28,23 +32,14 @@ class CycleState:
         self.root = root.rstrip("/")
         self.keep_versions = keep_versions
 
-    def _path(self, text: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(text)
-
-    def _files(self):
-        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def _folder(self, version: int) -> str:
         return f"{self.root}/version={version}"
 
     def versions(self) -> list[int]:
         """The complete versions in order."""
-        files, root = self._files(), self._path(self.root)
-        if not files.exists(root):
-            return []
-        names = [entry.getPath().getName() for entry in files.listStatus(root)]
-        numbers = sorted(int(name.split("=")[1]) for name in names if name.startswith("version="))
-        return [n for n in numbers if files.exists(self._path(f"{self._folder(n)}/{COMPLETE}"))]
+        found = [name for name in files.names(self.spark, self.root) if name.startswith("version=")]
+        numbers = sorted(int(name.removeprefix("version=")) for name in found)
+        return [n for n in numbers if files.exists(self.spark, f"{self._folder(n)}/{COMPLETE}")]
 
     def latest(self, before: int | None = None) -> int | None:
         known = [n for n in self.versions() if before is None or n < before]
@@ -67,9 +62,9 @@ class CycleState:
 
     def complete(self, version: int) -> None:
         """Publish a version and drop those long superseded."""
-        self._files().create(self._path(f"{self._folder(version)}/{COMPLETE}"), True).close()
+        files.mark(self.spark, f"{self._folder(version)}/{COMPLETE}")
         for old in self.versions()[: -self.keep_versions]:
-            self._files().delete(self._path(self._folder(old)), True)
+            files.remove(self.spark, self._folder(old))
 
     def log_failure(self, run: DataFrame) -> None:
         """Failed runs are kept apart: their version is written anew when the batch is tried again."""
@@ -79,6 +74,33 @@ class CycleState:
         """All runs, failures included."""
         runs = self.current("runs")
         failures = f"{self.root}/failures"
-        if not self._files().exists(self._path(failures)):
+        if not files.exists(self.spark, failures):
             return runs
         return runs.unionByName(self.spark.read.schema(schemas.RUNS).parquet(failures))
+
+
+def write_history(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Store the airborne rows of a micro-batch, in folders by hour and batch (an action).
+
+    A batch replaces just its own folders, so that writing it again changes nothing. ``rebalance`` splits an
+    hour that holds much of the batch into several files.
+    """
+    rows = snapshots.history_rows(batch).withColumn("batch", F.lit(batch_id))
+    writer = rows.hint("rebalance", "ingest_hour").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("ingest_hour", "batch").parquet(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The log, with the hour as a column that prunes folders."""
+    hour = T.StructField("ingest_hour", T.TimestampNTZType())
+    return spark.read.schema(T.StructType([*schemas.LIVE.fields, hour])).parquet(path)
+
+
+def drop_expired_hours(spark: SparkSession, path: str, as_of: datetime, keep: timedelta) -> None:
+    """Delete the folders of hours that ended more than ``keep`` before ``as_of``; no file is read."""
+    prefix = "ingest_hour="
+    for name in files.names(spark, path):
+        if name.startswith(prefix):
+            start = datetime.fromisoformat(unquote(name.removeprefix(prefix)))
+            if start + timedelta(hours=1) <= as_of - keep:
+                files.remove(spark, f"{path}/{name}")

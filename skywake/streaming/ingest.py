@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import time
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skywake import constants as K
 from skywake.functions import scalars as S
 from skywake.operators import anomalies, ghosts, snapshots
-from skywake.schemas import LIVE_COLUMNS
 from skywake.sources.snapshots import parse_states, stream_state_snapshots, valid_states
-from skywake.sources.state import CycleState
+from skywake.sources.state import CycleState, drop_expired_hours, write_history
 
 PRODUCTION_TRIGGER = {"processingTime": "180 seconds"}
 
@@ -65,12 +65,16 @@ def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
         rows.unpersist()
 
 
+def newest_time(vectors: DataFrame) -> datetime | None:
+    """The newest snapshot time of a batch."""
+    seconds = vectors.agg(F.max("time").alias("newest")).first().newest
+    return None if seconds is None else datetime.fromtimestamp(seconds, timezone.utc).replace(tzinfo=None)
+
+
 def reference_time(vectors: DataFrame, runs: DataFrame) -> datetime | None:
     """The newest snapshot time of the batch or run time before it."""
-    seconds = vectors.agg(F.max("time").alias("newest")).first().newest
-    newest = None if seconds is None else datetime.fromtimestamp(seconds, timezone.utc).replace(tzinfo=None)
     known = runs.agg(F.max("run_at").alias("run_at")).first().run_at
-    return max((t for t in (newest, known) if t is not None), default=None)
+    return max((t for t in (newest_time(vectors), known) if t is not None), default=None)
 
 
 def write_alerts(
@@ -136,16 +140,21 @@ def start_history(
     max_files: int | None = None,
     multi_line: bool = False,
     trigger: dict | None = None,
+    keep: timedelta | None = K.HISTORY_RETENTION,
 ) -> StreamingQuery:
-    """Append the airborne rows to the history log, one folder per hour, each batch exactly once."""
+    """Append the airborne rows to the history log, each batch once, and drop the hours past retention."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = accept(stream_state_snapshots(spark, landing, multi_line, max_files))
+    vectors = stream_state_snapshots(spark, landing, multi_line, max_files)
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        write_history(accept(batch), batch_id, path)
+        as_of = newest_time(batch)
+        if keep is not None and as_of is not None:
+            drop_expired_hours(batch.sparkSession, path, as_of, keep)
+
     return (
-        snapshots.history_rows(rows.select(*LIVE_COLUMNS))
-        .writeStream.format("parquet")
-        .option("path", path)
+        vectors.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("ingest_hour")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -9,7 +9,7 @@ import pytest
 from skywake.operators import anomalies
 from skywake.schemas import LIVE, SNAPSHOT
 from skywake.sources.snapshots import explode_snapshots
-from skywake.sources.state import CycleState
+from skywake.sources.state import CycleState, read_history, write_history
 from skywake.streaming import ingest
 
 START = 1_700_000_000
@@ -156,10 +156,18 @@ def test_history_log_by_stream(spark, job, tmp_path):
     landing, _ = job
     land(landing, 0, [vector("a"), vector("g", ground=True)])
     land(landing, 1, [vector("a"), vector("b")])
-    path = str(tmp_path / "history")
-    for _ in range(2):  # the second run finds nothing new
-        ingest.start_history(spark, str(landing), path, str(tmp_path / "history-checkpoint"), max_files=1).awaitTermination()
-    assert rows(spark.read.parquet(path), "icao24", "ingested_at") == [("a", utc(0)), ("a", utc(1)), ("b", utc(1))]
+    path, checkpoint = str(tmp_path / "history"), str(tmp_path / "history-checkpoint")
+
+    def run():
+        ingest.start_history(spark, str(landing), path, checkpoint, max_files=1).awaitTermination()
+        return rows(read_history(spark, path), "icao24", "ingested_at")
+
+    stored = [("a", utc(0)), ("a", utc(1)), ("b", utc(1))]
+    assert run() == stored
+    write_history(ingest.accept(vectors_of(spark, landing / "cycle-001.json")), 1, path)
+    assert rows(read_history(spark, path), "icao24", "ingested_at") == stored
+    land(landing, 50, [vector("c")])  # two and a half hours later
+    assert run() == [("c", utc(50))]
 
 
 def test_hourly_stream_with_watermark(spark, tmp_path):

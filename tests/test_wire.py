@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,13 @@ def test_missing_states_and_pretty_printed_documents(spark, tmp_path):
     assert [(row.time, row.position) for row in rows] == [(2, 0), (2, 1)]
 
 
+def test_a_document_without_time_takes_that_of_its_file(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps({"states": [vector()]}))
+    os.utime(path, (1_600_000_000, 1_600_000_000))
+    assert wire.scan_state_snapshots(spark, str(tmp_path)).collect()[0].time == 1_600_000_000
+
+
 def test_one_document_per_line(spark, tmp_path):
     lines = [json.dumps({"time": t, "states": [vector(_0=f"a{t}")]}) for t in range(5)]
     (tmp_path / "many.json").write_text("\n".join(lines))
