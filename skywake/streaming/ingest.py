@@ -23,10 +23,9 @@ def _arrival() -> list[Column]:
     return [F.desc("time"), F.desc("file"), F.desc("position")]
 
 
-def accept(vectors: DataFrame) -> DataFrame:
+def accept(parsed: DataFrame) -> DataFrame:
     """Valid rows with the snapshot time as their ingest time."""
-    rows = valid_states(parse_states(vectors))
-    return rows.withColumn("ingested_at", F.timestamp_seconds("time").cast("timestamp_ntz"))
+    return valid_states(parsed).withColumn("ingested_at", F.timestamp_seconds("time").cast("timestamp_ntz"))
 
 
 def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
@@ -39,13 +38,16 @@ def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
     started = time.monotonic()
     spent = lambda: int((time.monotonic() - started) * 1000)
     as_of = datetime.now(timezone.utc).replace(tzinfo=None)
-    rows = accept(vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = parse_states(vectors).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         base = state.latest(before=version)
         before = state.read("runs", base)
-        as_of = reference_time(vectors, before) or as_of
+        known = before.agg(F.max("run_at").alias("run_at")).first().run_at
+        accepted, newest = measure(parsed)
+        as_of = max((t for t in (newest, known) if t is not None), default=as_of)
+        rows = accept(parsed)
         live, hourly = state.read("live", base), state.read("anomaly_hourly", base)
-        if rows.isEmpty():
+        if not accepted:
             live = state.write("live", version, live)
             state.write("anomaly_hourly", version, hourly)
         else:
@@ -62,19 +64,14 @@ def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
         state.log_failure(failed_run(vectors.sparkSession, as_of, version, spent(), str(error)))
         raise
     finally:
-        rows.unpersist()
+        parsed.unpersist()
 
 
-def newest_time(vectors: DataFrame) -> datetime | None:
-    """The newest snapshot time of a batch."""
-    seconds = vectors.agg(F.max("time").alias("newest")).first().newest
-    return None if seconds is None else datetime.fromtimestamp(seconds, timezone.utc).replace(tzinfo=None)
-
-
-def reference_time(vectors: DataFrame, runs: DataFrame) -> datetime | None:
-    """The newest snapshot time of the batch or run time before it."""
-    known = runs.agg(F.max("run_at").alias("run_at")).first().run_at
-    return max((t for t in (newest_time(vectors), known) if t is not None), default=None)
+def measure(parsed: DataFrame) -> tuple[int, datetime | None]:
+    """Number of valid rows and newest snapshot time of a batch."""
+    found = parsed.agg(F.count_if(F.col("reject_reason").isNull()).alias("n"), F.max("time").alias("newest")).first()
+    newest = found.newest
+    return found.n, None if newest is None else datetime.fromtimestamp(newest, timezone.utc).replace(tzinfo=None)
 
 
 def write_alerts(
@@ -147,10 +144,12 @@ def start_history(
     vectors = stream_state_snapshots(spark, landing, multi_line, max_files)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        write_history(accept(batch), batch_id, path)
-        as_of = newest_time(batch)
-        if keep is not None and as_of is not None:
-            drop_expired_hours(batch.sparkSession, path, as_of, keep)
+        parsed = parse_states(batch)
+        write_history(accept(parsed), batch_id, path)
+        if keep is not None:
+            _, as_of = measure(parsed)
+            if as_of is not None:
+                drop_expired_hours(batch.sparkSession, path, as_of, keep)
 
     return (
         vectors.writeStream.foreachBatch(append)

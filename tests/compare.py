@@ -56,9 +56,8 @@ def kind(name: str) -> str:
     return name
 
 
-def compare(con, build, sql: str, spark, sf_dir: str) -> str | None:
+def compare(con, frame, sql: str) -> str | None:
     """The first difference, or nothing."""
-    frame = build(spark, sf_dir)
     got = table_of(frame.columns, [tuple(row) for row in frame.collect()])
     result = con.execute(sql)
     described = {d[0]: str(d[1]).lower() for d in result.description}
@@ -91,7 +90,7 @@ def main() -> int:
             continue
         started = time.monotonic()
         try:
-            problem = compare(con, build, oracles[name], spark, sf_dir) if name in oracles else "no SQL"
+            problem = compare(con, build(spark, sf_dir), oracles[name]) if name in oracles else "no SQL"
         except Exception as error:
             problem = str(error)[:1500]
         failed += problem is not None

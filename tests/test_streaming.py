@@ -8,7 +8,7 @@ import pytest
 
 from skywake.operators import anomalies
 from skywake.schemas import LIVE, SNAPSHOT
-from skywake.sources.snapshots import explode_snapshots
+from skywake.sources.snapshots import explode_snapshots, parse_states
 from skywake.sources.state import CycleState, read_history, write_history
 from skywake.streaming import ingest
 
@@ -164,7 +164,7 @@ def test_history_log_by_stream(spark, job, tmp_path):
 
     stored = [("a", utc(0)), ("a", utc(1)), ("b", utc(1))]
     assert run() == stored
-    write_history(ingest.accept(vectors_of(spark, landing / "cycle-001.json")), 1, path)
+    write_history(ingest.accept(parse_states(vectors_of(spark, landing / "cycle-001.json"))), 1, path)
     assert rows(read_history(spark, path), "icao24", "ingested_at") == stored
     land(landing, 50, [vector("c")])  # two and a half hours later
     assert run() == [("c", utc(50))]
