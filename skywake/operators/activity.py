@@ -16,7 +16,7 @@ from skywake import constants as K
 from skywake.functions import scalars as S
 from skywake.operators.ghosts import is_ghost
 from skywake.operators.positions import airborne_positioned
-from skywake.operators.ranking import top_rows
+from skywake.operators.ranking import groups_of, join_counts, top_rows
 
 
 def _airline_order() -> list[Column]:
@@ -61,24 +61,26 @@ def dashboard_stats(
     return stats.withColumn("seconds_since_sync", seconds)
 
 
-def band_spine(bands: DataFrame) -> DataFrame:
-    """The five bands in display order, missing ones with zero. The counts have at most five rows."""
-    spine = bands.sparkSession.range(1).select(
-        F.posexplode(F.array(*[F.lit(name) for name in K.BAND_ORDER])).alias("ord", "band")
+def band_spine(bands: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The five bands in display order, missing ones with zero."""
+    spine = groups_of(bands, by).select(
+        *by, F.posexplode(F.array(*[F.lit(name) for name in K.BAND_ORDER])).alias("ord", "band")
     )
-    return spine.join(F.broadcast(bands), "band", "left").select(
-        "ord", "band", F.coalesce("flight_count", F.lit(0)).alias("flight_count")
+    return join_counts(spine, bands, [*by, "band"], bool(by)).select(
+        *by, "ord", "band", F.coalesce("flight_count", F.lit(0)).alias("flight_count")
     )
 
 
-def band_shares(bands: DataFrame) -> DataFrame:
+def band_shares(bands: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of each band, and where its slice starts and ends in display order (five rows)."""
-    spine = band_spine(bands)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    so_far = F.sum("flight_count").over(W.orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow))
-    counted = spine.select("*", F.sum("flight_count").over(everything).alias("n"), so_far.alias("upto"))
+    everything = W.partitionBy(*by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    in_order = W.partitionBy(*by).orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = band_spine(bands, by).select(
+        "*", F.sum("flight_count").over(everything).alias("n"), F.sum("flight_count").over(in_order).alias("upto")
+    )
     total = F.when(F.col("n") == 0, F.lit(1)).otherwise(F.col("n"))
     return counted.select(
+        *by,
         "ord",
         "band",
         "flight_count",
@@ -135,22 +137,24 @@ def tracked_flights(live: DataFrame) -> DataFrame:
     return listed.agg(F.coalesce(F.sum("flight_count"), F.lit(0)).alias("tracked_flights"))
 
 
-def country_speed(live: DataFrame, at_least: int = 3, limit: int = 15) -> DataFrame:
+def country_speed(live: DataFrame, by: Sequence[str] = (), at_least: int = 3, limit: int = 15) -> DataFrame:
     """Average speed by country with its share of the fastest and the difference to a typical cruise."""
     moving = airborne_positioned(live).where(
         S.filled_number(F.col("velocity")) & S.filled_text(F.col("origin_country"))
     )
     averages = (
-        moving.groupBy("origin_country")
+        moving.groupBy(*by, "origin_country")
         .agg(S.half_up(F.avg(S.knots(F.col("velocity")))).alias("avg_kt"), F.count("*").alias("n"))
         .where(F.col("n") >= at_least)
     )
-    listed = averages.orderBy(F.desc("avg_kt"), "origin_country").limit(limit)
-    order = W.orderBy(F.desc("avg_kt"), F.asc("origin_country"))
-    fastest = F.first("avg_kt").over(order)
+    order = [F.desc("avg_kt"), F.asc("origin_country")]
+    listed = top_rows(averages, order, limit, by)
+    ranking = W.partitionBy(*by).orderBy(*order)
+    fastest = F.first("avg_kt").over(ranking)
     leader = F.when(fastest == 0, F.lit(1)).otherwise(fastest)
     return listed.select(
-        F.row_number().over(order).cast("int").alias("rank"),
+        *by,
+        F.row_number().over(ranking).cast("int").alias("rank"),
         "origin_country",
         "avg_kt",
         "n",

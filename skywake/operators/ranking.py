@@ -25,6 +25,16 @@ def top_per(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], l
     return rows.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= limit).drop("_rank")
 
 
+def groups_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The groups a spine is built for; one row without columns of use if there is no grouping."""
+    return counts.select(*by).distinct() if by else counts.sparkSession.range(1)
+
+
+def join_counts(spine: DataFrame, counts: DataFrame, keys: Sequence[str], grouped: bool) -> DataFrame:
+    """Left join of counts to their spine. Without groups the counts have at most a row per entry: broadcast."""
+    return spine.join(counts if grouped else F.broadcast(counts), list(keys), "left")
+
+
 def page_of(rows: DataFrame, order: Sequence[Column | str], page: int = 1, size: int = 20) -> DataFrame:
     """One page, with its number and the number of pages (at least one)."""
     pages = rows.agg(F.greatest(F.ceil(F.count("*") / F.lit(size)), F.lit(1)).alias("pages")).scalar()

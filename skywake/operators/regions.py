@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from skywake import constants as K
 from skywake.functions import geo, scalars as S
 from skywake.operators.positions import airborne_positioned
+from skywake.operators.ranking import groups_of, join_counts
 
 
 def region_membership(live: DataFrame, regions: Sequence[K.Region] = tuple(K.MAP_REGIONS)) -> DataFrame:
@@ -42,12 +43,12 @@ def region_traffic(live: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.orderBy(*by, F.desc("flight_count"), "ord").drop("ord")
 
 
-def region_scores(live: DataFrame) -> DataFrame:
+def region_scores(live: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Regions with their traffic relative to the busiest, 0 to 100 (eight rows)."""
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    everything = W.partitionBy(*by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     busiest = F.greatest(F.max("flight_count").over(everything), F.lit(1))
-    return region_counts(live, K.SCORE_REGIONS).select(
-        "ord", "region", S.percent_of(F.col("flight_count"), busiest).alias("score")
+    return region_counts(live, K.SCORE_REGIONS, by).select(
+        *by, "ord", "region", S.percent_of(F.col("flight_count"), busiest).alias("score")
     )
 
 
@@ -70,29 +71,31 @@ def region_trend(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def longitude_density(live: DataFrame) -> DataFrame:
+def longitude_density(live: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Airborne aircraft in 72 bins of longitude, empty ones with zero; what lies outside is not counted."""
-    bin_of = geo.longitude_bin(F.col("lon"))
-    flying = live.where(~F.col("on_ground") & F.col("lon").isNotNull()).withColumn("bin", bin_of)
+    flying = live.where(~F.col("on_ground") & F.col("lon").isNotNull())
+    binned = flying.withColumn("bin", geo.longitude_bin(F.col("lon")))
     counts = (
-        flying.where((F.col("bin") >= 0) & (F.col("bin") < K.LONGITUDE_BINS))
-        .groupBy("bin")
+        binned.where((F.col("bin") >= 0) & (F.col("bin") < K.LONGITUDE_BINS))
+        .groupBy(*by, "bin")
         .agg(F.count("*").alias("flight_count"))
     )
-    bins = live.sparkSession.range(K.LONGITUDE_BINS).withColumnRenamed("id", "bin")
-    return bins.join(F.broadcast(counts), "bin", "left").select(
-        "bin", F.coalesce("flight_count", F.lit(0)).alias("flight_count")
+    bins = F.sequence(F.lit(0).cast("bigint"), F.lit(K.LONGITUDE_BINS - 1).cast("bigint"))
+    spine = groups_of(counts, by).select(*by, F.explode(bins).alias("bin"))
+    return join_counts(spine, counts, [*by, "bin"], bool(by)).select(
+        *by, "bin", F.coalesce("flight_count", F.lit(0)).alias("flight_count")
     )
 
 
-def density_levels(density: DataFrame) -> DataFrame:
+def density_levels(density: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Height and class of each bin relative to the fullest (72 rows)."""
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    everything = W.partitionBy(*by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     fullest = F.greatest(F.max("flight_count").over(everything), F.lit(1))
     chain = F
     for name, above in K.DENSITY_LEVELS:
         chain = chain.when(F.col("ratio") > above, F.lit(name))
     return density.withColumn("ratio", F.col("flight_count") / fullest).select(
+        *by,
         "bin",
         "flight_count",
         "ratio",

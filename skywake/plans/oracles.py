@@ -175,6 +175,7 @@ SELECT origin_country, count(*) AS flights_now FROM fx_live
 WHERE NOT on_ground AND origin_country IS NOT NULL GROUP BY 1 ORDER BY flights_now DESC, origin_country LIMIT 20""",
     ),
     "flying": (["fx_live"], "SELECT * FROM fx_live WHERE NOT on_ground AND lat IS NOT NULL AND lon IS NOT NULL"),
+    # Place, name, south, north, west and east of each region.
     "map_regions": (
         [],
         """
@@ -226,6 +227,7 @@ WHERE latest = 1 AND ingested_at >= (SELECT as_of - INTERVAL 30 MINUTE FROM wire
     ),
 }
 
+# Airline and its callsign prefixes, first match wins.
 AIRLINES = [
     ("Emirates", "EK", "UAE"),
     ("Ryanair", "RYR", "FR"),

@@ -239,3 +239,43 @@ def test_rollup_overwrites_the_hour(live_rows, spark, ago):
 def test_history_counts_distinct_aircraft_per_hour(live_rows, ago):
     rows = live_rows([{"icao24": a, "ingested_at": ago(hours=h)} for a, h in [("x", 0), ("x", 0), ("y", 0), ("x", 1)]])
     assert sorted(pairs(anomalies.history_hourly(rows), "aircraft")) == [(1,), (2,)]
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        activity.airline_counts,
+        activity.altitude_distribution,
+        activity.country_activity,
+        activity.country_speed,
+        lambda live, by=(): activity.dashboard_stats(live, NOW, by=by),
+        lambda live, by=(): activity.band_shares(activity.altitude_distribution(live, by), by),
+        regions.region_counts,
+        regions.region_scores,
+        regions.longitude_density,
+        lambda live, by=(): regions.density_levels(regions.longitude_density(live, by), by),
+        regions.density_grid,
+    ],
+)
+def test_by_equals_the_operator_on_each_group(live_rows, operator):
+    def some(step):
+        return live_rows([
+            {
+                "callsign": f"{prefix}{n}",
+                "origin_country": f"C{n % 5}",
+                "lat": float(n * step % 80),
+                "lon": float(n * 7 * step % 360 - 180),
+                "geo_altitude": n * 400.0 * step,
+                "velocity": 100.0 + n * step,
+                "on_ground": n % 11 == 0,
+            }
+            for n, prefix in enumerate(["BA", "EK", "ZZ", "AA"] * 10)
+        ])
+
+    parts = {1: some(1), 2: some(3)}
+    both = parts[1].withColumn("cycle", F.lit(1)).unionByName(parts[2].withColumn("cycle", F.lit(2)))
+    grouped = operator(both, by=["cycle"])
+    for cycle, part in parts.items():
+        alone = operator(part)
+        got = grouped.where(F.col("cycle") == cycle).select(*alone.columns)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, alone.collect()), key=repr)
