@@ -27,9 +27,10 @@ def explode_snapshots(snapshots: DataFrame, keep_empty: bool = False) -> DataFra
     a time gets that of its file.
     """
     explode = F.posexplode_outer if keep_empty else F.posexplode
-    landed = F.unix_seconds(F.col("_metadata.file_modification_time"))
+    landed = F.col("_metadata.file_modification_time")
     return snapshots.select(
-        F.coalesce("time", landed).alias("time"),
+        F.coalesce("time", F.unix_seconds(landed)).alias("time"),
+        landed.alias("landed"),
         F.col("_metadata.file_path").alias("file"),
         explode("states").alias("position", "vec"),
     )
@@ -47,11 +48,16 @@ def scan_state_snapshots(spark: SparkSession, path: str, multi_line: bool = True
 def stream_state_snapshots(
     spark: SparkSession, path: str, multi_line: bool = False, max_files: int | None = None
 ) -> DataFrame:
-    """The same scan as a stream over files landing in a folder; empty snapshots stay, to be logged."""
+    """The same scan as a stream over files landing in a folder.
+
+    Empty snapshots stay, to be logged. The file is a digest, which serves to tell files apart as well as the
+    path does and does not carry it along with every vector.
+    """
     reader = spark.readStream.schema(SNAPSHOT).option("multiLine", multi_line)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return explode_snapshots(reader.json(path), keep_empty=True)
+    vectors = explode_snapshots(reader.json(path), keep_empty=True)
+    return vectors.withColumn("file", F.xxhash64("file"))
 
 
 def _truth(text: Column) -> Column:

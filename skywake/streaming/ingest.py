@@ -19,8 +19,8 @@ PRODUCTION_TRIGGER = {"processingTime": "180 seconds"}
 
 
 def _arrival() -> list[Column]:
-    """Of several vectors for one aircraft, the one of the latest snapshot counts, then the last in its file."""
-    return [F.desc("time"), F.desc("file"), F.desc("position")]
+    """Of several vectors for one aircraft, that of the latest snapshot counts, then of the file landed last."""
+    return [F.desc("time"), F.desc("landed"), F.desc("file"), F.desc("position")]
 
 
 def accept(parsed: DataFrame) -> DataFrame:

@@ -110,6 +110,15 @@ def test_a_late_snapshot_does_not_turn_time_back(job):
     assert {row.run_at for row in state.current("runs").collect()} == {utc(5)}
 
 
+def test_of_snapshots_with_one_time_the_last_landed_counts(spark, job, tmp_path):
+    landing, _ = job
+    land(landing, 2, [vector("a", 1000.0), vector("a", 2000.0)], time=START)
+    land(landing, 1, [vector("a", 3000.0), vector("b")], time=START)
+    root = str(tmp_path / "one")
+    ingest.start_ingest(spark, str(landing), root, str(tmp_path / "one-checkpoint")).awaitTermination()
+    assert rows(CycleState(spark, root).current("live"), "icao24", "geo_altitude") == [("a", 2000.0), ("b", 10000.0)]
+
+
 def test_stream_equals_the_batch_rollup(job):
     landing, run = job
     for cycle in range(4):
