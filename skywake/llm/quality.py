@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywake.llm.common import batch_of, crc_mod, fresh, slices, table
+from skywake.llm.common import crc_mod, fresh, table
 
 BUCKETS, DIMENSIONS = 1 << 18, 8
 NGRAMS = (3, 4)
@@ -38,8 +38,6 @@ WORDS = 300_000
 
 _SCORERS: dict = {}
 
-OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
-
 
 def word_buckets(word: str, buckets: int, ngrams: tuple[int, int]) -> list[int]:
     """Buckets of a word and of its n-grams, counted in characters between its marked ends."""
@@ -166,20 +164,22 @@ def kept_scorer(name: str, model: Model):
     return _SCORERS[name]
 
 
-def score(docs: DataFrame, model: Model | None, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score of class 1 and predicted (1 from `threshold` on) for every row of `docs`."""
-    chosen = docs.select("doc_id", "text", held_out.alias("held_out"))
-
+def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` with score, the chance of class 1, and predicted, 1 from `threshold` on; columns of `docs` by these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the number of buckets
     name = fresh("model")
+    docs = docs.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = kept_scorer(name, shared.value) if shared.value else lambda text: 0.5
-        for part in slices(batches):
-            scores = [rate(text) for text in part["text"]]
-            yield batch_of(OUT, doc_id=part["doc_id"], held_out=part["held_out"], score=scores, predicted=[int(s >= threshold) for s in scores])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                scores = [rate(text) for text in part.column("text").to_pylist()]
+                more = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
+                yield pa.record_batch([*part.columns, *more], names=[*part.schema.names, "score", "predicted"])
 
-    return chosen.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, score double, predicted int")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,4 +187,4 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 5) == 0
     model = learn(docs, table(spark, sf_dir, "labels"), ~held_out)
-    return score(docs, model, held_out)
+    return score(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
