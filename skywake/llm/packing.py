@@ -31,9 +31,9 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 TOKENS, SEGMENTS = 4_096, 256
 #: Examples that wait for a place: filled up to the first number, packed down to the second.
-BUFFER = (4_096, 2_048)
-#: Words whose ids are remembered; the memory is emptied at this size.
-WORDS = 400_000
+BUFFER = (1_024, 512)
+#: New words after which the older ones are forgotten.
+WORDS = 500_000
 
 PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, n_loss long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
@@ -48,25 +48,74 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class WordIds:
-    """Ids of texts; each word between blanks is tokenised once, as no token spans a blank and blanks have none."""
+    """Ids of texts. A word between blanks is tokenised once, as no token spans a blank and blanks have no tokens.
+
+    The tokenizer lowers case letter by letter, so A-Z can be lowered before; a comma or full stop behind letters is a token of
+    its own. Words met lately are remembered: those of the last `WORDS` new ones and, until as many more came, those before.
+    """
+
+    MARK = "\x01"
 
     def __init__(self, path: str, end_id: int):
-        self.tokens, self.end, self.known = tokenizer(path), np.array([end_id], "<u4").tobytes(), {}
-
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > WORDS:
-            self.known, new = {}, list(set(words))
-        if len(new) > WORDS:  # more than the memory holds: word by word in blocks
-            out = []
+        self.tokens, self.known, self.before = tokenizer(path), {}, {}
+        self.end = self.bytes_of([end_id])
+        vocabulary = self.tokens.get_vocab()
+        self.ends, self.marks = np.zeros((2, max(vocabulary.values()) + 1), bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks[self.tokens.encode(self.MARK, add_special_tokens=False).ids[0]] = True
+        self.stops = {c: self.bytes_of(self.tokens.encode(c, add_special_tokens=False).ids) for c in ",."}
+
+    @staticmethod
+    def bytes_of(ids) -> bytes:
+        return np.asarray(ids, "<u4").tobytes()
+
+    def cut(self, text: str, ends: np.ndarray, behind: int) -> list[bytes]:
+        """The ids of `text` up to, and with `behind` not with, each id that `ends` marks."""
+        ids = np.asarray(self.tokens.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(ends[ids]) * 4).tolist()
+        held = ids.tobytes()
+        return [held[i : k + 4 - behind] for i, k in zip([0, *(c + 4 for c in cuts)], cuts, strict=False)]
+
+    def tokenise(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word, from one text of them all.
+
+        A word of Latin-1 letters alone is one pre-token, whose last id is an end of a word; behind others stands a mark with an id of its own.
+        """
+        latin = [w for w in words if w.isalpha() and max(w) <= "ÿ"]
+        rest = set(words).difference(latin)
+        other = [w for w in rest if self.MARK not in w]
+        found = dict(zip(latin, self.cut(" ".join(latin), self.ends, 0), strict=True))
+        found.update(zip(other, self.cut("".join(f"{w} {self.MARK} " for w in other), self.marks, 4), strict=True))
+        found.update((w, self.bytes_of(self.tokens.encode(w, add_special_tokens=False).ids)) for w in rest.difference(other))
+        return found
+
+    def learn(self, new: set[str]) -> None:
+        known, before = self.known, self.before
+        again = {w for w in new if w in before}
+        known.update((w, before[w]) for w in again)
+        new -= again
+        stopped = [w for w in new if w[-1:] in self.stops and w[:-1].isalpha()]
+        bare = (new.difference(stopped) | {w[:-1] for w in stopped}).difference(known)
+        asked = list(bare)
+        for start in range(0, len(asked), 1 << 16):
+            known.update(self.tokenise(asked[start : start + (1 << 16)]))
+        known.update((w, known[w[:-1]] + self.stops[w[-1]]) for w in stopped)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out = []
+        for text in texts:
+            words = (text or "").encode().lower().decode().replace("\n", " ").split(" ")
+            parts = []
             for start in range(0, len(words), WORDS):
-                out += [np.array(e.ids, "<u4").tobytes() for e in self.tokens.encode_batch(words[start : start + WORDS], add_special_tokens=False)]
-            return b"".join(out) + self.end
-        if new:
-            for word, e in zip(new, self.tokens.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words)) + self.end
+                block = words[start : start + WORDS]
+                if len(self.known) > WORDS:
+                    self.known, self.before = {}, self.known
+                new = set(block).difference(self.known)
+                if new:
+                    self.learn(new)
+                parts.append(b"".join(map(self.known.__getitem__, block)))
+            out.append(b"".join(parts) + self.end)
+        return out
 
 
 @cache
@@ -172,7 +221,7 @@ def pack(
     tokens: int = TOKENS,
     segments: int = SEGMENTS,
     loss: int = TOKENS,
-    encoder: Callable[[], Callable[[str | None], bytes]] | None = None,
+    encoder: Callable[[], Callable[[list[str | None]], list[bytes]]] | None = None,
 ) -> DataFrame:
     """Pieces of the examples and their places.
 
@@ -186,8 +235,8 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, encode, packer = TaskContext.get().partitionId(), make(), Packer(tokens, segments, loss)
         for part in slices(batches):
-            for key, text, start in zip(part["doc_id"], part["text"], part["loss_from"], strict=True):
-                packer.add(key, encode(text), start)
+            for key, ids, start in zip(part["doc_id"], encode(part["text"]), part["loss_from"], strict=True):
+                packer.add(key, ids, start)
             if len(packer.items) >= BUFFER[0]:
                 packer.pack(BUFFER[1])
             yield from packer.rows(task)
