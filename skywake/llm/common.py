@@ -17,6 +17,7 @@ from skywake.session import work_path
 
 #: Rows of a batch that are Python objects at a time.
 SLICE = 256
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,10 +42,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage, and lost executors cost no recomputation."""
+    """`df` as a Parquet table in the shared folder: cuts lineage, and lost executors cost no recomputation.
+
+    The table stands in for the shuffle files that made it, which go when it is written.
+    """
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

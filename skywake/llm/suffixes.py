@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywake.llm.common import slices, table, written
+from skywake.llm.common import forget, slices, table, written
 
 LENGTH, GRAM = 100, 40
 SHARD, SPLIT, LEVELS = 1 << 20, 1 << 22, 4
@@ -293,13 +294,15 @@ def _bodies(docs: DataFrame, segments: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, split: int = SPLIT) -> DataFrame:
-    """did, tag, start and stop of the bytes to remove (spans may overlap) of `docs` (did, tag, text)."""
+    """did, tag, start and stop of the bytes to remove (spans may overlap) of `docs` (did, tag, text), as a table."""
     if not 1 <= length <= 125:
         raise ValueError("segments of up to twice the length have to fit 250 bytes")
     twice = _counted(docs, length).groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1").select("mini")
     found = written(_occurrences(docs, length).join(twice, "mini", "left_semi"), "occurrences")
     different, spans = _collapsed(found, length)
     segments = written(_bodies(docs, different, length), "segments")
+    spans, done = [written(spans, "spans")], [segments]
+    forget(found)
 
     def run(group: pa.Table) -> pa.Table:
         columns = [group[c].to_pylist() for c in ("did", "tag", "start", "body")]
@@ -314,13 +317,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, split: in
         here = segments.join(large, "mini", "left_anti") if crowded else segments
         shards = max(1, -(-(total or 0) // shard))
         dealt = here.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards)))
-        spans = spans.unionByName(dealt.groupBy("shard").applyInArrow(run, "did long, tag long, start long, stop long"))
+        spans.append(written(dealt.groupBy("shard").applyInArrow(run, "did long, tag long, start long, stop long"), "spans"))
         if not crowded:
-            return spans
-        different, more = _collapsed(written(_deeper(segments.join(large, "mini", "left_semi"), length, seed), "pieces"), length, "body")
-        spans = spans.unionByName(more)
+            break
+        pieces = written(_deeper(segments.join(large, "mini", "left_semi"), length, seed), "pieces")
+        different, more = _collapsed(pieces, length, "body")
+        spans.append(written(more, "spans"))
         segments = written(different, "segments")
-    return spans
+        done += [pieces, segments]
+    forget(*done)
+    return reduce(DataFrame.unionByName, spans)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, split: int = SPLIT, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -330,7 +336,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, s
     """
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long")
-    spans = written(repeats(docs.select(key.alias("did"), F.xxhash64(text).alias("tag"), text.alias("text")), length, shard, split), "spans")
+    spans = repeats(docs.select(key.alias("did"), F.xxhash64(text).alias("tag"), text.alias("text")), length, shard, split)
     by_document = spans.groupBy("did", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     rows = docs.select("doc_id", *keep, text.alias("text"))
     same = (F.coalesce("d.doc_id", F.lit(-(1 << 63))) == F.col("s.did")) & (F.xxhash64("d.text") == F.col("s.tag"))
