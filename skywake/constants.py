@@ -90,10 +90,14 @@ HISTORY_RETENTION = timedelta(hours=1)
 ANOMALY_RETENTION = timedelta(hours=25)
 RUN_RETENTION = timedelta(days=3)
 OUTAGE_SECONDS = 3600
+#: A snapshot whose time lies further ahead of its landing is rejected.
+CLOCK_TOLERANCE = timedelta(minutes=5)
+# Texts that consumers compare.
 EMPTY_FETCH_MESSAGE = "Empty response from OpenSky"
 
 HIT_RADIUS_PX = 14
 TILE_PX = 256
 FEED_SIZE = 28
 FEED_CRUISE_PICKS = 2
+# Fixed value: what stands for a missing field.
 NO_VALUE = "—"

@@ -26,6 +26,16 @@ def moment(as_of: Column | datetime) -> Column:
     return F.lit(as_of) if as_of.tzinfo else F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def hour_of(moment: Column) -> Column:
+    """The start of the hour of a time without a zone, whatever the session's zone: its fields are read, not an instant."""
+    return F.make_timestamp_ntz(F.year(moment), F.month(moment), F.day(moment), F.hour(moment), F.lit(0), F.lit(0))
+
+
+def day_of(moment: Column) -> Column:
+    """The start of its day, likewise."""
+    return F.make_timestamp_ntz(F.year(moment), F.month(moment), F.day(moment), F.lit(0), F.lit(0), F.lit(0))
+
+
 def feet(meters: Column) -> Column:
     return meters * F.lit(K.FEET_PER_METER)
 

@@ -15,7 +15,7 @@ from skywake.operators.snapshots import airborne_only, upsert_rows
 def anomaly_hour_rollup(live: DataFrame, as_of: Column | datetime) -> DataFrame:
     """One row: the present hour with its ghosts (age rule) and low flights, in one pass over the live table."""
     now = S.moment(as_of)
-    hour = F.date_trunc("hour", now).cast(live.schema["ingested_at"].dataType)
+    hour = S.hour_of(now).cast(live.schema["ingested_at"].dataType)
     counts = live.agg(
         F.count_if(is_ghost(as_of=now)).cast("int").alias("ghost_count"),
         F.count_if(S.is_low_altitude(F.col("on_ground"), F.col("geo_altitude"))).cast("int").alias("low_alt_count"),
@@ -82,7 +82,7 @@ def history_hourly(history: DataFrame) -> DataFrame:
 
     The distinct count first groups by hour and address, so one crowded hour is spread over all tasks.
     """
-    hour = F.date_trunc("hour", "ingested_at").cast(history.schema["ingested_at"].dataType)
+    hour = S.hour_of(F.col("ingested_at")).cast(history.schema["ingested_at"].dataType)
     flying = airborne_only(history)
     return flying.groupBy(hour.alias("hs")).agg(F.countDistinct("icao24").alias("aircraft"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skywake import constants as K
 from skywake.functions import scalars as S
@@ -107,21 +107,40 @@ def new_ghosts(ghosts: DataFrame, previous: DataFrame) -> DataFrame:
     return ghosts.join(previous.select("icao24"), "icao24", "left_anti")
 
 
+def cycle_marks(snapshots: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """number, success (the last successful run up to it) and down of each ``cycle`` of ``snapshots``: a row per cycle.
+
+    The windows run over the cycles and, with ``runs``, the run log.
+    """
+    last = snapshots.groupBy("cycle").agg(F.max("ingested_at").alias("last"))
+    down = S.seconds_between(F.col("last"), F.col("cycle")) > K.OUTAGE_SECONDS
+    marks = last.select("cycle", down.alias("down"), F.lit(None).cast(snapshots.schema["cycle"].dataType).alias("success"))
+    if runs is not None:
+        good = runs.where(F.col("status") == "success").select(F.col("run_at").alias("cycle"), F.lit(None).cast("boolean").alias("down"), F.col("run_at").alias("success"))
+        upto = W.orderBy("cycle").rangeBetween(W.unboundedPreceding, W.currentRow)
+        marks = marks.unionByName(good).withColumn("success", F.max("success").over(upto)).where(F.col("down").isNotNull())
+    return marks.withColumn("number", F.row_number().over(W.orderBy("cycle")))
+
+
 def live_feed(
     snapshots: DataFrame,
-    cycle_interval: timedelta = K.CYCLE_INTERVAL,
+    runs: DataFrame | None = None,
     size: int = K.FEED_SIZE,
     cruise_picks: int = K.FEED_CRUISE_PICKS,
 ) -> DataFrame:
     """The latest events over snapshots with a ``cycle`` column, newest cycle first.
 
-    A cycle gives its new ghosts by the age rule, then two aircraft above 9,000 m that are no ghosts. Those
-    are picked by a digest of address and cycle, so that the pick can be repeated.
+    A cycle gives the ghosts that were none in the cycle before it, however long ago that was: by the last successful run
+    with ``runs``, else by the age rule, and none while ingestion is down. Then two aircraft above 9,000 m that are no
+    ghosts, picked by a digest of address and cycle, so that the pick can be repeated.
     """
     cycle = F.col("cycle")
-    ghosts = scan_recent_ghosts(snapshots, cycle)
-    before = ghosts.select("icao24", (cycle + F.lit(cycle_interval)).alias("cycle"))
-    lost = ghosts.join(before, ["icao24", "cycle"], "left_anti").select(
+    marked = snapshots.join(cycle_marks(snapshots, runs), "cycle")
+    bound = cycle - F.lit(K.GHOST_AGE) if runs is None else F.col("success") - F.lit(K.GHOST_RUN_GRACE)
+    recent = S.minutes_between(F.col("ingested_at"), cycle) <= K.GHOST_MAX_MINUTES
+    ghosts = marked.where(~F.col("down") & ~F.col("on_ground") & (F.col("ingested_at") < bound) & recent)
+    before = ghosts.select("icao24", (F.col("number") + 1).alias("number"))
+    lost = ghosts.join(before, ["icao24", "number"], "left_anti").select(
         "cycle",
         F.lit("ghost").alias("kind"),
         "icao24",

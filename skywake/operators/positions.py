@@ -66,7 +66,7 @@ def non_ghost_flights(flights: DataFrame, ghosts: DataFrame) -> DataFrame:
 def performance_scatter(
     live: DataFrame, wide: bool = False, speed_below: int = 700, limit: int | None = None
 ) -> DataFrame:
-    """Speed against altitude of moving airborne aircraft, first ones by address.
+    """Speed against altitude of moving airborne aircraft, all of them; a chart that takes fewer gets the first by address.
 
     The wide form needs a position, has five bands and no upper altitude; the other has three bands and
     stops below 55,000 ft.
@@ -85,13 +85,14 @@ def performance_scatter(
     shown = (F.col("speed") > 0) & (F.col("speed") < speed_below) & (F.col("altitude") > 0)
     if not wide:
         shown = shown & (F.col("altitude") < 55000)
-    return rows.where(shown).orderBy("icao24").limit(limit or (2500 if wide else 2000))
+    points = rows.where(shown)
+    return points if limit is None else points.orderBy("icao24").limit(limit)
 
 
 def altitude_profile(history: DataFrame, order: list[str], icao24: str | None = None, limit: int = 60) -> DataFrame:
     """The first points of the altitude curve of one aircraft, or of every aircraft at once.
 
-    For all aircraft the limit per address is applied in each map task before the shuffle.
+    For all aircraft a limit up to 1,000 is applied in each map task before the shuffle.
     """
     geo_altitude, baro_altitude = F.col("geo_altitude"), F.col("baro_altitude")
     shown = [

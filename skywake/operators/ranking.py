@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skywake.functions import geo
 from skywake.session import shared_dir
 
-BROADCAST_KEYS = 100_000
-
 
 def top_rows(rows: DataFrame, order: Sequence[Column | str], limit: int, by: Sequence[str] = ()) -> DataFrame:
     """The first rows in an order, overall or for each value of ``by``."""
@@ -20,7 +19,7 @@ def top_rows(rows: DataFrame, order: Sequence[Column | str], limit: int, by: Seq
 
 
 def top_per(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], limit: int) -> DataFrame:
-    """The first rows of each group; the limit is applied in each map task before the shuffle."""
+    """The first rows of each group; Spark applies a limit up to 1,000 in each map task before the shuffle."""
     window = W.partitionBy(*by).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= limit).drop("_rank")
 
@@ -35,26 +34,42 @@ def join_counts(spine: DataFrame, counts: DataFrame, keys: Sequence[str], groupe
     return spine.join(counts if grouped else F.broadcast(counts), list(keys), "left")
 
 
-def page_of(rows: DataFrame, order: Sequence[Column | str], page: int = 1, size: int = 20) -> DataFrame:
-    """One page, with its number and the number of pages (at least one)."""
+def page_of(rows: DataFrame, order: Sequence[str], page: int = 1, size: int = 20) -> DataFrame:
+    """One page of the rows in order of unique keys, with its number and the number of pages (at least one) (an action).
+
+    The keys are numbered by a distributed sort, so a deep page is no more work than the first and no task merges the rows
+    before it. To go through pages one after the other, ``page_after`` sorts nothing.
+    """
+    first = (page - 1) * size
+    indexed = row_indexes(rows, order)
+    wanted = indexed.where((F.col("row_index") >= first) & (F.col("row_index") < first + size))
     pages = rows.agg(F.greatest(F.ceil(F.count("*") / F.lit(size)), F.lit(1)).alias("pages")).scalar()
-    shown = rows.orderBy(*order).offset((page - 1) * size).limit(size)
+    same = F.lit(True)
+    for key in order:
+        same = same & F.col(f"r.{key}").eqNullSafe(F.col(f"w.{key}"))
+    shown = rows.alias("r").join(wanted.alias("w"), same).orderBy("w.row_index").select("r.*")
     return shown.withColumn("page", F.lit(page)).withColumn("total_pages", pages)
 
 
-def page_after(rows: DataFrame, keys: Sequence[str], after: Sequence | None = None, size: int = 20) -> DataFrame:
+def page_after(rows: DataFrame, keys: Sequence[str | tuple[str, bool]], after: Sequence | None = None, size: int = 20) -> DataFrame:
     """The page that follows the row with the given key values.
 
-    Unlike an offset, it costs the same at any depth: the rows before it are filtered out in the scan.
+    Unlike an offset, it costs the same at any depth: the rows before it are filtered out in the scan. A key is a column
+    name, ascending, or (name, descending). Nulls stand where Spark's order has them: first ascending, last descending.
     """
+    named = [(key, False) if isinstance(key, str) else key for key in keys]
     if after is not None:
-        beyond = F.lit(False)
-        equal = F.lit(True)
-        for key, value in zip(keys, after):
-            beyond = beyond | (equal & (F.col(key) > F.lit(value)))
-            equal = equal & (F.col(key) == F.lit(value))
+        beyond, equal = F.lit(False), F.lit(True)
+        for (key, descending), value in zip(named, after, strict=True):
+            column, given = F.col(key), F.lit(value).cast(rows.schema[key].dataType)
+            if descending:
+                later = F.lit(False) if value is None else column.isNull() | (column < given)
+            else:
+                later = column.isNotNull() if value is None else F.coalesce(column > given, F.lit(False))
+            beyond = beyond | (equal & later)
+            equal = equal & column.eqNullSafe(given)
         rows = rows.where(beyond)
-    return rows.orderBy(*keys).limit(size)
+    return rows.orderBy(*(F.desc(key) if descending else F.asc(key) for key, descending in named)).limit(size)
 
 
 def row_indexes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,22 +96,36 @@ def row_indexes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def systematic_sample(rows: DataFrame, limit: int, keys: Sequence[str] = ("icao24",)) -> DataFrame:
-    """All rows if there are at most ``limit``, else ``limit`` rows evenly spaced in key order (an action).
+    """All rows if there are at most ``limit``, else ``limit`` rows evenly spaced in key order (an action)."""
+    return rows.join(sampled_keys(row_indexes(rows, keys), limit).select(*keys), list(keys), "left_semi")
+
+
+def sampled_keys(indexed: DataFrame, limit: int) -> DataFrame:
+    """The rows of ``row_indexes`` that a sample of ``limit`` takes.
 
     Row ``r`` of ``n`` stays if some sample number ``i`` has ``floor(i * n / limit) = r``; in whole numbers,
-    the first ``i`` with ``i * n >= r * limit`` must lie below ``(r + 1) * limit / n``. The chosen keys, never
-    more than ``limit``, are broadcast while that is small.
+    the first ``i`` with ``i * n >= r * limit`` must lie below ``(r + 1) * limit / n``.
     """
-    indexed = row_indexes(rows, keys)
     first = F.expr(f"(row_index * {limit} + row_count - 1) div row_count")
-    chosen = indexed.where(first * F.col("row_count") < (F.col("row_index") + 1) * limit).select(*keys)
-    return rows.join(F.broadcast(chosen) if limit <= BROADCAST_KEYS else chosen, list(keys), "left_semi")
+    return indexed.where(first * F.col("row_count") < (F.col("row_index") + 1) * limit)
 
 
 def zoom_sample(
     rows: DataFrame, zoom: int, bounds: tuple[float, float, float, float], keys: Sequence[str] = ("icao24",)
 ) -> DataFrame:
-    """What the map draws: a sample when zoomed out, all rows in view when zoomed in."""
-    if zoom >= 7:
-        return rows.where(geo.in_box(F.col("lat"), F.col("lon"), *bounds))
-    return systematic_sample(rows, 5000 if zoom < 4 else 10000, keys)
+    """What the map draws of the rows with a position: a sample when zoomed out, all in view when zoomed in."""
+    return zoom_samples(rows, [zoom], bounds, keys).drop("zoom")
+
+
+def zoom_samples(
+    rows: DataFrame, zooms: Sequence[int], bounds: tuple[float, float, float, float], keys: Sequence[str] = ("icao24",)
+) -> DataFrame:
+    """The same for several zooms, with the zoom; the rows are numbered once for all samples."""
+    placed = rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    parts = [placed.where(geo.in_box(F.col("lat"), F.col("lon"), *bounds)).withColumn("zoom", F.lit(z)) for z in zooms if z >= 7]
+    far = [z for z in zooms if z < 7]
+    if far:
+        indexed = row_indexes(placed, keys)
+        chosen = [sampled_keys(indexed, 5000 if z < 4 else 10000).select(*keys, F.lit(z).alias("zoom")) for z in far]
+        parts.append(placed.join(reduce(DataFrame.unionByName, chosen), list(keys)))
+    return reduce(DataFrame.unionByName, parts)

@@ -36,7 +36,7 @@ def run_metrics(runs: DataFrame, over: int = 10) -> DataFrame:
 
 def scan_runs_today(runs: DataFrame, as_of: Column | datetime) -> DataFrame:
     """Upserted counts of the successful runs since midnight UTC."""
-    midnight = F.date_trunc("day", S.moment(as_of)).cast(runs.schema["run_at"].dataType)
+    midnight = S.day_of(S.moment(as_of)).cast(runs.schema["run_at"].dataType)
     return runs.where((F.col("run_at") >= midnight) & (F.col("status") == "success")).select("records_upserted")
 
 
@@ -49,8 +49,8 @@ def records_today(runs: DataFrame, as_of: Column | datetime) -> DataFrame:
 def hour_spine(rows: DataFrame, ts: str, as_of: Column | datetime, hours: int = 24) -> DataFrame:
     """The hours up to the present one, as ``hs`` of the type of column ``ts``."""
     now = S.moment(as_of)
-    start = F.date_trunc("hour", now - F.lit(timedelta(hours=hours - 1)))
-    steps = F.sequence(start, F.date_trunc("hour", now), F.lit(timedelta(hours=1)))
+    start = S.hour_of(now - F.lit(timedelta(hours=hours - 1)))
+    steps = F.sequence(start, S.hour_of(now), F.lit(timedelta(hours=1)))
     spine = rows.sparkSession.range(1).select(F.explode(steps).alias("hs"))
     return spine.select(F.col("hs").cast(rows.schema[ts].dataType).alias("hs"))
 
@@ -58,7 +58,7 @@ def hour_spine(rows: DataFrame, ts: str, as_of: Column | datetime, hours: int =
 def hourly_average(runs: DataFrame, as_of: Column | datetime) -> DataFrame:
     """Average upserted count of the successful runs of each hour within the last 24 hours."""
     recent = (F.col("run_at") >= S.moment(as_of) - F.lit(timedelta(hours=24))) & (F.col("status") == "success")
-    hour = F.date_trunc("hour", "run_at").cast(runs.schema["run_at"].dataType)
+    hour = S.hour_of(F.col("run_at")).cast(runs.schema["run_at"].dataType)
     average = F.round(F.avg("records_upserted")).cast("bigint")
     return runs.where(recent).groupBy(hour.alias("hs")).agg(average.alias("cnt"))
 
@@ -119,7 +119,7 @@ def activity_clock(congestion: DataFrame, as_of: Column | datetime) -> DataFrame
     """Intensity of each hour, with marks for the present hour and for every peak."""
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     highest = F.greatest(F.max("count").over(everything), F.lit(1))
-    now = S.hour_label(F.date_trunc("hour", S.moment(as_of)))
+    now = S.hour_label(S.hour_of(S.moment(as_of)))
     return congestion.select(
         "hour",
         "count",

@@ -28,21 +28,38 @@ def snapshot_at(history: DataFrame, as_of: Column | datetime, newest_first: list
     return latest_by_key(known, ["icao24"], newest_first)
 
 
-def snapshots_at(history: DataFrame, cycles: list[Column], newest_first: list[Column]) -> DataFrame:
-    """The live table at each of some ascending moments, with the moment as ``cycle``, from one pass.
+def snapshots_at(history: DataFrame, moments: Column, newest_first: list[Column]) -> DataFrame:
+    """The live table at each of some moments, with the moment as ``cycle``, from one pass over the log.
 
-    The log is first cut to the newest row per aircraft and interval between moments, in the map tasks already.
-    Only those few rows are then repeated for the moments until the aircraft's next one.
+    ``moments`` is an ascending array, such as a scalar subquery or ``cycle_grid``: one expression however many there are. A
+    row's first cycle is found by counting the moments before it. The log is cut to the newest row per aircraft and first
+    cycle, in the map tasks already; only those few rows are then repeated for the cycles until the aircraft's next one.
     """
-    first = F
-    for number, cycle in enumerate(cycles):
-        first = first.when(F.col("ingested_at") <= cycle, F.lit(number))
-    marked = history.where(F.col("ingested_at") <= cycles[-1]).withColumn("_first", first)
+    first = F.size(F.filter(moments, lambda m: m < F.col("ingested_at")))
+    marked = history.withColumn("_first", first).where(F.col("_first") < F.size(moments))
+    return _lasting(marked, moments, newest_first)
+
+
+def snapshots_on_grid(history: DataFrame, last: Column, interval: timedelta, count: int, newest_first: list[Column]) -> DataFrame:
+    """The same at ``count`` moments ``interval`` apart that end at ``last``; a row's first cycle follows by arithmetic."""
+    step = int(interval.total_seconds() * 1_000_000)
+    ago = F.unix_micros(last.cast("timestamp")) - F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    first = F.greatest(F.lit(0), F.lit(count - 1) - F.floor(ago / F.lit(step))).cast("int")
+    marked = history.where(F.col("ingested_at") <= last).withColumn("_first", first)
+    return _lasting(marked, cycle_grid(last, interval, count), newest_first)
+
+
+def cycle_grid(last: Column, interval: timedelta, count: int) -> Column:
+    """``count`` moments ``interval`` apart that end at ``last``, as an array."""
+    return F.sequence(last - F.lit(interval * (count - 1)), last, F.lit(interval))
+
+
+def _lasting(marked: DataFrame, moments: Column, newest_first: list[Column]) -> DataFrame:
     newest = latest_by_key(marked, ["icao24", "_first"], newest_first)
-    following = F.lead("_first", 1, len(cycles)).over(W.partitionBy("icao24").orderBy("_first"))
-    lasting = newest.withColumn("_cycles", following - F.col("_first"))
-    moments = F.slice(F.array(*cycles), F.col("_first") + 1, F.col("_cycles"))
-    return lasting.withColumn("cycle", F.explode(moments)).drop("_first", "_cycles")
+    following = F.lead("_first").over(W.partitionBy("icao24").orderBy("_first"))
+    cycles = F.coalesce(following, F.size(moments)) - F.col("_first")
+    lasting = newest.withColumn("_cycles", F.slice(moments, F.col("_first") + 1, cycles))
+    return lasting.withColumn("cycle", F.explode("_cycles")).drop("_first", "_cycles")
 
 
 def upsert_live(
@@ -80,7 +97,7 @@ def retain(
     kept = rows.where(F.col(column) >= bound)
     if partition_hour:
         hour = rows.schema[partition_hour].dataType
-        kept = kept.where(F.col(partition_hour) >= F.date_trunc("hour", bound).cast(hour))
+        kept = kept.where(F.col(partition_hour) >= S.hour_of(bound).cast(hour))
     return kept
 
 
@@ -114,12 +131,12 @@ def airborne_only(rows: DataFrame) -> DataFrame:
 
 def history_rows(batch: DataFrame) -> DataFrame:
     """Airborne rows with the hour that names their folder."""
-    hour = F.date_trunc("hour", F.col("ingested_at")).cast(batch.schema["ingested_at"].dataType)
+    hour = S.hour_of(F.col("ingested_at")).cast(batch.schema["ingested_at"].dataType)
     return airborne_only(batch).select(*LIVE_COLUMNS, hour.alias("ingest_hour"))
 
 
 def append_history(batch: DataFrame, path: str) -> None:
-    """Append to the log, one folder per hour (an action).
+    """Append to the log, one folder per hour (an action). A retry appends again; ``state.write_history`` does not.
 
     ``rebalance`` gives each hour its own files while splitting an hour that holds much of the batch.
     """

@@ -28,7 +28,10 @@ COLUMNS = {
 HALF_HOUR_US = 1_800_000_000
 HOUR_US = 3_600_000_000
 COMPRESSION = 720
+#: The documents' observations are compressed less, so that their cycles span several hours.
+DOCUMENT_COMPRESSION = 120
 DOCUMENT_VECTORS = 400
+UNEVEN_SECONDS = (490, 183, 0)
 
 
 def _micros(ts: Column) -> Column:
@@ -81,8 +84,14 @@ class Inputs:
     @cached_property
     def cycles(self) -> DataFrame:
         """The live table at both cycles, from one pass over the log."""
-        both = [self.before, self.as_of]
-        return snapshots.snapshots_at(self.history, both, self.newest).select("cycle", *LIVE_COLUMNS)
+        found = snapshots.snapshots_on_grid(self.history, self.as_of, K.CYCLE_INTERVAL, 2, self.newest)
+        return found.select("cycle", *LIVE_COLUMNS)
+
+    @cached_property
+    def uneven_cycles(self) -> DataFrame:
+        """The live table at three cycles that are not equally far apart."""
+        moments = F.array(*(self.as_of - F.expr(f"INTERVAL {seconds} SECOND") for seconds in UNEVEN_SECONDS))
+        return snapshots.snapshots_at(self.history, moments, self.newest).select("cycle", *LIVE_COLUMNS)
 
     def stored(self, snapshot: DataFrame) -> DataFrame:
         """A snapshot kept in the shared folder, for operators that read it several times (an action).
@@ -101,6 +110,10 @@ class Inputs:
     def stored_cycles(self) -> DataFrame:
         return self.stored(self.cycles)
 
+    @cached_property
+    def stored_uneven_cycles(self) -> DataFrame:
+        return self.stored(self.uneven_cycles)
+
     @cached_property
     def runs(self) -> DataFrame:
         """One run per half hour of events, numbered in time order; the last one ends at the reference time.
@@ -154,7 +167,7 @@ class Inputs:
         step = int(K.CYCLE_INTERVAL.total_seconds()) * 1_000_000
         timed = (
             self.states.withColumn("now_us", _micros(self.as_of))
-            .withColumn("age_us", F.col("now_us") - _micros(F.col("ingested_at")))
+            .withColumn("age_us", F.expr(f"(now_us - ts_us) div {DOCUMENT_COMPRESSION}"))
             .withColumn("time", F.expr(f"(now_us - age_us div {step} * {step}) div 1000000"))
         )
         latest = snapshots.latest_by_key(timed, ["time", "icao24"], self.newest)

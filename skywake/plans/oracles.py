@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from skywake.constants import EMPTY_FETCH_MESSAGE
+
 LIVE = (
     "icao24, callsign, origin_country, lon, lat, baro_altitude, geo_altitude, on_ground, "
     "velocity, true_track, vertical_rate, ingested_at"
@@ -199,22 +201,63 @@ LEFT JOIN (
   SELECT CAST(floor((lon + 180e0) / 360e0 * 72) AS BIGINT) AS bin, count(*) AS n FROM fx_live
   WHERE NOT on_ground AND lon IS NOT NULL GROUP BY 1) c ON c.bin = d.bin""",
     ),
+    "placed_live": (["fx_live"], "SELECT * FROM fx_live WHERE lat IS NOT NULL AND lon IS NOT NULL"),
+    "placed_history": (["fx_history"], "SELECT * FROM fx_history WHERE lat IS NOT NULL AND lon IS NOT NULL"),
     "age_ghosts": (
         ["fx_cycles"],
         """
 SELECT *, CAST(epoch_us(cycle) - epoch_us(ingested_at) AS DOUBLE) / 1e6 / 60e0 AS minutes_since_contact
 FROM fx_cycles WHERE NOT on_ground AND ingested_at < cycle - INTERVAL 2 MINUTE""",
+    ),
+    # The live table at cycles that are not equally far apart, and its ghosts by either rule.
+    "fx_uneven": (
+        ["fx_history"],
+        f"""
+SELECT cycle, {LIVE} FROM (
+  SELECT c.cycle, h.*, row_number() OVER (PARTITION BY c.cycle, icao24 ORDER BY ts_us DESC, event_id DESC) AS place
+  FROM (SELECT CAST({AS_OF} - INTERVAL 490 SECOND AS TIMESTAMP) AS cycle UNION ALL
+    SELECT CAST({AS_OF} - INTERVAL 183 SECOND AS TIMESTAMP) UNION ALL SELECT CAST({AS_OF} AS TIMESTAMP)) c
+  JOIN fx_history h ON h.ingested_at <= c.cycle) p WHERE place = 1""",
+    ),
+    "uneven_recent": (
+        ["fx_uneven"],
+        "SELECT * FROM fx_uneven WHERE NOT on_ground AND ingested_at < cycle - INTERVAL 2 MINUTE AND ingested_at >= cycle - INTERVAL 15 MINUTE",
+    ),
+    "uneven_unseen": (
+        ["fx_uneven", "fx_runs"],
+        """
+SELECT * FROM fx_uneven u WHERE NOT on_ground AND ingested_at >= cycle - INTERVAL 15 MINUTE
+  AND ingested_at < (SELECT max(run_at) FROM fx_runs r WHERE r.status = 'success' AND r.run_at <= u.cycle) - INTERVAL 30 SECOND""",
     ),
     # Snapshot documents of the streaming queries: latest vector per 180-second cycle and aircraft.
-    "wire": (
+    "wire_all": (
         ["fx_states"],
         """
-SELECT * FROM (
+SELECT *, (on_ground OR (lat IS NOT NULL AND lon IS NOT NULL))
+    AND event_id % 101 <> 0 AND event_id % 103 <> 0 AND event_id % 97 <> 0 AS good FROM (
   SELECT *, row_number() OVER (PARTITION BY time, icao24 ORDER BY ts_us DESC, event_id DESC) AS rn FROM (
-    SELECT s.*, (now_us - ((now_us - epoch_us(ingested_at)) // 180000000) * 180000000) // 1000000 AS time
+    SELECT s.*, (now_us - (((now_us - ts_us) // 120) // 180000000) * 180000000) // 1000000 AS time
     FROM fx_states s CROSS JOIN fx_now) t) r
-WHERE rn = 1 AND (on_ground OR (lat IS NOT NULL AND lon IS NOT NULL))
-  AND event_id % 101 <> 0 AND event_id % 103 <> 0 AND event_id % 97 <> 0""",
+WHERE rn = 1""",
+    ),
+    "wire": (["wire_all"], "SELECT * FROM wire_all WHERE good"),
+    # A row per snapshot, with the last success up to it, and what each one sees of the aircraft.
+    "wire_cycles": (
+        ["wire_all"],
+        """
+SELECT time, n, row_number() OVER (ORDER BY time) AS k, max(CASE WHEN n > 0 THEN time END) OVER (ORDER BY time) AS success
+FROM (SELECT time, count(*) FILTER (good) AS n FROM wire_all GROUP BY time) g""",
+    ),
+    "wire_seen": (
+        ["wire", "wire_cycles"],
+        """
+SELECT * FROM (
+  SELECT c.time AS t, c.n, c.k, c.success, w.*, row_number() OVER (PARTITION BY c.time, icao24 ORDER BY w.time DESC) AS place
+  FROM wire_cycles c JOIN wire w ON w.time <= c.time AND w.time >= c.time - 1800) s WHERE place = 1""",
+    ),
+    "wire_ghosts": (
+        ["wire_seen"],
+        "SELECT * FROM wire_seen WHERE NOT on_ground AND time < success - 30 AND t - time <= 900",
     ),
     "wire_now": (["wire"], "SELECT make_timestamp(max(time) * 1000000) AS as_of FROM wire"),
     "wire_live": (
@@ -291,6 +334,26 @@ WHERE n <= {limit} OR idx IN (
   SELECT (i * (SELECT count(*) FROM {table})) // {limit} FROM (SELECT unnest(generate_series(0, {limit} - 1)) AS i) s)"""
 
 
+def _feed(ghosts: str) -> str:
+    """The feed over the uneven cycles: ghosts that were none in the cycle before, and picks among the others."""
+    return f"""
+, lost AS (
+  SELECT g.cycle, 'ghost' AS kind, g.icao24, callsign, origin_country, NULL AS geo_altitude, ingested_at, '' AS pick
+  FROM {ghosts} g WHERE NOT EXISTS (
+    SELECT 1 FROM {ghosts} p WHERE p.icao24 = g.icao24
+      AND p.cycle = (SELECT max(x.cycle) FROM (SELECT DISTINCT cycle FROM fx_uneven) x WHERE x.cycle < g.cycle))),
+cruising AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY pick, icao24) AS rn FROM (
+      SELECT *, md5(icao24 || CAST(epoch_us(cycle) AS VARCHAR)) AS pick FROM fx_uneven c
+      WHERE lat IS NOT NULL AND lon IS NOT NULL AND geo_altitude > 9000 AND NOT EXISTS (
+        SELECT 1 FROM {ghosts} p WHERE p.icao24 = c.icao24 AND p.cycle = c.cycle)) h) r WHERE rn <= 2)
+SELECT cycle, kind, icao24, {_MESSAGE} AS message FROM (
+  SELECT * FROM lost UNION ALL
+  SELECT cycle, 'cruise', icao24, callsign, origin_country, geo_altitude, ingested_at, pick FROM cruising) e
+ORDER BY cycle DESC, kind DESC, CASE WHEN kind = 'ghost' THEN ingested_at END, pick, icao24 LIMIT 28"""
+
+
 def _region_counts(regions: str) -> str:
     return f"""
 SELECT r.ord, r.region, count(f.icao24) AS flight_count FROM {regions} r
@@ -675,12 +738,20 @@ SELECT icao24, callsign, ingested_at, 3 AS page,
 FROM recent ORDER BY ingested_at, icao24 LIMIT 20 OFFSET 40""",
         "recent",
     ),
-    "systematic_sample": sql(_sample("icao24", "fx_live", 500, "icao24"), "fx_live"),
+    "page_after": sql(
+        """
+SELECT * FROM (SELECT callsign, icao24 FROM fx_live WHERE callsign IS NULL OR callsign < 'BA1000' OR (callsign = 'BA1000' AND icao24 > '')
+  ORDER BY callsign DESC NULLS LAST, icao24 LIMIT 30) a
+UNION ALL SELECT * FROM (SELECT callsign, icao24 FROM fx_live WHERE callsign IS NULL AND icao24 > '100' ORDER BY icao24 LIMIT 30) b""",
+        "fx_live",
+    ),
+    "systematic_sample": sql(_sample("icao24", "placed_live", 500, "icao24"), "placed_live"),
     "zoom_sample": sql(
-        f"""SELECT * FROM ({_sample("icao24, event_id", "fx_history", 5000, "3 AS zoom, icao24, event_id")})
-UNION ALL SELECT * FROM ({_sample("icao24, event_id", "fx_history", 10000, "5 AS zoom, icao24, event_id")})
+        f"""SELECT * FROM ({_sample("icao24, event_id", "placed_history", 5000, "3 AS zoom, icao24, event_id")})
+UNION ALL SELECT * FROM ({_sample("icao24, event_id", "placed_history", 10000, "5 AS zoom, icao24, event_id")})
 UNION ALL SELECT 7, icao24, event_id FROM fx_history WHERE lat BETWEEN 20 AND 60 AND lon BETWEEN -30 AND 60""",
         "fx_history",
+        "placed_history",
     ),
     "performance_scatter": sql(
         f"""
@@ -688,7 +759,7 @@ SELECT * FROM (
   SELECT icao24, callsign, origin_country, CAST(floor({KNOTS} + 0.5e0) AS BIGINT) AS speed,
     CAST(floor({FEET} + 0.5e0) AS BIGINT) AS altitude, @band3 AS band
   FROM fx_live WHERE NOT on_ground AND {MOVING}) p
-WHERE speed > 0 AND speed < 700 AND altitude > 0 AND altitude < 55000 ORDER BY icao24 LIMIT 2000""",
+WHERE speed > 0 AND speed < 700 AND altitude > 0 AND altitude < 55000""",
         "fx_live",
     ),
     "performance_scatter_wide": sql(
@@ -697,45 +768,38 @@ SELECT * FROM (
   SELECT icao24, callsign, origin_country, CAST(floor({KNOTS} + 0.5e0) AS BIGINT) AS speed,
     CAST(floor({FEET} + 0.5e0) AS BIGINT) AS altitude, @band5 AS band
   FROM flying WHERE {MOVING}) p
-WHERE speed > 0 AND speed < 700 AND altitude > 0 ORDER BY icao24 LIMIT 2500""",
+WHERE speed > 0 AND speed < 700 AND altitude > 0""",
         "flying",
     ),
     # Streaming
     "stream_ingest": sql("SELECT * FROM wire_live", "wire_live"),
     "stream_hourly_rollup": sql(
         f"""
-SELECT CAST(date_trunc('hour', n.as_of) AS TIMESTAMP) AS hour_utc,
-  CAST(count(*) FILTER (NOT on_ground AND ingested_at < n.as_of - INTERVAL 2 MINUTE) AS INT) AS ghost_count,
-  CAST(count(*) FILTER (NOT on_ground AND {FEET} < 3000 AND {FEET} > 0) AS INT) AS low_alt_count, n.as_of AS updated_at
-FROM wire_live CROSS JOIN wire_now n GROUP BY n.as_of""",
-        "wire_live",
+SELECT hour_utc, ghost_count, low_alt_count, updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY hour_utc ORDER BY updated_at DESC) AS latest FROM (
+    SELECT make_timestamp((t // 3600) * 3600000000) AS hour_utc,
+      CAST(count(*) FILTER (NOT on_ground AND time < t - 120) AS INT) AS ghost_count,
+      CAST(count(*) FILTER (NOT on_ground AND {FEET} < 3000 AND {FEET} > 0) AS INT) AS low_alt_count,
+      make_timestamp(t * 1000000) AS updated_at
+    FROM wire_seen WHERE n > 0 GROUP BY t) h) r
+WHERE latest = 1""",
+        "wire_seen",
     ),
     "stream_new_ghosts": sql(
         """
-SELECT n.as_of AS cycle, icao24, @who || ' transponder signal lost' AS message FROM wire_live CROSS JOIN wire_now n
-WHERE NOT on_ground AND ingested_at < n.as_of - INTERVAL 30 SECOND AND ingested_at >= n.as_of - INTERVAL 15 MINUTE""",
-        "wire_live",
+SELECT make_timestamp(t * 1000000) AS cycle, icao24, @who || ' transponder signal lost' AS message FROM wire_ghosts g
+WHERE NOT EXISTS (SELECT 1 FROM wire_ghosts p WHERE p.icao24 = g.icao24 AND p.k = g.k - 1)""",
+        "wire_ghosts",
     ),
-    "live_feed": sql(
+    "stream_runs": sql(
         f"""
-, lost AS (
-  SELECT g.cycle, 'ghost' AS kind, g.icao24, callsign, origin_country, NULL AS geo_altitude, ingested_at, '' AS pick
-  FROM age_ghosts g WHERE minutes_since_contact <= 15 AND NOT EXISTS (
-    SELECT 1 FROM age_ghosts p WHERE p.icao24 = g.icao24 AND p.cycle = g.cycle - INTERVAL 180 SECOND
-      AND p.minutes_since_contact <= 15)),
-cruising AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY pick, icao24) AS rn FROM (
-      SELECT *, md5(icao24 || CAST(epoch_us(cycle) AS VARCHAR)) AS pick FROM fx_cycles c
-      WHERE lat IS NOT NULL AND lon IS NOT NULL AND geo_altitude > 9000 AND NOT EXISTS (
-        SELECT 1 FROM age_ghosts p WHERE p.icao24 = c.icao24 AND p.cycle = c.cycle
-          AND p.minutes_since_contact <= 15)) h) r WHERE rn <= 2)
-SELECT cycle, kind, icao24, {_MESSAGE} AS message FROM (
-  SELECT * FROM lost UNION ALL
-  SELECT cycle, 'cruise', icao24, callsign, origin_country, geo_altitude, ingested_at, pick FROM cruising) e
-ORDER BY cycle DESC, kind DESC, CASE WHEN kind = 'ghost' THEN ingested_at END, pick, icao24 LIMIT 28""",
-        "age_ghosts",
+SELECT time AS id, make_timestamp(time * 1000000) AS run_at, CAST(n AS INT) AS records_fetched, CAST(n AS INT) AS records_upserted,
+  CASE WHEN n > 0 THEN 'success' ELSE 'error' END AS status, CASE WHEN n = 0 THEN '{EMPTY_FETCH_MESSAGE}' END AS error_msg
+FROM wire_cycles""",
+        "wire_cycles",
     ),
+    "live_feed": sql(_feed("uneven_recent"), "uneven_recent"),
+    "live_feed_by_runs": sql(_feed("uneven_unseen"), "uneven_unseen"),
     "history_hourly": sql(
         """SELECT make_timestamp((ts_us // 3600000000) * 3600000000) AS hs, count(DISTINCT icao24) AS aircraft
 FROM fx_history WHERE NOT on_ground GROUP BY 1""",

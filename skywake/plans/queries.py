@@ -482,20 +482,25 @@ def page_of(i: Inputs) -> DataFrame:
     return ranking.page_of(rows, ["ingested_at", "icao24"], page=3)
 
 
+@query
+def page_after(i: Inputs) -> DataFrame:
+    """The page behind a row, over a key with nulls in descending order."""
+    rows = i.live.select("callsign", "icao24")
+    return ranking.page_after(rows, [("callsign", True), "icao24"], ["BA1000", ""], 30).unionByName(
+        ranking.page_after(rows, [("callsign", True), "icao24"], [None, "100"], 30)
+    )
+
+
 @query
 def systematic_sample(i: Inputs) -> DataFrame:
-    return ranking.systematic_sample(i.stored_live, 500).select("icao24")
+    return ranking.systematic_sample(positions.positioned(i.stored_live), 500).select("icao24")
 
 
 @query
 def zoom_sample(i: Inputs) -> DataFrame:
-    """The three zoom ranges of the map, over the history log as well as the live table."""
+    """The three zoom ranges of the map, over the history log."""
     log = i.history.select("event_id", "icao24", "lat", "lon")
-    keys = ["icao24", "event_id"]
-    far = ranking.zoom_sample(log, 3, VIEW, keys).select(F.lit(3).alias("zoom"), *keys)
-    middle = ranking.zoom_sample(log, 5, VIEW, keys).select(F.lit(5).alias("zoom"), *keys)
-    close = ranking.zoom_sample(log, 7, VIEW, keys).select(F.lit(7).alias("zoom"), *keys)
-    return far.unionByName(middle).unionByName(close)
+    return ranking.zoom_samples(log, [3, 5, 7], VIEW, ["icao24", "event_id"]).select("zoom", "icao24", "event_id")
 
 
 @query
@@ -531,12 +536,22 @@ def stream_hourly_rollup(i: Inputs) -> DataFrame:
 
 @query
 def stream_new_ghosts(i: Inputs) -> DataFrame:
-    return _ingested(i).current("alerts")
+    return _ingested(i).alerts()
+
+
+@query
+def stream_runs(i: Inputs) -> DataFrame:
+    return _ingested(i).run_log().drop("fetch_ms", "upsert_ms")
 
 
 @query
 def live_feed(i: Inputs) -> DataFrame:
-    return ghosts.live_feed(i.stored_cycles)
+    return ghosts.live_feed(i.stored_uneven_cycles)
+
+
+@query
+def live_feed_by_runs(i: Inputs) -> DataFrame:
+    return ghosts.live_feed(i.stored_uneven_cycles, i.runs)
 
 
 @query

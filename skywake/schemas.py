@@ -49,5 +49,13 @@ ALERTS = T.StructType([
     T.StructField("message", T.StringType()),
 ])
 
+CYCLES = T.StructType([
+    T.StructField("number", T.IntegerType()),
+    T.StructField("cycle", T.TimestampNTZType()),
+    T.StructField("success", T.TimestampNTZType()),
+    T.StructField("status", T.StringType()),
+    *LIVE.fields,
+])
+
 STATE_COLUMNS = STATE.fieldNames()
 LIVE_COLUMNS = LIVE.fieldNames()

@@ -1,12 +1,14 @@
 """Versioned storage of the tables a cycle maintains, in plain Parquet.
 
-Each micro-batch writes a new version folder named by its batch id and marks it complete at the end. A
-version is never written while it is read, a batch always builds on the newest complete version before its
-own, and a replayed batch writes the same version again: replays change nothing.
+Each micro-batch writes its tables into an attempt folder of its own below the version named by its batch id. The
+version's marker, written last, names the attempt that counts. Nothing published is ever overwritten: a batch that is
+published already is not run again, and one that failed writes a new attempt. A batch builds on the newest version
+before its own. Alerts are a log: each batch keeps its own, and no version that goes takes them along.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 from urllib.parse import unquote
 
@@ -21,62 +23,109 @@ TABLES = {
     "anomaly_hourly": schemas.ANOMALY_HOURLY,
     "runs": schemas.RUNS,
     "ghosts": T.StructType([schemas.STATE["icao24"]]),
-    "alerts": schemas.ALERTS,
+    "cycles": schemas.CYCLES,
 }
-COMPLETE = "_COMPLETE"
-
 
 class CycleState:
     def __init__(self, spark: SparkSession, root: str, keep_versions: int = 5):
         self.spark = spark
         self.root = root.rstrip("/")
         self.keep_versions = keep_versions
+        self.attempt = uuid.uuid4().hex
 
     def _folder(self, version: int) -> str:
         return f"{self.root}/version={version}"
 
+    def _marker(self, version: int) -> str:
+        return f"{self.root}/published/{version}"
+
+    def _numbered(self, folder: str, prefix: str = "") -> list[int]:
+        found = [name for name in files.names(self.spark, folder) if name.startswith(prefix)]
+        return sorted(int(n) for name in found if (n := name.removeprefix(prefix)).isdigit())
+
+    def published(self, version: int) -> bool:
+        return files.exists(self.spark, self._marker(version))
+
     def versions(self) -> list[int]:
-        """The complete versions in order."""
-        found = [name for name in files.names(self.spark, self.root) if name.startswith("version=")]
-        numbers = sorted(int(name.removeprefix("version=")) for name in found)
-        return [n for n in numbers if files.exists(self.spark, f"{self._folder(n)}/{COMPLETE}")]
+        """The published versions that are still there, in order."""
+        there = set(self._numbered(self.root, "version="))
+        return [n for n in self._numbered(f"{self.root}/published") if n in there]
 
     def latest(self, before: int | None = None) -> int | None:
         known = [n for n in self.versions() if before is None or n < before]
         return known[-1] if known else None
 
     def read(self, table: str, version: int | None) -> DataFrame:
-        """A table of one version; empty where there is no version yet."""
+        """A table of a published version; empty where there is no version yet."""
         if version is None:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self._folder(version)}/{table}")
+        attempt = self.spark.read.text(self._marker(version)).first()[0]
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self._folder(version)}/{attempt}/{table}")
 
     def current(self, table: str) -> DataFrame:
         return self.read(table, self.latest())
 
     def write(self, table: str, version: int, rows: DataFrame) -> DataFrame:
-        """Write a table of a version and return it read back, so that later steps do not compute it again."""
-        names = TABLES[table].fieldNames()
-        rows.select(*names).write.mode("overwrite").parquet(f"{self._folder(version)}/{table}")
-        return self.read(table, version)
+        """Write a table of this attempt and return it read back, so that later steps do not compute it again."""
+        path = f"{self._folder(version)}/{self.attempt}/{table}"
+        rows.select(*TABLES[table].fieldNames()).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(TABLES[table]).parquet(path)
+
+    def drop(self, table: str, version: int) -> None:
+        """Delete a table of this attempt that served its cycle alone."""
+        files.remove(self.spark, f"{self._folder(version)}/{self.attempt}/{table}")
+
+    def _alert_folder(self, version: int) -> str:
+        return f"{self.root}/alert_log/batch={version}"
+
+    def write_alerts(self, version: int, rows: DataFrame) -> None:
+        """The alerts of this attempt, beside the versions."""
+        path = f"{self._alert_folder(version)}/attempt={self.attempt}"
+        rows.select(*schemas.ALERTS.fieldNames()).write.mode("overwrite").parquet(path)
+
+    def alerts(self) -> DataFrame:
+        """The alerts of all published batches."""
+        if not files.exists(self.spark, f"{self.root}/published"):
+            return self.spark.createDataFrame([], schemas.ALERTS)
+        name = F.col("_metadata.file_name").cast("bigint")
+        published = self.spark.read.text(f"{self.root}/published").select(name.alias("batch"), F.col("value").alias("attempt"))
+        folders = T.StructType([*schemas.ALERTS.fields, T.StructField("batch", T.LongType()), T.StructField("attempt", T.StringType())])
+        log = self.spark.read.schema(folders).parquet(f"{self.root}/alert_log")
+        return log.join(published, ["batch", "attempt"], "left_semi").select(*schemas.ALERTS.fieldNames())
 
     def complete(self, version: int) -> None:
-        """Publish a version and drop those long superseded."""
-        files.mark(self.spark, f"{self._folder(version)}/{COMPLETE}")
+        """Publish this attempt; drop its failed forerunners, versions long superseded and failures past retention."""
+        files.publish(self.spark, self._marker(version), self.attempt)
+        for folder, name in ((self._folder(version), self.attempt), (self._alert_folder(version), f"attempt={self.attempt}")):
+            for other in files.names(self.spark, folder):
+                if other != name:
+                    files.remove(self.spark, f"{folder}/{other}")
         for old in self.versions()[: -self.keep_versions]:
             files.remove(self.spark, self._folder(old))
-
-    def log_failure(self, run: DataFrame) -> None:
-        """Failed runs are kept apart: their version is written anew when the batch is tried again."""
-        run.select(*schemas.RUNS.fieldNames()).write.mode("append").parquet(f"{self.root}/failures")
+        self._purge_failures()
+
+    def log_failure(self, run: DataFrame, version: int) -> None:
+        """Failed runs are kept apart, one a batch: their version is written anew when the batch is tried again."""
+        run.select(*schemas.RUNS.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/failures/{version}")
+
+    def _failures(self) -> DataFrame | None:
+        numbers = self._numbered(f"{self.root}/failures", "")
+        if not numbers:
+            return None
+        return self.spark.read.schema(schemas.RUNS).parquet(*(f"{self.root}/failures/{n}" for n in numbers))
+
+    def _purge_failures(self) -> None:
+        failed, newest = self._failures(), self.current("runs").agg(F.max("run_at")).first()[0]
+        if failed is not None and newest is not None:
+            kept = {row.id for row in snapshots.purge_runs(failed, newest).select("id").collect()}  # a row per failed batch
+            for number in self._numbered(f"{self.root}/failures", ""):
+                if number not in kept:
+                    files.remove(self.spark, f"{self.root}/failures/{number}")
 
     def run_log(self) -> DataFrame:
-        """All runs, failures included."""
-        runs = self.current("runs")
-        failures = f"{self.root}/failures"
-        if not files.exists(self.spark, failures):
-            return runs
-        return runs.unionByName(self.spark.read.schema(schemas.RUNS).parquet(failures))
+        """All runs, failed batches included."""
+        failed, runs = self._failures(), self.current("runs")
+        return runs if failed is None else runs.unionByName(failed)
 
 
 def write_history(batch: DataFrame, batch_id: int, path: str) -> None:

@@ -6,12 +6,13 @@ import time
 from datetime import datetime, timedelta, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skywake import constants as K
 from skywake.functions import scalars as S
 from skywake.operators import anomalies, ghosts, snapshots
+from skywake.schemas import LIVE_COLUMNS
 from skywake.sources.snapshots import parse_states, stream_state_snapshots, valid_states
 from skywake.sources.state import CycleState, drop_expired_hours, write_history
 
@@ -19,73 +20,169 @@ PRODUCTION_TRIGGER = {"processingTime": "180 seconds"}
 
 
 def _arrival() -> list[Column]:
-    """Of several vectors for one aircraft, that of the latest snapshot counts, then of the file landed last."""
-    return [F.desc("time"), F.desc("landed"), F.desc("file"), F.desc("position")]
+    """Of several vectors for one aircraft and time, that of the file landed last counts."""
+    return [F.desc("landed"), F.desc("file"), F.desc("position")]
+
+
+def bounded(parsed: DataFrame) -> DataFrame:
+    """Rows with their cycle: the time of their snapshot, or its landing where that time lies ahead of it.
+
+    A snapshot dated ahead by more than the tolerance is rejected whole and moves no clock.
+    """
+    landed = F.unix_seconds("landed")
+    ahead = F.col("time") > landed + int(K.CLOCK_TOLERANCE.total_seconds())
+    reason = F.when(ahead, "future_time").otherwise(F.col("reject_reason"))
+    return parsed.withColumn("cycle", F.when(ahead, landed).otherwise(F.col("time"))).withColumn("reject_reason", reason)
 
 
 def accept(parsed: DataFrame) -> DataFrame:
-    """Valid rows with the snapshot time as their ingest time."""
+    """Valid rows of `bounded` with the snapshot time as their ingest time."""
     return valid_states(parsed).withColumn("ingested_at", F.timestamp_seconds("time").cast("timestamp_ntz"))
 
 
 def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
-    """One cycle over the vectors of a micro-batch.
+    """The cycles of a micro-batch, one for each snapshot time in it, however many there are.
 
-    The reference time is the newest snapshot time seen so far, not the wall clock, so that a replay gives
-    the same result and a late snapshot does not turn time back. Of each batch only its row count and its
-    newest time reach the driver.
+    All cycles are computed at once from one table of the aircraft as each cycle sees them, so the tables do not depend on
+    how snapshots fall into batches. The reference time is the newest accepted snapshot, not the wall clock, so that a replay
+    gives the same result. A snapshot older than that is merged and logged, but turns no time back. A batch that is published
+    already is left alone.
     """
+    if state.published(version):
+        return
     started = time.monotonic()
     spent = lambda: int((time.monotonic() - started) * 1000)
     as_of = datetime.now(timezone.utc).replace(tzinfo=None)
-    parsed = parse_states(vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = bounded(parse_states(vectors)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         base = state.latest(before=version)
-        before = state.read("runs", base)
-        known = before.agg(F.max("run_at").alias("run_at")).first().run_at
-        accepted, newest = measure(parsed)
-        as_of = max((t for t in (newest, known) if t is not None), default=as_of)
+        runs, before = state.read("runs", base), state.read("live", base)
+        last = runs.agg(F.max("run_at").alias("run"), F.max(F.when(F.col("status") == "success", F.col("run_at"))).alias("success")).first()
         rows = accept(parsed)
-        live, hourly = state.read("live", base), state.read("anomaly_hourly", base)
-        if not accepted:
-            live = state.write("live", version, live)
-            state.write("anomaly_hourly", version, hourly)
-        else:
-            merged = snapshots.upsert_live(live, rows, _arrival())
-            live = state.write("live", version, snapshots.purge_stale_live(merged, as_of))
-            merged = anomalies.upsert_anomaly_hour(hourly, anomalies.anomaly_hour_rollup(live, as_of))
-            state.write("anomaly_hourly", version, snapshots.purge_anomaly_hourly(merged, as_of))
-
-        run = snapshots.run_row(rows, as_of, upsert_ms=spent(), run_id=version)
-        runs = state.write("runs", version, snapshots.purge_runs(before.unionByName(run), as_of))
-        write_alerts(live, runs, as_of, base, version, state)
+        known = [t for t in (newest(rows), last.success) if t is not None]
+        as_of = max(known or [t for t in (latest_cycle(parsed),) if t is not None], default=as_of)
+        logged = state.write("runs", version, snapshots.purge_runs(merged_runs(runs, cycle_runs(parsed)), as_of))
+        cycles = cycle_table(logged, last.run)
+        seen = observations(before, rows)
+        by_cycle = state.write("cycles", version, as_seen(seen, cycles))
+
+        live = snapshots.latest_by_key(seen, ["icao24"], [F.desc("ingested_at")])
+        state.write("live", version, snapshots.purge_stale_live(live, as_of))
+
+        hourly = state.read("anomaly_hourly", base)
+        merged = anomalies.upsert_anomaly_hour(hourly, hourly_of(by_cycle))
+        state.write("anomaly_hourly", version, snapshots.purge_anomaly_hourly(merged, as_of))
+        write_alerts(by_cycle, cycles, base, version, state)
+        state.drop("cycles", version)
         state.complete(version)
     except Exception as error:
-        state.log_failure(failed_run(vectors.sparkSession, as_of, version, spent(), str(error)))
+        try:
+            state.log_failure(failed_run(vectors.sparkSession, as_of, version, spent(), str(error)), version)
+        except Exception as second:
+            error.add_note(f"The failed run could not be logged: {second}")
         raise
     finally:
         parsed.unpersist()
 
 
-def measure(parsed: DataFrame) -> tuple[int, datetime | None]:
-    """Number of valid rows and newest snapshot time of a batch."""
-    found = parsed.agg(F.count_if(F.col("reject_reason").isNull()).alias("n"), F.max("time").alias("newest")).first()
-    newest = found.newest
-    return found.n, None if newest is None else datetime.fromtimestamp(newest, timezone.utc).replace(tzinfo=None)
+def newest(rows: DataFrame) -> datetime | None:
+    """The newest ingest time of accepted rows."""
+    return rows.agg(F.max("ingested_at")).first()[0]
 
 
-def write_alerts(
-    live: DataFrame, runs: DataFrame, as_of: datetime, base: int | None, version: int, state: CycleState
-) -> None:
-    """Record the aircraft whose signal was lost since the cycle before, by the rule of the run log."""
-    lost = ghosts.scan_recent_ghosts(live, as_of, runs)
-    state.write("ghosts", version, lost)
-    fresh = ghosts.new_ghosts(lost, state.read("ghosts", base))
-    text = S.feed_message(
-        F.lit("ghost"), F.col("callsign"), F.col("icao24"), F.col("origin_country"), F.lit(None).cast("double")
+def latest_cycle(parsed: DataFrame) -> datetime | None:
+    """The latest cycle of a batch, whether or not it has an accepted row."""
+    return parsed.agg(F.timestamp_seconds(F.max("cycle")).cast("timestamp_ntz")).first()[0]
+
+
+def cycle_runs(parsed: DataFrame) -> DataFrame:
+    """A run log row for each cycle of a batch, numbered by its time; one without an accepted row is an error."""
+    ok = F.col("n") > 0
+    counted = parsed.groupBy("cycle").agg(F.count_if(F.col("reject_reason").isNull() & F.col("icao24").isNotNull()).cast("int").alias("n"))
+    return counted.select(
+        F.col("cycle").alias("id"),
+        F.timestamp_seconds("cycle").cast("timestamp_ntz").alias("run_at"),
+        F.col("n").alias("records_fetched"),
+        F.col("n").alias("records_upserted"),
+        F.lit(0).alias("fetch_ms"),
+        F.lit(0).alias("upsert_ms"),
+        F.when(ok, "success").otherwise("error").alias("status"),
+        F.when(~ok, K.EMPTY_FETCH_MESSAGE).alias("error_msg"),
+    )
+
+
+def merged_runs(runs: DataFrame, batch: DataFrame) -> DataFrame:
+    """The log with the runs of a batch; parts of one snapshot that came in several batches are one run."""
+    merged = runs.unionByName(batch).groupBy("id", "run_at").agg(
+        *(F.sum(c).cast("int").alias(c) for c in ("records_fetched", "records_upserted", "fetch_ms", "upsert_ms")),
+        F.max("status").alias("status"),  # 'success' comes behind 'error'
     )
-    alerts = fresh.select(S.moment(as_of).alias("cycle"), "icao24", text.alias("message"))
-    state.write("alerts", version, alerts)
+    return merged.withColumn("error_msg", F.when(F.col("status") == "error", K.EMPTY_FETCH_MESSAGE))
+
+
+def cycle_table(runs: DataFrame, known: datetime | None) -> DataFrame:
+    """number, cycle, before (the last success up to it) and status of the runs behind `known`, a row per snapshot.
+
+    The windows run over the log of a few days at most, a row per snapshot.
+    """
+    order = Window.orderBy("run_at")
+    success = F.max(F.when(F.col("status") == "success", F.col("run_at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = runs.select(F.row_number().over(order).alias("number"), F.col("run_at").alias("cycle"), success.alias("success"), "status")
+    return numbered if known is None else numbered.where(F.col("cycle") > F.lit(known))
+
+
+def observations(live: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per aircraft and time, known ones and those of a batch, whose later part wins."""
+    kept = [*LIVE_COLUMNS, "landed", "file", "position"]
+    old = live.select(*LIVE_COLUMNS, F.lit(None).cast("timestamp").alias("landed"), F.lit(None).cast("bigint").alias("file"), F.lit(-1).alias("position"))
+    both = old.unionByName(rows.withColumn("file", F.xxhash64("file")).select(*kept))
+    # a known row of the same time landed before
+    return snapshots.latest_by_key(both, ["icao24", "ingested_at"], _arrival()).select(*LIVE_COLUMNS)
+
+
+def as_seen(seen: DataFrame, cycles: DataFrame) -> DataFrame:
+    """The rows of `seen` that each cycle sees: an aircraft's latest up to it, no older than the live table keeps.
+
+    A row lasts until the aircraft's next one; it meets the cycles of the time slots that it lasts in, as long as the
+    retention, so at most two.
+    """
+    slot = int(K.LIVE_RETENTION.total_seconds())
+    at = lambda column: F.unix_seconds(F.col(column).cast("timestamp"))
+    following = F.lead("ingested_at").over(Window.partitionBy("icao24").orderBy("ingested_at"))
+    lasting = seen.withColumn("following", following)
+    first = F.floor(at("ingested_at") / slot)
+    last = F.floor(F.least(F.coalesce(at("following"), at("ingested_at") + slot), at("ingested_at") + slot) / slot)
+    spread = lasting.withColumn("slot", F.explode(F.sequence(first, last)))
+    timed = cycles.withColumn("slot", F.floor(at("cycle") / slot))
+    within = (F.col("ingested_at") <= F.col("cycle")) & (F.col("cycle") <= F.col("ingested_at") + F.lit(K.LIVE_RETENTION))
+    current = F.col("following").isNull() | (F.col("cycle") < F.col("following"))
+    return spread.join(timed, "slot").where(within & current).select("number", "cycle", "success", "status", *LIVE_COLUMNS)
+
+
+def hourly_of(by_cycle: DataFrame) -> DataFrame:
+    """For each hour the counts of its last cycle with accepted rows."""
+    counted = by_cycle.where(F.col("status") == "success").groupBy("cycle").agg(
+        F.count_if(ghosts.is_ghost(as_of=F.col("cycle"))).cast("int").alias("ghost_count"),
+        F.count_if(S.is_low_altitude(F.col("on_ground"), F.col("geo_altitude"))).cast("int").alias("low_alt_count"),
+    )
+    rows = counted.select(S.hour_of(F.col("cycle")).alias("hour_utc"), "ghost_count", "low_alt_count", F.col("cycle").alias("updated_at"))
+    return snapshots.latest_by_key(rows, ["hour_utc"], [F.desc("updated_at")])
+
+
+def write_alerts(by_cycle: DataFrame, cycles: DataFrame, base: int | None, version: int, state: CycleState) -> None:
+    """Record the aircraft whose signal was lost since the cycle before, by the rule of the run log."""
+    age = F.unix_seconds(F.col("cycle").cast("timestamp")) - F.unix_seconds(F.col("ingested_at").cast("timestamp"))
+    unseen = ~F.col("on_ground") & (F.col("ingested_at") < F.col("success") - F.lit(K.GHOST_RUN_GRACE)) & (age <= K.GHOST_MAX_MINUTES * 60)
+    lost = by_cycle.where(unseen)
+    # the ghosts of the last cycle so far stand before the first of this batch; late snapshots are no cycle of their own
+    span = cycles.agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    earlier = state.read("ghosts", base)
+    before = lost.select("icao24", (F.col("number") + 1).alias("number")).unionByName(earlier.select("icao24", span.select("first").scalar().alias("number")))
+    text = S.feed_message(F.lit("ghost"), F.col("callsign"), F.col("icao24"), F.col("origin_country"), F.lit(None).cast("double"))
+    fresh = lost.join(before, ["icao24", "number"], "left_anti")
+    state.write_alerts(version, fresh.select("cycle", "icao24", text.alias("message")))
+    final = span.select("last").scalar()
+    state.write("ghosts", version, lost.where(F.col("number") == final).select("icao24").unionByName(earlier.where(final.isNull())))
 
 
 def failed_run(spark: SparkSession, as_of: datetime, run_id: int, spent_ms: int, error: str) -> DataFrame:
@@ -144,12 +241,11 @@ def start_history(
     vectors = stream_state_snapshots(spark, landing, multi_line, max_files)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_states(batch)
-        write_history(accept(parsed), batch_id, path)
-        if keep is not None:
-            _, as_of = measure(parsed)
-            if as_of is not None:
-                drop_expired_hours(batch.sparkSession, path, as_of, keep)
+        rows = accept(bounded(parse_states(batch)))
+        write_history(rows, batch_id, path)
+        as_of = newest(rows) if keep is not None else None
+        if as_of is not None:
+            drop_expired_hours(batch.sparkSession, path, as_of, keep)
 
     return (
         vectors.writeStream.foreachBatch(append)

@@ -32,6 +32,8 @@ def test_zoom_changes_what_is_drawn(spark, live_rows):
     box = (10.0, 10.0, 20.0, 20.0)
     assert ranking.zoom_sample(live, 7, box).count() == positions.bbox_filter(live, *box).count() == 11
     assert ranking.zoom_sample(live, 3, box).count() == 50
+    without = live.unionByName(live_rows([{"icao24": "nowhere"}]))
+    assert ranking.zoom_sample(without, 3, box).count() == 50
 
 
 def test_pages(spark):
@@ -46,6 +48,22 @@ def test_pages(spark):
     assert [tuple(r) for r in ranking.page_after(pairs, ["a", "k"], [0, 42], 2).collect()] == [(0, 44), (1, 1)]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_pages_over_a_key_with_nulls(spark, descending):
+    given = [(k, None if k % 3 else f"c{k % 4}") for k in range(20)]
+    rows = spark.createDataFrame(given, "k long, callsign string").repartition(3)
+    order = [F.desc("callsign") if descending else F.asc("callsign"), "k"]
+    expected = [tuple(r) for r in rows.orderBy(*order).select("callsign", "k").collect()]
+    got, after = [], None
+    while page := ranking.page_after(rows, [("callsign", descending), "k"], after, 3).select("callsign", "k").collect():
+        got += [tuple(r) for r in page]
+        after = list(page[-1])
+    assert got == expected
+    if not descending:
+        pages = [ranking.page_of(rows, ["callsign", "k"], page=p, size=7).collect() for p in (1, 2, 3, 4)]
+        assert [(r.callsign, r.k) for p in pages for r in p] == expected
+
+
 def test_top_rows_by_group(spark):
     rows = spark.range(30).select((F.col("id") % 3).alias("g"), "id")
     got = ranking.top_rows(rows, [F.desc("id")], 2, ["g"]).collect()

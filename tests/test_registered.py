@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 SMALL_WINDOWS = {
     "activity_clock", "airline_bars", "airline_race", "band_shares", "congestion_bars", "country_share",
     "country_speed", "density_levels", "recent_runs", "region_scores", "run_metrics", "purge_runs",
-    "systematic_sample", "zoom_sample",
+    "systematic_sample", "zoom_sample", "page_of", "live_feed", "live_feed_by_runs",
 }
 
 

@@ -23,7 +23,7 @@ def land(folder, number, states, time=None):
     """Write the snapshot of a cycle; the stream takes files by age."""
     path = folder / f"cycle-{number:03d}.json"
     path.write_text(json.dumps({"time": START + number * 180 if time is None else time, "states": states}))
-    os.utime(path, (START + number, START + number))
+    os.utime(path, (START + number * 180, START + number * 180))
 
 
 def vectors_of(spark, path):
@@ -62,12 +62,13 @@ def test_cycles_upsert_purge_roll_up_and_log(job):
         ("b", 10000.0, utc(0)),
         ("c", 10000.0, utc(0)),
     ]
-    assert rows(state.current("runs"), "id", "records_fetched", "status") == [(0, 3, "success"), (1, 1, "success")]
+    assert rows(state.current("runs"), "run_at", "records_fetched", "status") == [(utc(0), 3, "success"), (utc(1), 1, "success")]
     assert rows(state.current("anomaly_hourly"), "ghost_count", "low_alt_count") == [(1, 0)]
-    assert rows(state.current("alerts"), "cycle", "icao24", "message") == [(utc(1), "b", "BA1 transponder signal lost")]
+    alerts = [(utc(1), "b", "BA1 transponder signal lost")]
+    assert rows(state.alerts(), "cycle", "icao24", "message") == alerts
     land(landing, 2, [vector("a")])
     state = run()
-    assert rows(state.current("alerts"), "icao24") == []
+    assert rows(state.alerts(), "cycle", "icao24", "message") == alerts  # a log; nothing new is lost
     assert rows(state.current("ghosts"), "icao24") == [("b",)]
     land(landing, 12, [vector("a")])
     state = run()
@@ -81,8 +82,8 @@ def test_an_empty_snapshot_is_logged_and_changes_nothing(job):
     land(landing, 2, [vector("b", lat=None)])
     state = run()
     assert rows(state.current("live"), "icao24", "ingested_at") == [("a", utc(0))]
-    log = rows(state.current("runs"), "id", "run_at", "records_upserted", "status")
-    assert log == [(0, utc(0), 1, "success"), (1, utc(1), 0, "error"), (2, utc(2), 0, "error")]
+    log = rows(state.current("runs"), "run_at", "records_upserted", "status")
+    assert log == [(utc(0), 1, "success"), (utc(1), 0, "error"), (utc(2), 0, "error")]
     assert rows(state.current("ghosts"), "icao24") == []  # the last success saw the aircraft
 
 
@@ -91,7 +92,7 @@ def test_replaying_a_batch_gives_the_same_version(spark, job, tmp_path):
     land(landing, 0, [vector("a"), vector("b")])
     land(landing, 1, [vector("a")])
     state = run()
-    tables = ("live", "anomaly_hourly", "ghosts", "alerts")
+    tables = ("live", "anomaly_hourly", "ghosts")
     before = {name: rows(state.current(name), *state.current(name).columns) for name in tables}
     ingest.run_cycle(vectors_of(spark, landing / "cycle-001.json"), 1, state)
     assert {name: rows(state.current(name), *state.current(name).columns) for name in tables} == before
@@ -107,7 +108,7 @@ def test_a_late_snapshot_does_not_turn_time_back(job):
         ("a", 8000.0, utc(5)),
         ("late", 10000.0, utc(0)),
     ]
-    assert {row.run_at for row in state.current("runs").collect()} == {utc(5)}
+    assert {row.run_at for row in state.current("runs").collect()} == {utc(0), utc(5)}
 
 
 def test_of_snapshots_with_one_time_the_last_landed_counts(spark, job, tmp_path):
@@ -139,13 +140,83 @@ def test_a_failure_is_logged_and_the_version_not_published(spark, job, tmp_path,
     def broken(*args):
         raise RuntimeError("disk full")
 
-    monkeypatch.setattr(ingest.anomalies, "anomaly_hour_rollup", broken)
+    monkeypatch.setattr(ingest, "hourly_of", broken)
     land(landing, 1, [vector("b")])
     with pytest.raises(RuntimeError):
         ingest.run_cycle(vectors_of(spark, landing / "cycle-001.json"), 1, state)
     assert state.latest() == 0
     assert rows(state.current("live"), "icao24") == [("a",)]
-    assert rows(state.run_log(), "id", "status", "error_msg") == [(0, "success", None), (1, "error", "disk full")]
+    assert rows(state.run_log(), "status", "error_msg") == [("error", "disk full"), ("success", None)]
+    with pytest.raises(RuntimeError):  # one row a batch, however often it fails
+        ingest.run_cycle(vectors_of(spark, landing / "cycle-001.json"), 1, state)
+    assert state.run_log().count() == 2
+    monkeypatch.undo()
+    retry = CycleState(spark, state.root)
+    ingest.run_cycle(vectors_of(spark, landing / "cycle-001.json"), 1, retry)
+    assert rows(retry.current("live"), "icao24") == [("a",), ("b",)]
+    assert os.listdir(f"{state.root}/version=1") == [retry.attempt]
+
+
+def test_a_failing_replay_leaves_what_is_published(spark, job, monkeypatch):
+    landing, run = job
+    land(landing, 0, [vector("a"), vector("b")])
+    land(landing, 1, [vector("a")])
+    state = run()
+    held = {name: state.current(name) for name in ("live", "runs", "ghosts")}
+    before = {name: rows(frame, *frame.columns) for name, frame in held.items()}
+    files = sorted(os.path.join(d, f) for d, _, names in os.walk(state.root) for f in names)
+    monkeypatch.setattr(ingest, "hourly_of", lambda *_: 1 / 0)
+    ingest.run_cycle(vectors_of(spark, landing / "cycle-000.json"), 1, CycleState(spark, state.root))
+    assert sorted(os.path.join(d, f) for d, _, names in os.walk(state.root) for f in names) == files
+    assert {name: rows(frame, *frame.columns) for name, frame in held.items()} == before
+
+
+def test_failures_past_retention_go(spark, job):
+    landing, run = job
+    land(landing, 0, [vector("a")])
+    state = run()
+    state.log_failure(ingest.failed_run(spark, utc(0) - timedelta(days=4), 77, 1, "old"), 77)
+    state.log_failure(ingest.failed_run(spark, utc(0), 78, 1, "new"), 78)
+    land(landing, 1, [vector("a")])
+    assert rows(run().run_log().where("status = 'error'"), "id") == [(78,)]
+
+
+@pytest.mark.parametrize("size", [1, 2])
+def test_tables_do_not_depend_on_the_size_of_batches(spark, job, tmp_path, size):
+    landing, _ = job
+    for cycle in range(0, 60, 1):
+        if cycle % 7 == 5:
+            land(landing, cycle, None)
+        else:
+            land(landing, cycle, [vector(f"{n:02x}", 100.0 * n) for n in range(12) if (n * 7 + cycle) % (n + 2) < 2])
+
+    def tables(name, files):
+        root = str(tmp_path / name)
+        ingest.start_ingest(spark, str(landing), root, str(tmp_path / f"{name}-offsets"), max_files=files, keep_versions=2).awaitTermination()
+        state = CycleState(spark, root)
+        held = {t: state.current(t) for t in ("live", "runs", "anomaly_hourly", "ghosts")} | {"alerts": state.alerts()}
+        return {t: rows(f, *(c for c in f.columns if not c.endswith("_ms"))) for t, f in held.items()}
+
+    whole = tables("whole", None)
+    assert len(whole["runs"]) == 60 and len(whole["anomaly_hourly"]) == 4 and len(whole["alerts"]) > 20
+    assert tables("parts", {1: 13, 2: 25}[size]) == whole
+
+
+@pytest.mark.parametrize("valid", [True, False])
+def test_a_snapshot_dated_ahead_is_rejected(spark, job, tmp_path, valid):
+    landing, run = job
+    years = START + 10 * 365 * 86400
+    land(landing, 0, [vector("x", lat=50.0 if valid else None)], time=years)
+    land(landing, 1, [vector("a")])
+    land(landing, 2, [vector("a"), vector("b")])
+    state = run()
+    assert rows(state.current("live"), "icao24", "ingested_at") == [("a", utc(2)), ("b", utc(2))]
+    assert rows(state.current("runs"), "run_at", "status") == [(utc(0), "error"), (utc(1), "success"), (utc(2), "success")]
+    path = str(tmp_path / "log")
+    ingest.start_history(spark, str(landing), path, str(tmp_path / "log-offsets"), max_files=1).awaitTermination()
+    land(landing, 3, [vector("x", lat=50.0 if valid else None)], time=years)
+    ingest.start_history(spark, str(landing), path, str(tmp_path / "log-offsets"), max_files=1).awaitTermination()
+    assert rows(read_history(spark, path), "icao24", "ingested_at") == [("a", utc(1)), ("a", utc(2)), ("b", utc(2))]
 
 
 def test_superseded_versions_are_dropped(spark, job, tmp_path):
