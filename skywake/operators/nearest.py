@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skywake import constants as K
 from skywake.functions import geo, scalars as S
+from skywake.operators.ranking import top_per
 from skywake.session import shared_dir
 
 FINER = 4  # a cell splits into FINER x FINER cells at the next depth
-MAX_DEPTH = 8
+DEPTHS = 8  # measured at a time
+FINEST = 24  # a cell of this depth is smaller than neighbouring doubles are apart
 SLACK = 1e-6  # pixels; covers rounding at cell borders when cells are ruled out
 
 
@@ -24,24 +26,28 @@ def _gap(pixel: Column, cell: Column, size: float) -> Column:
 
 
 def _needed_depth(spots: DataFrame, radius: float, crowd: int) -> int:
-    """The first depth at which no cell holds more than ``crowd`` spots (an action returning at most 9 rows)."""
-    finest = spots.groupBy(
-        _cell(F.col("x"), radius, MAX_DEPTH).alias("cx"), _cell(F.col("y"), radius, MAX_DEPTH).alias("cy")
-    ).agg(F.count("*").alias("n"))
-    levels = finest.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH)))).withColumn(
-        "span", F.pow(F.lit(FINER), F.lit(MAX_DEPTH) - F.col("depth"))
-    )
-    fullest = (
-        levels.groupBy("depth", F.floor(F.col("cx") / F.col("span")), F.floor(F.col("cy") / F.col("span")))
-        .agg(F.sum("n").alias("n"))
-        .groupBy("depth")
-        .agg(F.max("n").alias("fullest"))
-    )
-    measured = fullest.collect()
-    fit = [row.depth for row in measured if row.fullest <= crowd]
-    if not measured:
-        return 0
-    return min(fit, default=MAX_DEPTH)
+    """The first depth at which no cell holds more than ``crowd`` spots (actions returning at most 9 rows each)."""
+    for deepest in range(DEPTHS, FINEST + 1, DEPTHS):
+        finest = spots.groupBy(
+            _cell(F.col("x"), radius, deepest).alias("cx"), _cell(F.col("y"), radius, deepest).alias("cy")
+        ).agg(F.count("*").alias("n"))
+        steps = F.sequence(F.lit(deepest - DEPTHS), F.lit(deepest))
+        levels = finest.withColumn("depth", F.explode(steps)).withColumn(
+            "span", F.pow(F.lit(FINER), F.lit(deepest) - F.col("depth"))
+        )
+        fullest = (
+            levels.groupBy("depth", F.floor(F.col("cx") / F.col("span")), F.floor(F.col("cy") / F.col("span")))
+            .agg(F.sum("n").alias("n"))
+            .groupBy("depth")
+            .agg(F.max("n").alias("fullest"))
+        )
+        measured = fullest.collect()
+        if not measured:
+            return 0
+        fit = [row.depth for row in measured if row.fullest <= crowd]
+        if fit:
+            return min(fit)
+    return FINEST
 
 
 def nearest_aircraft(
@@ -58,7 +64,8 @@ def nearest_aircraft(
     around it. Where cells are crowded, the pairs of point and cell are first narrowed down on summaries of
     ever finer cells, one row per occupied cell: a cell stays only if its near side is not farther than an
     aircraft already known. That drops no candidate, and no point meets a crowded cell's aircraft one by one.
-    ``crowd`` bounds the aircraft per cell that the last step compares; the depth is measured unless given.
+    ``crowd`` bounds the aircraft per cell that the last step compares, down to cells that hold one place; the depth is
+    measured unless given. The least distance is taken in a hash aggregate; only pairs at it compare addresses.
     """
     shared_dir(flights.sparkSession)
     lat, lon = F.col("lat"), F.col("lon")
@@ -90,8 +97,10 @@ def nearest_aircraft(
     cells = spots.withColumn("cx", _cell(F.col("x"), radius, depth)).withColumn("cy", _cell(F.col("y"), radius, depth))
     distance = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     near = pairs.join(cells, ["cx", "cy"]).withColumn("distance", distance).where(F.col("distance") < radius)
-    best = near.groupBy("point_id").agg(F.min(F.struct("distance", "icao24")).alias("best"))
-    return best.select("point_id", "best.icao24", F.round("best.distance", 6).alias("distance_px"))
+    least = near.groupBy("point_id").agg(F.min("distance").alias("least"))
+    equal = near.join(least, "point_id").where(F.col("distance") == F.col("least"))
+    best = top_per(equal, ["point_id"], ["icao24"], 1)
+    return best.select("point_id", "icao24", F.round("distance", 6).alias("distance_px"))
 
 
 def _narrow(pairs: DataFrame, spots: DataFrame, radius: float, level: int) -> DataFrame:

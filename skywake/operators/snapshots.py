@@ -28,16 +28,16 @@ def snapshot_at(history: DataFrame, as_of: Column | datetime, newest_first: list
     return latest_by_key(known, ["icao24"], newest_first)
 
 
-def snapshots_at(history: DataFrame, moments: Column, newest_first: list[Column]) -> DataFrame:
-    """The live table at each of some moments, with the moment as ``cycle``, from one pass over the log.
+def snapshots_at(history: DataFrame, moments: list[Column], newest_first: list[Column]) -> DataFrame:
+    """The live table at each of a few ascending moments, with the moment as ``cycle``, from one pass over the log.
 
-    ``moments`` is an ascending array, such as a scalar subquery or ``cycle_grid``: one expression however many there are. A
-    row's first cycle is found by counting the moments before it. The log is cut to the newest row per aircraft and first
-    cycle, in the map tasks already; only those few rows are then repeated for the cycles until the aircraft's next one.
+    A row's first cycle is found by counting the moments before it. The log is cut to the newest row per aircraft and first
+    cycle, in the map tasks already; only those few rows are then repeated for the cycles until the aircraft's next one. The
+    plan has an expression per moment; many of them are a matter for ``snapshots_on_grid``.
     """
-    first = F.size(F.filter(moments, lambda m: m < F.col("ingested_at")))
-    marked = history.withColumn("_first", first).where(F.col("_first") < F.size(moments))
-    return _lasting(marked, moments, newest_first)
+    first = sum(((moment < F.col("ingested_at")).cast("int") for moment in moments), F.lit(0))
+    marked = history.withColumn("_first", first).where(F.col("_first") < len(moments))
+    return _lasting(marked, F.array(*moments), newest_first)
 
 
 def snapshots_on_grid(history: DataFrame, last: Column, interval: timedelta, count: int, newest_first: list[Column]) -> DataFrame:

@@ -31,6 +31,8 @@ COMPRESSION = 720
 #: The documents' observations are compressed less, so that their cycles span several hours.
 DOCUMENT_COMPRESSION = 120
 DOCUMENT_VECTORS = 400
+#: What stands among the vectors of every document without being one.
+ODD_ELEMENTS = '{"odd":[1]},"text",null,3.5,[]'
 UNEVEN_SECONDS = (490, 183, 0)
 
 
@@ -90,7 +92,7 @@ class Inputs:
     @cached_property
     def uneven_cycles(self) -> DataFrame:
         """The live table at three cycles that are not equally far apart."""
-        moments = F.array(*(self.as_of - F.expr(f"INTERVAL {seconds} SECOND") for seconds in UNEVEN_SECONDS))
+        moments = [self.as_of - F.expr(f"INTERVAL {seconds} SECOND") for seconds in UNEVEN_SECONDS]
         return snapshots.snapshots_at(self.history, moments, self.newest).select("cycle", *LIVE_COLUMNS)
 
     def stored(self, snapshot: DataFrame) -> DataFrame:
@@ -174,8 +176,10 @@ class Inputs:
         documents = (
             derive_vectors(latest, "time")
             .groupBy("time", F.expr(f"event_id div {DOCUMENT_VECTORS}"))
-            .agg(F.collect_list("vec").alias("states"))
-            .select(F.to_json(F.struct("time", "states")).alias("value"))
+            .agg(F.collect_list("vec").alias("vectors"))
+            .select(F.to_json(F.struct("time", F.col("vectors").alias("states")), {"ignoreNullFields": "false"}).alias("value"))
+            .withColumn("value", F.regexp_replace("value", r'"states":\[', f'"states":[{ODD_ELEMENTS},'))
+            .withColumn("value", F.regexp_replace("value", '"(true|false)"', "$1"))  # booleans, not texts
         )
         path = work_path(self.spark, "snapshots")
         documents.write.text(path)

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 SNAPSHOT = T.StructType([
     T.StructField("time", T.LongType()),
-    T.StructField("states", T.ArrayType(T.ArrayType(T.StringType()))),
+    T.StructField("states", T.ArrayType(T.StringType())),  # each as its JSON text, whatever it is
 ])
 
 STATE = T.StructType([

@@ -17,7 +17,11 @@ NUMBER_POSITIONS = {
     "vertical_rate": 11,
     "geo_altitude": 13,
 }
+TEXT_POSITIONS = (1, 2)
+GROUND_POSITION = 8
 VECTOR_LENGTH = 14
+# A number as text: digits may be grouped by underscores, as the feed's consumers read them.
+NUMBER = r"(?i)^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)\s*$"
 
 
 def explode_snapshots(snapshots: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -33,7 +37,34 @@ def explode_snapshots(snapshots: DataFrame, keep_empty: bool = False) -> DataFra
         landed.alias("landed"),
         F.col("_metadata.file_path").alias("file"),
         explode("states").alias("position", "vec"),
-    )
+    ).withColumn("vec", vector_texts(F.col("vec")))
+
+
+def vector_texts(element: Column) -> Column:
+    """The fields of one element as texts for ``parse_states``; null for an element that is no list.
+
+    JSON tells 1, true, "1" and "true" apart, a text does not. So what a field's place makes of its kind is settled here: a
+    boolean is a number where one is due, anything that is not false, zero or empty is true on the ground, and a callsign
+    or country that is none of these is missing.
+    """
+    fields = F.try_variant_get(F.try_parse_json(element), "$", "array<variant>")
+
+    def text(field: Column, place: Column) -> Column:
+        kind, plain = F.schema_of_variant(field), F.try_variant_get(field, "$", "string")
+        boolean, nothing = kind == "BOOLEAN", kind == "VOID"
+        listed = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+        number = ~(boolean | nothing | listed | (kind == "STRING"))
+        empty = nothing | (boolean & (plain == "false")) | ((kind == "STRING") & (plain == "")) | (number & (plain.try_cast("double") == 0))
+        empty = empty | (listed & F.to_json(field).isin("[]", "{}"))
+        return (
+            F.when(place == GROUND_POSITION, F.when(empty, "false").otherwise("true"))
+            .when(nothing, F.lit(None).cast("string"))
+            .when(place.isin(*NUMBER_POSITIONS.values()) & boolean, F.when(plain == "true", "1").otherwise("0"))
+            .when(place.isin(*TEXT_POSITIONS) & empty, F.lit(None).cast("string"))
+            .otherwise(F.coalesce(plain, F.to_json(field)))
+        )
+
+    return F.transform(fields, text)
 
 
 def scan_state_snapshots(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -69,6 +100,11 @@ def _truth(text: Column) -> Column:
     )
 
 
+def _number(text: Column) -> Column:
+    """The number a text stands for, else null."""
+    return F.when(text.rlike(NUMBER), F.replace(F.trim(text), F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def parse_states(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """Type the vectors of a column of text arrays; the other columns stay.
 
@@ -83,7 +119,7 @@ def parse_states(vectors: DataFrame, vec: str = "vec") -> DataFrame:
         "origin_country": F.nullif(at(2), F.lit("")),
         "on_ground": _truth(at(8)),
     }
-    typed |= {name: at(i).try_cast("double") for name, i in NUMBER_POSITIONS.items()}
+    typed |= {name: _number(at(i)) for name, i in NUMBER_POSITIONS.items()}
     # Unpacking a struct fixes the typed fields as columns: a filter on the reason then reads them instead of
     # parsing every text a second time below the projection.
     row = F.struct(*[typed[name].alias(name) for name in STATE_COLUMNS])
@@ -93,7 +129,8 @@ def parse_states(vectors: DataFrame, vec: str = "vec") -> DataFrame:
         unreadable = unreadable | (at(i).isNotNull() & F.col(name).isNull())
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     reason = (
-        F.when(F.coalesce(F.size(array), F.lit(0)) < VECTOR_LENGTH, "short_vector")
+        F.when(array.isNull(), "no_vector")
+        .when(F.size(array) < VECTOR_LENGTH, "short_vector")
         .when(F.col("icao24") == "", "empty_icao24")
         .when(unreadable, "bad_number")
         .when(~F.col("on_ground") & ~placed, "no_position")

@@ -279,3 +279,16 @@ def test_by_equals_the_operator_on_each_group(live_rows, operator):
         alone = operator(part)
         got = grouped.where(F.col("cycle") == cycle).select(*alone.columns)
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, alone.collect()), key=repr)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_hours_are_utc_in_any_session(spark, run_rows, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        log = run_rows([{"run_at": datetime(2024, 3, 10, 2, 30), "records_upserted": 5}])
+        congestion = runs.congestion_hours(log, datetime(2024, 3, 10, 4, 10)).where("count > 0").collect()
+        assert [(row.hs, row["count"]) for row in congestion] == [(datetime(2024, 3, 10, 2), 5)]
+        history = log.selectExpr("run_at AS ingested_at", "'a' AS icao24", "false AS on_ground")
+        assert [row.hs for row in anomalies.history_hourly(history).collect()] == [datetime(2024, 3, 10, 2)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -110,6 +110,7 @@ def test_nearest_equals_brute_force_with_a_crowded_place(spark, depth):
         depth=depth,
     )
     assert {row.point_id: row.icao24 for row in got.collect()} == brute_force(points, flights, 4)
+    assert "SortAggregate" not in spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
 
 
 def test_depth_grows_only_where_cells_are_crowded(spark):
@@ -117,6 +118,7 @@ def test_depth_grows_only_where_cells_are_crowded(spark):
     assert nearest._needed_depth(sparse, 14, 10) == 0
     dense = sparse.withColumn("x", F.col("x") / 1000)
     assert nearest._needed_depth(dense, 14, 10) > 0
+    assert nearest._needed_depth(sparse.withColumn("x", F.col("x") / 1e8), 14, 10) > nearest.DEPTHS
     assert nearest._needed_depth(sparse.limit(0), 14, 10) == 0
 
 

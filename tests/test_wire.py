@@ -45,6 +45,15 @@ def test_a_valid_vector(spark, tmp_path):
         ({"_8": 1}, "on_ground", True),
         ({"_9": None}, "velocity", None),
         ({"_9": "12.5"}, "velocity", 12.5),
+        ({"_9": " 1_0.5e1 "}, "velocity", 105.0),
+        ({"_9": True}, "velocity", 1.0),
+        ({"_1": 0}, "callsign", None),
+        ({"_1": 12}, "callsign", "12"),
+        ({"_2": False}, "origin_country", None),
+        ({"_8": "false"}, "on_ground", True),
+        ({"_8": ""}, "on_ground", False),
+        ({"_8": [0]}, "on_ground", True),
+        ({"_8": {}}, "on_ground", False),
     ],
 )
 def test_fields(spark, tmp_path, changes, field, value):
@@ -61,6 +70,13 @@ def test_fields(spark, tmp_path, changes, field, value):
         ([], "short_vector"),
         (vector(_9="fast"), "bad_number"),
         (vector(_13="n/a"), "bad_number"),
+        (vector(_13="8.0d"), "bad_number"),
+        (vector(_13="true"), "bad_number"),
+        (vector(_13=[1]), "bad_number"),
+        ({"a": 1}, "no_vector"),
+        ("text", "no_vector"),
+        (7, "no_vector"),
+        (None, "no_vector"),
         (vector(_6=None), "no_position"),
         (vector(_5=None), "no_position"),
     ],
@@ -69,6 +85,12 @@ def test_rejections(spark, tmp_path, row, reason):
     assert only(spark, tmp_path, row).reject_reason == reason
 
 
+def test_an_odd_element_costs_one_row(spark, tmp_path):
+    rows = wire.parse_states(scan(spark, tmp_path, [vector(), {"a": [1]}, "text", None, 3.5, [], vector(_0="x")])).collect()
+    assert [(r.position, r.reject_reason) for r in rows if r.reject_reason] == [(1, "no_vector"), (2, "no_vector"), (3, "no_vector"), (4, "no_vector"), (5, "short_vector")]
+    assert [r.icao24 for r in rows if not r.reject_reason] == ["abc123", "x"]
+
+
 def test_fourteen_fields_suffice(spark, tmp_path):
     assert only(spark, tmp_path, vector()[:14]).reject_reason is None
 
