@@ -8,37 +8,31 @@ from pyspark.sql import functions as F
 from skywake.llm.common import forget, written
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (the smallest node reachable) of every node in `edges` (a, b), which may hold loops and repeats.
+def star(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step: `edges` (u, v; v <= u) that connect the same nodes with flatter trees.
 
-    Large-star and small-star steps in turn: every node hands its larger, then its smaller neighbours to the smallest one.
-    Nodes are only grouped with a minimum, which combines in the map tasks, and joined with it, which splits a crowded node.
+    Every node hands its larger, then its smaller neighbours to the smallest one. Nodes are only grouped with a minimum,
+    which combines in the map tasks, and joined with it, which splits a crowded node. Loops (u = u) name nodes and stay.
     """
-    # every node points at itself or a smaller one
-    down = written(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    known = _mark(down)
-    while True:
-        both = down.where("u <> v").unionByName(down.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.where("u = v")).distinct()
-        smaller = large.where("u <> v")
-        base = smaller.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            smaller.join(base, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .unionByName(large.where("u = v"))
-            .distinct()
-        )
-        after = written(small, "edges")
-        mark = _mark(after)
+    proper = edges.where("u <> v")
+    both = proper.unionByName(proper.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(edges.where("u = v")).distinct()
+    smaller = large.where("u <> v")
+    base = smaller.groupBy("u").agg(F.min("v").alias("m"))
+    handed = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    small = smaller.join(base, "u").select(F.explode(handed).alias("e")).select("e.u", "e.v")
+    return small.unionByName(large.where("u = v")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and component (the smallest node reachable) of every node in `edges` (a, b), which may hold loops and repeats."""
+    down = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    known = None
+    while known != (known := _mark(down)):
+        after = written(star(down), "edges")
         forget(down)
         down = after
-        if mark == known:
-            break
-        known = mark
     return down.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 

@@ -6,13 +6,14 @@ registers, a register keeps the shingle of its earliest arrival, and a shingle s
 register. Two documents agree in a register with the probability that is their probability Jaccard similarity.
 
 1. Documents with equal word sequences are one class; classes, not copies, are compared.
-2. Registers are banded. In every band bucket the smallest class is compared with all others of other components, by the
-   estimate from the registers first, then exactly, and leaves the bucket; then the smallest two, four, and so on. Buckets that
-   are down to one component are done. Every pair of classes that meet in a bucket is so compared, or already connected;
-   pairs within a group are neither listed as a whole nor capped.
+2. Registers are banded. In every band bucket the class that meets most others in all its buckets is compared with all others
+   of other components, by the estimate from the registers first, then exactly, and leaves the bucket; then the next two.
+   Buckets that are down to one component are done. What is left, texts that are alike but not alike enough, is clustered by common
+   buckets, and a cluster's members are compared block against block. So every pair of classes that meet in a bucket is compared
+   or already connected; pairs within a group are never listed and never capped.
 3. Classes are components of the links.
 
-At a similarity of 0.8 a pair meets in no bucket with probability 5e-8; the estimate rejects it with less than 1e-11.
+At a similarity of 0.8 a pair meets in no bucket with probability 5e-8, and the estimate rejects it with one of 1e-7.
 
 Null texts and texts without a word link with nothing: each is a class of its own. Rows that share a doc_id are rows of their own;
 a null id is never a class's id unless the class has no other.
@@ -31,13 +32,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skywake.llm.common import forget, slices, table, written
-from skywake.llm.graph import components
+from skywake.llm.graph import components, star
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
+#: Classes of a bucket that are compared with all others, in turn.
+STARS = (1, 2)
+#: Members and bytes of a block of what is left.
+BLOCK, BYTES = 128, 1 << 22
 #: Pairs whose registers agree less than this below the similarity aren't verified.
-SLACK = 0.27
+SLACK = 0.2
 
 WORD = re.compile(r"\w+")
 MARKED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
@@ -97,9 +102,13 @@ def registers(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, docs: in
 
 
 def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Sum over common shingles i of 1 / sum over all j of max(a_j / a_i, b_j / b_i), of two multisets of hashes."""
-    left, n = np.unique(a, return_counts=True)
-    right, m = np.unique(b, return_counts=True)
+    """The probability Jaccard similarity of two multisets of hashes."""
+    return weighted_jaccard(np.unique(a, return_counts=True), np.unique(b, return_counts=True))
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum over common shingles i of 1 / sum over all j of max(a_j / a_i, b_j / b_i), of sorted distinct hashes and their counts."""
+    (left, n), (right, m) = a, b
     both, i, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
@@ -188,40 +197,102 @@ def _verified(pairs: DataFrame, held: DataFrame, bodies: DataFrame, similarity:
     return with_both(likely, bodies, "body").mapInArrow(compare, "a long, b long")
 
 
+def _packed(members: DataFrame) -> DataFrame:
+    """`members` (cluster, num, component, registers, body) in blocks of about `BLOCK` members or `BYTES` bytes of a cluster."""
+    size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("body")) / BYTES)).alias("blocks"))
+    dealt = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")))
+    held = F.collect_list(F.struct("num", "component", "registers", "body"))
+    return dealt.groupBy("cluster", "blocks", "block").agg(held.alias("held"))
+
+
+def _compared(members: DataFrame, similarity: float) -> DataFrame:
+    """u and v (v < u): enough links among `members` of a cluster to connect all that are linked.
+
+    Blocks of a cluster meet block by block, each pair in a cell of its own, so no pair of members is ever a row. A cell skips
+    pairs it knows to be connected, takes the estimate from the registers first, and computes the likely ones.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sides = [row["x"], row["y"]] if row["block"] != row["other"] else [row["x"], row["x"]]
+                marks = [np.array([np.frombuffer(m["registers"], "<u2") for m in side]) for side in sides]
+                held = [[np.unique(np.frombuffer(m["body"], np.uint64), return_counts=True) for m in side] for side in sides]
+                parent = {m["component"]: m["component"] for side in sides for m in side}
+
+                def top(x, parent=parent):
+                    while parent[x] != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                agree = np.array([(marks[1] == one).mean(axis=1) for one in marks[0]])
+                near = np.argwhere(agree >= similarity - SLACK)
+                out = []
+                for i, k in near[np.argsort(-agree[near[:, 0], near[:, 1]], kind="stable")].tolist():
+                    if row["block"] == row["other"] and i >= k:
+                        continue
+                    a, b = sides[0][i], sides[1][k]
+                    x, y = top(a["component"]), top(b["component"])
+                    if x != y and weighted_jaccard(held[0][i], held[1][k]) >= similarity - 1e-12:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((max(a["num"], b["num"]), min(a["num"], b["num"])))
+                yield pa.record_batch([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    blocks = written(_packed(members), "blocks")
+    cells = blocks.select("cluster", "block", F.col("held").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
+    others = blocks.select("cluster", F.col("block").alias("other"), F.col("held").alias("y"))
+    return cells.join(others, ["cluster", "other"]).select("block", "other", "x", "y").mapInArrow(compare, "u long, v long")
+
+
+def _open(entries: DataFrame, tree: DataFrame) -> DataFrame:
+    """`entries` with their component so far, of the buckets that hold several.
+
+    Components come from one step of the tree, so members of one may be told apart still, which only costs comparisons.
+    """
+    labels = tree.groupBy(F.col("u").alias("num")).agg(F.min("v").alias("component"))
+    placed = entries.select("band", "num", "weight").join(labels, "num", "left").withColumn("component", F.coalesce("component", "num"))
+    several = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
+    return placed.join(several, "band")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """doc_id, tag (a hash of the text), class_id (the smallest doc_id of the class) and kept for every row of `docs` (doc_id, text)."""
     marks = written(mark(docs, width), "marks")
     one = marks.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     held = written(one.withColumn("num", F.monotonically_increasing_id()), "classes")
     met = held.select("num", F.explode("bands").alias("band"))
-    shared = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    entries = written(met.join(shared, "band"), "entries")
+    shared = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = written(met.join(shared, "band"), "entries")
+    # the class that meets most others comes first: copies of one text meet it more than each other
+    weight = sized.groupBy("num").agg((-F.sum("n")).alias("weight"))
+    entries = written(sized.join(weight, "num").select("band", "num", "weight"), "entries")
+    forget(sized)
     wanted = held.join(entries.select("num").distinct(), "num")
     bodies = written(_bodies(docs, wanted, width), "bodies")
-    parts = held.select("num", F.col("num").alias("component")).limit(0)  # classes that are linked, so far
-    centres = 1
-    while True:
-        placed = entries.join(parts, "num", "left").select("band", "num", F.coalesce("component", "num").alias("component"))
-        open_ = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
-        left = written(placed.join(open_, "band"), "entries")
-        forget(entries)
-        if left.isEmpty():
-            break
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("num"))
-        first = left.withColumn("place", rank).where(F.col("place") <= centres).drop("place")
-        chosen = written(first, "centres")
+    tree, left = held.sparkSession.createDataFrame([], "u long, v long"), entries  # what is linked so far, what is left to compare
+    for centres in STARS:
+        left = written(_open(left, tree), "entries")
+        rank = F.row_number().over(Window.partitionBy("band").orderBy("weight", "num"))
+        chosen = left.withColumn("place", rank).where(F.col("place") <= centres).drop("place")
         pairs = (
             chosen.alias("c")
-            .join(left.alias("o"), (F.col("c.band") == F.col("o.band")) & (F.col("c.num") < F.col("o.num")) & (F.col("c.component") != F.col("o.component")))
+            .join(left.alias("o"), (F.col("c.band") == F.col("o.band")) & (F.col("c.component") != F.col("o.component")))
+            .where(F.struct("c.weight", "c.num") < F.struct("o.weight", "o.num"))
             .select(F.col("c.num").alias("a"), F.col("o.num").alias("b"))
             .distinct()
         )
-        linked = written(_verified(pairs, held, bodies, similarity), "links")
-        entries = written(left.select("band", "num").join(chosen.select("band", "num"), ["band", "num"], "left_anti"), "entries")
-        edges = linked.unionByName(parts.select(F.col("num").alias("a"), F.col("component").alias("b")))
-        parts = written(components(edges).select(F.col("node").alias("num"), "component"), "parts")
-        forget(left, chosen, linked)
-        centres *= 2
+        linked = written(_verified(pairs, held, bodies, similarity).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+        tree = written(star(tree.unionByName(linked)), "tree")
+        passed = chosen.groupBy("band").agg(F.max(F.struct("weight", "num")).alias("upto"))
+        left = left.join(passed, "band").where(F.struct("weight", "num") > F.col("upto")).select("band", "num", "weight")
+    rest = written(_open(left, tree), "entries")
+    if not rest.isEmpty():
+        first = rest.groupBy("band").agg(F.min("num").alias("b"))
+        clusters = components(rest.select("band", F.col("num").alias("a")).join(first, "band").select("a", "b")).select(F.col("node").alias("num"), F.col("component").alias("cluster"))
+        named = rest.groupBy("num").agg(F.min("component").alias("component")).join(clusters, "num")
+        members = named.join(held.select("num", "registers"), "num").join(bodies, "num")
+        tree = tree.unionByName(written(_compared(members, similarity), "links"))
+    parts = components(tree.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "num")
     tagged = held.select("digest", "doc_id", "num").join(parts, "num", "left").withColumn("component", F.coalesce("component", "num"))
     ids = tagged.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = tagged.join(ids, "component").select("digest", "class_id")

@@ -86,6 +86,26 @@ def test_near_duplicates_are_one_class(documents):
     assert neardup.near_duplicates(documents([])).count() == 0
 
 
+def test_texts_that_are_not_alike_enough_are_compared_in_blocks(documents, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(70):
+        words = list(base)
+        for _ in range(rng.choice([1, 6, 9, 12])):
+            words[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        rows.append((k + 10, " ".join(words)))
+    called = []
+    compared = neardup._compared
+    monkeypatch.setattr(neardup, "_compared", lambda *a: called.append(1) or compared(*a))
+    held = [neardup.shingles(neardup.words(t)) for _, t in rows]
+    pairs = [(i, k) for i in range(len(rows)) for k in range(i) if neardup.probability_jaccard(held[i], held[k]) >= 0.8]
+    expected = {doc_id: t + 10 for (doc_id, _), t in zip(rows, _classes(len(rows), pairs), strict=True)}
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(rows)).collect()} == expected
+    assert called and 1 < len(set(expected.values())) < 70
+
+
 def _without(rows, length):
     seen, out = set(), {}
     for doc_id, data in sorted({(-1 if k is None else k, t.encode()) for k, t in rows}):
