@@ -106,9 +106,9 @@ def country_share(countries: DataFrame, limit: int = 6, total: Column | None = N
     )
 
 
-def airline_bars(live: DataFrame, bars: int = 7, race: int = 5) -> DataFrame:
-    """The first airlines with their width relative to the first, all kinds included (at most 10 rows)."""
-    listed = airline_counts(live).orderBy(*_airline_order()).limit(10)
+def airline_bars(live: DataFrame, bars: int = 7, race: int = 5, listed_rows: int = 10) -> DataFrame:
+    """The first airlines with their width relative to the first, all kinds included (at most ``listed_rows``)."""
+    listed = airline_counts(live).orderBy(*_airline_order()).limit(listed_rows)
     order = W.orderBy(*_airline_order())
     ranked = listed.select(
         F.row_number().over(order).cast("int").alias("rank"),
@@ -119,9 +119,9 @@ def airline_bars(live: DataFrame, bars: int = 7, race: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= bars).withColumn("in_race", F.col("rank") <= race)
 
 
-def airline_race(live: DataFrame) -> DataFrame:
-    """Rank of the named airlines among the first ten rows, where ``Other`` takes a place and then drops out."""
-    listed = airline_counts(live).orderBy(*_airline_order()).limit(10)
+def airline_race(live: DataFrame, listed_rows: int = 10) -> DataFrame:
+    """Rank of the named airlines among the first rows, where ``Other`` takes a place and then drops out."""
+    listed = airline_counts(live).orderBy(*_airline_order()).limit(listed_rows)
     order = W.orderBy(*_airline_order())
     return listed.where(F.col("airline") != K.OTHER_AIRLINE).select(
         F.row_number().over(order).cast("int").alias("rank"),
@@ -131,9 +131,9 @@ def airline_race(live: DataFrame) -> DataFrame:
     )
 
 
-def tracked_flights(live: DataFrame) -> DataFrame:
-    """One row: flights of the first ten airline rows."""
-    listed = airline_counts(live).orderBy(*_airline_order()).limit(10)
+def tracked_flights(live: DataFrame, listed_rows: int = 10) -> DataFrame:
+    """One row: flights of the first airline rows."""
+    listed = airline_counts(live).orderBy(*_airline_order()).limit(listed_rows)
     return listed.agg(F.coalesce(F.sum("flight_count"), F.lit(0)).alias("tracked_flights"))
 
 

@@ -151,3 +151,12 @@ def test_client_limit_of_positions(live_rows):
     live = live_rows([{"lat": 1.0, "lon": 1.0}] * 5 + [{}])
     assert positions.scan_live_positions(live).count() == 5
     assert [r.icao24 for r in positions.scan_live_positions(live, 2).collect()] == ["a00000", "a00001"]
+
+
+def test_the_scatter_shows_all_eligible_aircraft(spark):
+    live = spark.range(3000).selectExpr(
+        "format_string('%06x', id) AS icao24", "'BA1' AS callsign", "'Spain' AS origin_country", "1.0D AS lon", "1.0D AS lat", "200.0D AS velocity",
+        "9000.0D AS geo_altitude", "false AS on_ground",
+    )
+    assert positions.performance_scatter(live).count() == positions.performance_scatter(live, wide=True).count() == 3000
+    assert positions.performance_scatter(live, limit=2000).count() == 2000
