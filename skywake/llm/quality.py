@@ -108,7 +108,7 @@ def features(text: str, buckets: int, ngrams: tuple[int, int]) -> tuple[np.ndarr
     if len(words) > 1:
         found += pair_buckets(np.array([word_hash(w) for w in words], np.uint64), buckets).tolist()
     held, counts = np.unique(np.array(found, np.int64), return_counts=True)
-    return held, (counts / max(1, counts.sum())).astype(np.float32)
+    return held.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)
 
 
 def train(
@@ -126,6 +126,7 @@ def train(
     vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)).astype(np.float32)
     top, bias = np.zeros((dimensions, classes), np.float32), np.zeros(classes, np.float32)
     held = [(*features(text, buckets, ngrams), label) for text, label in examples]
+    _word_buckets.cache_clear()  # the driver needs its memory again
     steps = 0
     for _ in range(epochs):
         for place in rng.permutation(len(held)):
