@@ -2,6 +2,8 @@
 
 Each language has a zstandard raw-content dictionary of its own text. A text belongs to the language whose dictionary
 compresses it best; `rejected` marks answers whose margin over the second is narrow. Letter case is folded on both sides.
+A text is compressed in pieces, each afresh, and its size is their sum: in one stream its own history would soon replace the
+dictionary, and only its first part would tell the languages apart.
 
 The dictionaries come from a bounded sample of the learning rows: for each language at most ``rows`` rows, first those of at
 most ``usual`` characters, each by the hash of its id, and at most ``size`` bytes of their texts. Rows whose text or language is null teach nothing.
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from skywake.llm.common import batch_of, crc_mod, slices, table
 
 ROWS, USUAL, SIZE, LEVEL = 200, 1_500, 65_536, 6
+#: Bytes of a text that are compressed at a time.
+PIECE = 4_096
 #: An answer is rejected where the second language needs less than this share more.
 MARGIN = 0.02
 UNKNOWN = "und"
@@ -76,7 +80,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], held_out, level: in
             if not tools:
                 return UNKNOWN, 0.0, True
             data = text.lower().encode()
-            sizes = sorted((len(tool.compress(data)), place, lang) for place, (lang, tool) in enumerate(tools.items()))
+            parts = [data[start : start + PIECE] for start in range(0, len(data), PIECE)]
+            sizes = sorted((sum(len(tool.compress(part)) for part in parts), place, lang) for place, (lang, tool) in enumerate(tools.items()))
             best = sizes[0][0]
             score = 1 / sum((best / size) ** 16 for size, _, _ in sizes)
             return sizes[0][2], score, len(sizes) > 1 and sizes[1][0] < best * (1 + margin)

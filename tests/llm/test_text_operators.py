@@ -154,6 +154,22 @@ def test_languages_are_told_apart(llm):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_all_of_a_long_text_tells_its_language(llm):
+    rng = random.Random(8)
+    words = {lang: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(4000)] for lang in ("aa", "bb", "cc")}
+    usual = [1 / (n + 1) for n in range(4000)]
+
+    def text(lang, size):
+        return " ".join(rng.choices(words[lang], usual, k=size // 3))[:size]
+
+    learned = {lang: text(lang, 60_000).encode() for lang in words}
+    rows = [(0, text("aa", 5_000)), (1, text("aa", 1_200_000)), (2, text("aa", 100_000) + text("bb", 200_000)), (3, text("cc", 400_000) + text("aa", 800_000))]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in language.predict(docs, learned, F.lit(True)).collect()}
+    assert [(found[k].lang_pred, found[k].rejected) for k in range(4)] == [("aa", False), ("aa", False), ("bb", False), ("aa", False)]
+    assert found[1].score > 0.9
+
+
 def test_quality_is_learned_from_labels(llm):
     rng = random.Random(6)
     good = [(k, _language(rng, "aa")) for k in range(150)]
