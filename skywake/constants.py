@@ -94,6 +94,8 @@ OUTAGE_SECONDS = 3600
 CLOCK_TOLERANCE = timedelta(minutes=5)
 # Texts that consumers compare.
 EMPTY_FETCH_MESSAGE = "Empty response from OpenSky"
+#: The run of a rejected snapshot, at its landing; it is no cycle.
+FUTURE_MESSAGE = "Snapshot dated ahead of its landing"
 
 HIT_RADIUS_PX = 14
 TILE_PX = 256

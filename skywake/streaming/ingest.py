@@ -17,6 +17,7 @@ from skywake.sources.snapshots import parse_states, stream_state_snapshots, vali
 from skywake.sources.state import CycleState, drop_expired_hours, write_history
 
 PRODUCTION_TRIGGER = {"processingTime": "180 seconds"}
+FUTURE = "future_time"
 
 
 def _arrival() -> list[Column]:
@@ -27,11 +28,12 @@ def _arrival() -> list[Column]:
 def bounded(parsed: DataFrame) -> DataFrame:
     """Rows with their cycle: the time of their snapshot, or its landing where that time lies ahead of it.
 
-    A snapshot dated ahead by more than the tolerance is rejected whole and moves no clock.
+    A snapshot dated ahead by more than the tolerance is rejected whole and moves no clock: it is logged, but its landing is
+    no cycle and bounds none.
     """
     landed = F.unix_seconds("landed")
     ahead = F.col("time") > landed + int(K.CLOCK_TOLERANCE.total_seconds())
-    reason = F.when(ahead, "future_time").otherwise(F.col("reject_reason"))
+    reason = F.when(ahead, FUTURE).otherwise(F.col("reject_reason"))
     return parsed.withColumn("cycle", F.when(ahead, landed).otherwise(F.col("time"))).withColumn("reject_reason", reason)
 
 
@@ -57,7 +59,7 @@ def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
     try:
         base = state.latest(before=version)
         runs, before = state.read("runs", base), state.read("live", base)
-        last = runs.agg(F.max("run_at").alias("run"), F.max(F.when(F.col("status") == "success", F.col("run_at"))).alias("success")).first()
+        last = runs.agg(F.max(F.when(is_cycle(), F.col("run_at"))).alias("run"), F.max(F.when(F.col("status") == "success", F.col("run_at"))).alias("success")).first()
         rows = accept(parsed)
         known = [t for t in (newest(rows), last.success) if t is not None]
         as_of = max(known or [t for t in (latest_cycle(parsed),) if t is not None], default=as_of)
@@ -85,20 +87,29 @@ def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
         parsed.unpersist()
 
 
+def is_cycle() -> Column:
+    """Whether a run is that of an accepted snapshot time, not of a snapshot dated ahead."""
+    return ~F.col("error_msg").eqNullSafe(K.FUTURE_MESSAGE)
+
+
 def newest(rows: DataFrame) -> datetime | None:
     """The newest ingest time of accepted rows."""
     return rows.agg(F.max("ingested_at")).first()[0]
 
 
 def latest_cycle(parsed: DataFrame) -> datetime | None:
-    """The latest cycle of a batch, whether or not it has an accepted row."""
-    return parsed.agg(F.timestamp_seconds(F.max("cycle")).cast("timestamp_ntz")).first()[0]
+    """The latest cycle of a batch, whether or not it has an accepted row; a landing only where all are dated ahead."""
+    timed = F.max(F.when(~F.col("reject_reason").eqNullSafe(FUTURE), F.col("cycle")))
+    return parsed.agg(F.timestamp_seconds(F.coalesce(timed, F.max("cycle"))).cast("timestamp_ntz")).first()[0]
 
 
 def cycle_runs(parsed: DataFrame) -> DataFrame:
     """A run log row for each cycle of a batch, numbered by its time; one without an accepted row is an error."""
     ok = F.col("n") > 0
-    counted = parsed.groupBy("cycle").agg(F.count_if(F.col("reject_reason").isNull() & F.col("icao24").isNotNull()).cast("int").alias("n"))
+    counted = parsed.groupBy("cycle").agg(
+        F.count_if(F.col("reject_reason").isNull() & F.col("icao24").isNotNull()).cast("int").alias("n"),
+        F.bool_and(F.col("reject_reason").eqNullSafe(FUTURE)).alias("ahead"),
+    )
     return counted.select(
         F.col("cycle").alias("id"),
         F.timestamp_seconds("cycle").cast("timestamp_ntz").alias("run_at"),
@@ -107,7 +118,7 @@ def cycle_runs(parsed: DataFrame) -> DataFrame:
         F.lit(0).alias("fetch_ms"),
         F.lit(0).alias("upsert_ms"),
         F.when(ok, "success").otherwise("error").alias("status"),
-        F.when(~ok, K.EMPTY_FETCH_MESSAGE).alias("error_msg"),
+        F.when(F.col("ahead"), K.FUTURE_MESSAGE).when(~ok, K.EMPTY_FETCH_MESSAGE).alias("error_msg"),
     )
 
 
@@ -116,18 +127,20 @@ def merged_runs(runs: DataFrame, batch: DataFrame) -> DataFrame:
     merged = runs.unionByName(batch).groupBy("id", "run_at").agg(
         *(F.sum(c).cast("int").alias(c) for c in ("records_fetched", "records_upserted", "fetch_ms", "upsert_ms")),
         F.max("status").alias("status"),  # 'success' comes behind 'error'
+        F.bool_and(~is_cycle()).alias("ahead"),  # a landing can be the time of a snapshot as well
     )
-    return merged.withColumn("error_msg", F.when(F.col("status") == "error", K.EMPTY_FETCH_MESSAGE))
+    message = F.when(F.col("ahead"), K.FUTURE_MESSAGE).when(F.col("status") == "error", K.EMPTY_FETCH_MESSAGE)
+    return merged.withColumn("error_msg", message).drop("ahead")
 
 
 def cycle_table(runs: DataFrame, known: datetime | None) -> DataFrame:
-    """number, cycle, before (the last success up to it) and status of the runs behind `known`, a row per snapshot.
+    """number, cycle, success (the last up to it) and status of the cycles behind `known`, a row per accepted snapshot time.
 
     The windows run over the log of a few days at most, a row per snapshot.
     """
     order = Window.orderBy("run_at")
     success = F.max(F.when(F.col("status") == "success", F.col("run_at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = runs.select(F.row_number().over(order).alias("number"), F.col("run_at").alias("cycle"), success.alias("success"), "status")
+    numbered = runs.where(is_cycle()).select(F.row_number().over(order).alias("number"), F.col("run_at").alias("cycle"), success.alias("success"), "status")
     return numbered if known is None else numbered.where(F.col("cycle") > F.lit(known))
 
 

@@ -219,6 +219,28 @@ def test_a_snapshot_dated_ahead_is_rejected(spark, job, tmp_path, valid):
     assert rows(read_history(spark, path), "icao24", "ingested_at") == [("a", utc(1)), ("a", utc(2)), ("b", utc(2))]
 
 
+def test_a_snapshot_dated_ahead_hides_no_cycle_of_a_backlog(spark, job, tmp_path):
+    landing, _ = job
+    numbers = [n for n in range(60) if n % 20 < 3]
+    for place, cycle in enumerate([*numbers[:2], None, *numbers[2:]]):
+        seen = [vector(f"{n:02x}", 100.0 * n) for n in range(12) if cycle is None or (n * 7 + cycle) % (n + 2) < 2]
+        path = landing / f"file-{place:03d}.json"
+        path.write_text(json.dumps({"time": START + 10 * 365 * 86400 if cycle is None else START + cycle * 180, "states": seen}))
+        os.utime(path, (START + 60 * 180 + place, START + 60 * 180 + place))  # all land behind the last cycle
+
+    def tables(name, files):
+        root = str(tmp_path / name)
+        ingest.start_ingest(spark, str(landing), root, str(tmp_path / f"{name}-offsets"), max_files=files).awaitTermination()
+        state = CycleState(spark, root)
+        held = {t: state.current(t) for t in ("live", "runs", "anomaly_hourly", "ghosts")} | {"alerts": state.alerts()}
+        return {t: rows(f, *(c for c in f.columns if not c.endswith(("_ms", "_msg")))) for t, f in held.items()}
+
+    whole = tables("whole", None)
+    assert len(whole["runs"]) == len(numbers) + 1 and len(whole["anomaly_hourly"]) > 2 and len(whole["alerts"]) > 2
+    assert tables("fives", 5) == whole
+    assert tables("ones", 1) == whole
+
+
 def test_superseded_versions_are_dropped(spark, job, tmp_path):
     landing, _ = job
     for cycle in range(3):
