@@ -5,12 +5,13 @@ itself is one pair of its own, whatever the word) and all are hashed to buckets.
 the mean of its features' vectors, and a softmax over it gives the classes. Vectors and softmax are trained together by
 stochastic gradient descent in numpy.
 
-Training takes a bounded sample: the ``rows`` labelled rows with the smallest hash of their id whose text has at most
-``longest`` characters (the driver holds no more than these). Scoring takes whole texts of every length. As the output is
+Training takes a bounded sample: of the distinct labelled rows whose text has at most ``longest`` characters, the ``rows`` with the
+smallest hash of their id (the driver holds no more than these). Scoring takes whole texts of every length. As the output is
 linear in the mean, each bucket's vector is folded to one number per class first, and each word to the sum of its features.
 
 Null and empty texts have no feature: the softmax of the bias alone is their score. Without a label to learn from, every score
-is 0.5. Rows that repeat are scored each for itself; labels that are null teach nothing, ids labelled twice teach twice.
+is 0.5. Rows that repeat are scored each for itself; labels that are null teach nothing, and a row
+or a label that repeats teaches once; an id with several texts or labels teaches each of its pairs.
 """
 
 from __future__ import annotations
@@ -148,11 +149,14 @@ def train(
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = ROWS, longest: int = LONGEST) -> Model | None:
     """A model of `labels.quality` from a bounded sample of the `usable` rows of `docs`; None without labels."""
-    marks = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    known = docs.where(usable & F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text")
-    # ids are joined and ranked without their texts, then the few chosen ids fetch theirs
-    chosen = marks.join(known.select("doc_id"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    sample = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
+    marks = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    known = docs.where(usable & F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    # rows are joined and ranked without their texts, by id and hash of the text, then the few chosen ones fetch theirs once
+    place = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality"), F.col("tag")]
+    ranked = marks.join(known.select("doc_id", "tag").distinct(), "doc_id").orderBy(*place).limit(rows)
+    chosen = docs.sparkSession.createDataFrame(ranked.collect(), ranked.schema)
+    texts = known.join(F.broadcast(chosen.select("doc_id", "tag").distinct()), ["doc_id", "tag"]).groupBy("doc_id", "tag").agg(F.min("text").alias("text"))
+    sample = texts.join(F.broadcast(chosen), ["doc_id", "tag"]).select("doc_id", "text", "quality").collect()
     examples = [(text, int(quality == 1)) for _, text, quality in sorted(sample)]
     return train(examples) if examples else None
 

@@ -188,6 +188,17 @@ def test_quality_is_learned_from_labels(llm):
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
 
 
+def test_rows_that_repeat_teach_once_and_within_the_bound(llm, monkeypatch):
+    monkeypatch.setattr(quality, "train", lambda examples: examples)
+    docs = llm.createDataFrame([(1, "one")] * 30 + [(1, "other"), (2, "two"), (2, "two"), (3, "three")], "doc_id long, text string")
+    labels = llm.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0)], "doc_id long, quality int")
+    pairs = [("one", 1), ("other", 1), ("three", 0), ("two", 0), ("two", 1)]
+    assert sorted(quality.learn(docs, labels, F.lit(True))) == pairs
+    for rows in (1, 3):
+        held = quality.learn(docs, labels, F.lit(True), rows=rows)
+        assert len(held) == rows and set(held) < set(pairs)
+
+
 @pytest.mark.parametrize("words", [3, 10_000])
 def test_long_texts_are_scored_in_blocks_as_whole(words, monkeypatch):
     model = quality.train([("good text here", 1), ("BAD!! TEXT!!", 0)] * 5, buckets=1 << 12)
