@@ -1,13 +1,12 @@
 import sys
-from datetime import datetime, timedelta
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
+from fixed_time import NOW
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-NOW = datetime(2024, 5, 6, 13, 45, 30)
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import NOW
+from fixed_time import NOW
 from skywake import constants as K
 from skywake.operators import activity, anomalies, regions, runs
 

@@ -3,7 +3,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import NOW
+from fixed_time import NOW
 from skywake.operators import ghosts, positions
 
 

@@ -2,7 +2,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from conftest import NOW
+from fixed_time import NOW
 from skywake.operators import snapshots
 
 

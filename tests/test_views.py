@@ -1,4 +1,4 @@
-from conftest import NOW
+from fixed_time import NOW
 from skywake.plans.views import register_views
 
 
