@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import cache
+from typing import TYPE_CHECKING, NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -23,15 +24,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from skywake.llm.common import slices, table
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 TOKENS, SEGMENTS = 4_096, 256
 #: Examples that wait for a place: filled up to the first number, packed down to the second.
 BUFFER = (1_024, 512)
+#: Characters of the texts that are encoded together.
+CHARACTERS = 1 << 20
 #: New words after which the older ones are forgotten.
 WORDS = 500_000
 
@@ -42,6 +47,8 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
 
 @cache
 def tokenizer(path: str) -> Tokenizer:
+    from tokenizers import Tokenizer  # in the tasks alone, the driver has no use for it
+
     held = Tokenizer.from_file(path)
     held.encode_special_tokens = True
     return held
@@ -50,8 +57,9 @@ def tokenizer(path: str) -> Tokenizer:
 class WordIds:
     """Ids of texts. A word between blanks is tokenised once, as no token spans a blank and blanks have no tokens.
 
-    The tokenizer lowers case letter by letter, so A-Z can be lowered before; a comma or full stop behind letters is a token of
-    its own. Words met lately are remembered: those of the last `WORDS` new ones and, until as many more came, those before.
+    The tokenizer lowers case letter by letter, so A-Z can be lowered before; a comma or full stop behind ASCII letters is a token
+    of its own (behind others it need not be: some are turned into a letter and a mark, which joins the stop). Words met lately are
+    remembered: those of the last `WORDS` new ones and, until as many more came, those before.
     """
 
     MARK = "\x01"
@@ -94,7 +102,7 @@ class WordIds:
         again = {w for w in new if w in before}
         known.update((w, before[w]) for w in again)
         new -= again
-        stopped = [w for w in new if w[-1:] in self.stops and w[:-1].isalpha()]
+        stopped = [w for w in new if w[-1:] in self.stops and w.isascii() and w[:-1].isalpha()]
         bare = (new.difference(stopped) | {w[:-1] for w in stopped}).difference(known)
         asked = list(bare)
         for start in range(0, len(asked), 1 << 16):
@@ -124,8 +132,25 @@ def word_ids(path: str, end_id: int) -> WordIds:
     return WordIds(path, end_id)
 
 
+class Item(NamedTuple):
+    key: int | None
+    ids: bytes
+    base: int
+    start: int
+    stop: int
+    loss_from: int
+    total: int
+
+    def held(self) -> bytes:
+        return self.ids[4 * (self.start - self.base) : 4 * (self.stop - self.base)]
+
+
 class Packer:
-    """Bins for one task's examples."""
+    """Bins for one task's examples.
+
+    An item is a stretch of an example, from `start` to `stop`. It holds the ids of that stretch from `base` on, and no others:
+    what waits for a place is bounded by the number of items and the token limit, however long the examples are.
+    """
 
     def __init__(self, tokens: int, segments: int, loss: int):
         if min(tokens, segments, loss) < 1:
@@ -133,41 +158,40 @@ class Packer:
         self.limits, self.items, self.done, self.sequence = (tokens, segments, loss), [], [], 0
 
     @staticmethod
-    def loss(item: tuple, end: int | None = None) -> int:
-        _, ids, start, stop, loss_from = item
-        return max(0, (stop if end is None else end) - max(start, loss_from))
+    def loss(item: Item, end: int | None = None) -> int:
+        return max(0, (item.stop if end is None else end) - max(item.start, item.loss_from))
 
-    def cut(self, item: tuple, tokens: int, loss: int) -> int:
+    def cut(self, item: Item, tokens: int, loss: int) -> int:
         """The end of the longest beginning of `item` within `tokens` and `loss`."""
-        _, _, start, stop, loss_from = item
-        return min(stop, start + tokens, max(start, loss_from) + loss)
+        return min(item.stop, item.start + tokens, max(item.start, item.loss_from) + loss)
 
-    def close(self, held: list[tuple]) -> None:
+    def close(self, held: list[Item]) -> None:
         offset = 0
         for item in held:
             self.done.append((item, self.sequence, offset))
-            offset += item[3] - item[2]
+            offset += item.stop - item.start
         self.sequence += 1
 
     def add(self, key, ids: bytes, loss_from: int = 0) -> None:
-        item = (key, ids, 0, len(ids) // 4, loss_from)
-        while item[2] < item[3]:
-            end = self.cut(item, self.limits[0], self.limits[2])
-            if end - item[2] < self.limits[0]:
-                break
-            self.close([(*item[:3], end, item[4])])  # a whole sequence
-            item = (*item[:2], end, *item[3:])
-        while item[2] < item[3]:  # what is left in parts that fit an empty sequence
-            end = self.cut(item, self.limits[0], self.limits[2])
-            self.items.append((*item[:3], end, item[4]))
-            item = (*item[:2], end, *item[3:])
+        total, start = len(ids) // 4, 0
+        waits = False
+        while start < total:
+            whole = Item(key, ids, 0, start, total, loss_from, total)
+            end = self.cut(whole, self.limits[0], self.limits[2])
+            item = Item(key, ids[4 * start : 4 * end], start, start, end, loss_from, total)
+            waits = waits or end - start < self.limits[0]
+            if waits:  # what is left in parts that fit an empty sequence
+                self.items.append(item)
+            else:  # a whole sequence
+                self.close([item])
+            start = end
 
     def pack(self, until: int) -> None:
         """Fill sequences until at most `until` examples wait."""
         if len(self.items) <= until:
             return
         most = np.array(self.limits, float)
-        need = np.array([(i[3] - i[2], 1, self.loss(i)) for i in self.items], float).reshape(-1, 3)
+        need = np.array([(i.stop - i.start, 1, self.loss(i)) for i in self.items], float).reshape(-1, 3)
         free = np.ones(len(self.items), bool)
         left = len(self.items)
         while left > until:
@@ -182,26 +206,26 @@ class Packer:
                     continue
                 best = int(np.argmax(np.where(free, need[:, 0], -1))) if left else 0
                 end = self.cut(self.items[best], int(room[0]), int(room[2])) if left else 0
-                if not left or end <= self.items[best][2]:
+                if not left or end <= self.items[best].start:
                     break
-                head = (*self.items[best][:3], end, self.items[best][4])
-                self.items[best] = (*self.items[best][:2], end, *self.items[best][3:])
+                head = self.items[best]._replace(stop=end)
+                self.items[best] = self.items[best]._replace(start=end)
                 held.append(head)
-                room -= (end - head[2], 1, self.loss(head))
-                need[best] = (self.items[best][3] - end, 1, self.loss(self.items[best]))
-            total = sum(i[3] - i[2] for i in held)
+                room -= (end - head.start, 1, self.loss(head))
+                need[best] = (self.items[best].stop - end, 1, self.loss(self.items[best]))
+            total = sum(i.stop - i.start for i in held)
             if total < self.limits[0] and total & (total - 1):
                 rest = total - (1 << total.bit_length() - 1)
                 back = []
                 while rest:
                     item = held.pop()
-                    size = min(rest, item[3] - item[2])
-                    if item[3] - item[2] > size:
-                        held.append((*item[:3], item[3] - size, item[4]))
-                    back.append((*item[:2], item[3] - size, *item[3:]))
+                    size = min(rest, item.stop - item.start)
+                    if item.stop - item.start > size:
+                        held.append(item._replace(stop=item.stop - size))
+                    back.append(item._replace(start=item.stop - size))
                     rest -= size
                 self.items += back
-                need = np.vstack([need, [(i[3] - i[2], 1, self.loss(i)) for i in back]])
+                need = np.vstack([need, [(i.stop - i.start, 1, self.loss(i)) for i in back]])
                 free = np.append(free, np.ones(len(back), bool))
                 left += len(back)
             self.close(held)
@@ -211,11 +235,24 @@ class Packer:
         """The pieces placed since the last call."""
         for at in range(0, len(self.done), 1_024):
             part = self.done[at : at + 1_024]
-            columns = list(zip(*((i[0], i[2], i[3] - i[2], i[1][4 * i[2] : 4 * i[3]], len(i[1]) // 4, self.loss(i), (task << 33) + s, o) for i, s, o in part), strict=True))
+            columns = list(zip(*((i.key, i.start, i.stop - i.start, i.held(), i.total, self.loss(i), (task << 33) + s, o) for i, s, o in part), strict=True))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
         self.done = []
 
 
+def portions(texts: list[str | None]) -> Iterator[slice]:
+    """Neighbouring texts of about `CHARACTERS` at most together, or a longer one alone."""
+    start = held = 0
+    for place, text in enumerate(texts):
+        size = len(text or "")
+        if place > start and held + size > CHARACTERS:
+            yield slice(start, place)
+            start, held = place, 0
+        held += size
+    if texts:
+        yield slice(start, len(texts))
+
+
 def pack(
     examples: DataFrame,
     tokens: int = TOKENS,
@@ -235,11 +272,12 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, encode, packer = TaskContext.get().partitionId(), make(), Packer(tokens, segments, loss)
         for part in slices(batches):
-            for key, ids, start in zip(part["doc_id"], encode(part["text"]), part["loss_from"], strict=True):
-                packer.add(key, ids, start)
-            if len(packer.items) >= BUFFER[0]:
-                packer.pack(BUFFER[1])
-            yield from packer.rows(task)
+            for rows in portions(part["text"]):
+                for key, ids, start in zip(part["doc_id"][rows], encode(part["text"][rows]), part["loss_from"][rows], strict=True):
+                    packer.add(key, ids, start)
+                if len(packer.items) >= BUFFER[0]:
+                    packer.pack(BUFFER[1])
+                yield from packer.rows(task)
         packer.pack(0)
         yield from packer.rows(task)
 

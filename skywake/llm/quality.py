@@ -6,8 +6,9 @@ the mean of its features' vectors, and a softmax over it gives the classes. Vect
 stochastic gradient descent in numpy.
 
 Training takes a bounded sample: of the distinct labelled rows whose text has at most ``longest`` characters, the ``rows`` with the
-smallest hash of their id (the driver holds no more than these). Scoring takes whole texts of every length. As the output is
-linear in the mean, each bucket's vector is folded to one number per class first, and each word to the sum of its features.
+smallest hash of their id, as far as their texts have ``characters`` together. One task trains on them; the driver sees their ids and
+the model, never a text. Scoring takes whole texts of every length. As the output is linear in the mean, each bucket's
+vector is folded to one number per class first, and each word to the sum of its features.
 
 Null and empty texts have no feature: the softmax of the bias alone is their score. Without a label to learn from, every score
 is 0.5. Rows that repeat are scored each for itself; labels that are null teach nothing, and a row
@@ -21,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from skywake.llm.common import crc_mod, fresh, table
 
 BUCKETS, DIMENSIONS = 1 << 18, 8
 NGRAMS = (3, 4)
-ROWS, LONGEST = 2_000, 50_000
+ROWS, LONGEST, CHARACTERS = 2_000, 50_000, 20_000_000
 EPOCHS, RATE = 6, 0.5
 THRESHOLD = 0.3
 #: Words whose feature sums are remembered; the memory is emptied at this size.
@@ -127,7 +129,7 @@ def train(
     vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)).astype(np.float32)
     top, bias = np.zeros((dimensions, classes), np.float32), np.zeros(classes, np.float32)
     held = [(*features(text, buckets, ngrams), label) for text, label in examples]
-    _word_buckets.cache_clear()  # the driver needs its memory again
+    _word_buckets.cache_clear()
     steps = 0
     for _ in range(epochs):
         for place in rng.permutation(len(held)):
@@ -147,18 +149,35 @@ def train(
     return Model((vectors.astype(np.float64) @ top.astype(np.float64)), bias.astype(np.float64), ngrams)
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = ROWS, longest: int = LONGEST) -> Model | None:
-    """A model of `labels.quality` from a bounded sample of the `usable` rows of `docs`; None without labels."""
+def sample(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = ROWS, longest: int = LONGEST, characters: int = CHARACTERS) -> DataFrame:
+    """doc_id, text, quality: the bounded sample of the labelled, `usable` rows of `docs` that a model is trained on."""
     marks = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     known = docs.where(usable & F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text", F.xxhash64("text").alias("tag"))
     # rows are joined and ranked without their texts, by id and hash of the text, then the few chosen ones fetch theirs once
-    place = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality"), F.col("tag")]
-    ranked = marks.join(known.select("doc_id", "tag").distinct(), "doc_id").orderBy(*place).limit(rows)
-    chosen = docs.sparkSession.createDataFrame(ranked.collect(), ranked.schema)
+    keys = known.select("doc_id", "tag", F.length("text").alias("size")).distinct()
+    ranked = marks.join(keys, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "tag").limit(rows).collect()
+    upto = accumulate(row["size"] for row in ranked)
+    held = [(row["doc_id"], row["tag"], row["quality"]) for row, total in zip(ranked, upto, strict=True) if total <= characters]
+    kinds = known.schema
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(held, f"doc_id {kinds['doc_id'].dataType.simpleString()}, tag long, quality int"))
     texts = known.join(F.broadcast(chosen.select("doc_id", "tag").distinct()), ["doc_id", "tag"]).groupBy("doc_id", "tag").agg(F.min("text").alias("text"))
-    sample = texts.join(F.broadcast(chosen), ["doc_id", "tag"]).select("doc_id", "text", "quality").collect()
-    examples = [(text, int(quality == 1)) for _, text, quality in sorted(sample)]
-    return train(examples) if examples else None
+    return texts.join(chosen, ["doc_id", "tag"]).select("doc_id", "text", "quality")
+
+
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = ROWS, longest: int = LONGEST, characters: int = CHARACTERS) -> Model | None:
+    """A model of `labels.quality`, trained on the sample in one task; None without labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((row["doc_id"], row["text"], row["quality"]) for batch in batches for row in batch.to_pylist())
+        if found:
+            model = train([(text, int(quality == 1)) for _, text, quality in found])
+            yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias.tobytes()], pa.binary())], names=["weights", "bias"])
+
+    held = sample(docs, labels, usable, rows, longest, characters).repartition(1).mapInArrow(run, "weights binary, bias binary").first()
+    if held is None:
+        return None
+    bias = np.frombuffer(held["bias"])
+    return Model(np.frombuffer(held["weights"]).reshape(-1, len(bias)), bias, NGRAMS)
 
 
 def kept_scorer(name: str, model: Model):

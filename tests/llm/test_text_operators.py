@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import random
+import string
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from skywake.llm import bpe, language, lines, packing, quality
@@ -60,6 +62,34 @@ def test_every_id_is_packed_once(documents):
     assert packing.pack(documents([])).count() == 0
 
 
+def test_every_character_beside_punctuation_has_the_tokenizers_ids():
+    ours = packing.WordIds(packing.VOCABULARY, packing.END_ID)
+    for marks, last in ((",.", 0x1FFFF), (string.punctuation, 0x600)):
+        letters = [chr(c) for c in range(0x20, last) if not 0xD800 <= c < 0xE000]
+        words = [w for c in letters for m in marks for w in (c + m, m + c, f"a{c}{m}", c)]
+        whole = packing.tokenizer(packing.VOCABULARY).encode_batch_fast(words, add_special_tokens=False)
+        wrong = [w for w, held, asked in zip(words, ours(words), whole, strict=True) if np.frombuffer(held, "<u4").tolist() != [*asked.ids, packing.END_ID]]
+        assert not wrong
+
+
+def test_ids_are_packed_for_null_ids_and_repeated_rows_and_long_texts(documents, monkeypatch):
+    monkeypatch.setattr(packing, "CHARACTERS", 40)
+    long = "one, two. İ, क़. three " * 130_000  # more words than are remembered together
+    rows = [(None, "null id, here."), (4, "again and again"), (4, "again and again"), (5, long), (None, None)]
+    whole = packing.tokenizer(packing.VOCABULARY)
+    held = packing.pack(documents(rows).coalesce(1)).collect()
+    _pieces(held, packing.TOKENS)
+    got = collections.Counter((r.doc_id, r.doc_tokens) for r in held if r.start == 0)
+    expected = [(k, [*whole.encode(t or "", add_special_tokens=False).ids, 2]) for k, t in rows]
+    assert got == collections.Counter((k, len(ids)) for k, ids in expected)
+    pieces = sorted((r for r in held if r.doc_id == 5), key=lambda r: r.start)
+    assert b"".join(bytes(r.ids) for r in pieces) == np.array(expected[3][1], "<u4").tobytes()
+    assert sum(r.length for r in held) == sum(len(ids) for _, ids in expected)
+    items = packing.Packer(8, 4, 8)
+    items.add(1, bytes(4 * 1_000_003))
+    assert len(items.items) == 1 and len(items.items[0].ids) == 4 * 3  # what waits holds its own ids alone
+
+
 def test_loss_bearing_tokens_are_limited(llm):
     rows = [(k, "word " * (k % 37 + 1), k % 11 if k % 4 else None) for k in range(200)]
     held = packing.pack(llm.createDataFrame(rows, "doc_id long, text string, loss_from long"), tokens=64, segments=5, loss=20).collect()
@@ -188,15 +218,57 @@ def test_quality_is_learned_from_labels(llm):
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
 
 
-def test_rows_that_repeat_teach_once_and_within_the_bound(llm, monkeypatch):
-    monkeypatch.setattr(quality, "train", lambda examples: examples)
+def test_rows_that_repeat_teach_once_and_within_the_bound(llm):
+    def learned(**bounds):
+        return [(r.text, r.quality) for r in quality.sample(docs, labels, F.lit(True), **bounds).collect()]
+
     docs = llm.createDataFrame([(1, "one")] * 30 + [(1, "other"), (2, "two"), (2, "two"), (3, "three")], "doc_id long, text string")
     labels = llm.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0)], "doc_id long, quality int")
     pairs = [("one", 1), ("other", 1), ("three", 0), ("two", 0), ("two", 1)]
-    assert sorted(quality.learn(docs, labels, F.lit(True))) == pairs
+    assert sorted(learned()) == pairs
     for rows in (1, 3):
-        held = quality.learn(docs, labels, F.lit(True), rows=rows)
+        held = learned(rows=rows)
         assert len(held) == rows and set(held) < set(pairs)
+    assert 0 < sum(len(t) for t, _ in learned(characters=9)) <= 9 and not learned(characters=1)
+
+
+def test_scores_are_the_softmax_of_the_mean(llm):
+    rng = random.Random(9)
+    model = quality.train([(_language(rng, "aa"), 1) for _ in range(20)] + [(_language(rng, "bb"), 0) for _ in range(20)], buckets=1 << 12)
+    texts = [None, "", " \n", "one", "a a a a", "é ñ 日本", *(_language(rng, rng.choice(["aa", "bb", "cc"])) for _ in range(40))]
+    docs = llm.createDataFrame([(k, t, "mine", 5, True) for k, t in enumerate(texts)], "doc_id long, text string, score string, predicted int, held_out boolean")
+    for r in quality.score(docs, model).collect():
+        found, shares = quality.features(texts[r.doc_id] or "", 1 << 12, quality.NGRAMS)
+        logits = shares.astype(float) @ model.weights[found] + model.bias
+        assert r.score == pytest.approx(1 / (1 + np.exp(logits[0] - logits[1])), abs=1e-5)
+        assert r.predicted == (r.score >= quality.THRESHOLD) and r.held_out is True
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_the_language_is_that_of_the_smallest_size(llm):
+    rng = random.Random(12)
+    learned = {lang: _language(rng, lang).encode() * 5 for lang in ("aa", "bb", "cc")} | {"dd": b""}
+    learned["ee"] = learned["aa"]  # equal sizes: the first language wins, and the margin is none
+    rows = [(k, _language(rng, rng.choice(["aa", "bb", "cc"])) * rng.choice([1, 40]), "x", 1.0) for k in range(30)] + [(7, "und der", "x", 2.0)] * 2
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double")
+    held = language.predict(docs, learned, F.lit(True)).collect()
+
+    def sizes(text):
+        data = text.lower().encode()
+        out = {}
+        for lang, content in learned.items():
+            kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            tool = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=kept, write_content_size=False, write_checksum=False, write_dict_id=False)
+            out[lang] = sum(len(tool.compress(data[i : i + language.PIECE])) for i in range(0, len(data), language.PIECE))
+        return out
+
+    expected = collections.Counter()
+    for k, text, _, _ in rows:
+        found = sizes(text)
+        best = min(found, key=found.get)
+        expected[k, best, best == "aa" or sorted(found.values())[1] < found[best] * (1 + language.MARGIN)] += 1
+    assert collections.Counter((r.doc_id, r.lang_pred, r.rejected) for r in held) == expected
+    assert language.predict(docs.limit(0), learned, F.lit(True)).count() == 0
 
 
 @pytest.mark.parametrize("words", [3, 10_000])
