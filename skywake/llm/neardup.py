@@ -26,7 +26,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,6 +65,8 @@ def shingles(tokens: list[str], width: int = WIDTH) -> np.ndarray:
     """64-bit hashes of the runs of `width` words, in order."""
     if not tokens:
         return np.zeros(0, np.uint64)
+    import pandas as pd  # in the tasks alone, the driver has no use for it
+
     codes, distinct = pd.factorize(np.array(tokens, dtype=object))
     hashes = pd.util.hash_array(distinct, categorize=False)[codes]
     width = min(width, len(tokens))
