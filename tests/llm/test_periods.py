@@ -1,0 +1,124 @@
+"""Periodic runs against their definition."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from skywake.llm import periods
+
+BLANK = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _runs(words):
+    """All runs, by their definition."""
+    n, found = len(words), []
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            start = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            end = i + q
+            smaller = any(q % r == 0 and all(words[k] == words[k + r] for k in range(start, end - r)) for r in range(1, q))
+            if end - start >= max(24, 3 * q) and not smaller:
+                found.append((start, end - start, q))
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def _given(doc_id, text):
+    words = BLANK.findall(text or "")
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def _digest(doc_id, text):
+    words = _given(doc_id, text)
+    runs = _runs(words)
+    dropped = {i for s, length, q in runs for i in range(s + q, s + length)}
+    best = min(runs, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=(None,) * 3)
+    return (
+        doc_id, len(runs), best[0], best[1], best[2], None if best[0] is None else 1000 * best[1] // best[2],
+        hashlib.sha256("".join(f"{s},{length},{q}\n" for s, length, q in runs).encode()).hexdigest(),
+        hashlib.sha256(" ".join(w for i, w in enumerate(words) if i not in dropped).encode()).hexdigest(),
+    )
+
+
+def _some(rng):
+    """Words of few kinds with stretches that repeat, one inside the other."""
+    words = [rng.randrange(rng.choice([1, 2, 3, 50])) for _ in range(rng.randint(0, 60))]
+    for _ in range(rng.randint(1, 4)):
+        part = [rng.randrange(rng.choice([2, 3, 60])) for _ in range(rng.randint(1, 45))]
+        if rng.random() < 0.3:
+            part = part * rng.randint(2, 5) + [7]
+        times = rng.randint(2, 6)
+        words += (part * (times + 1))[: len(part) * times + rng.randrange(len(part))]
+        words += [rng.randrange(100) for _ in range(rng.randint(0, 9))]
+    return words
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_runs_are_those_of_the_definition(seed):
+    words = _some(random.Random(seed))
+    assert periods.find_runs(np.array(words, np.int64)) == _runs(words)
+
+
+@pytest.mark.parametrize("period", [*range(1, 40), 63, 64, 65, 100, 150, 333])
+def test_each_period_is_found_from_the_least_length_on(period):
+    rng = random.Random(period)
+    part = [1000 + k for k in range(period)]
+    rng.shuffle(part)
+    least = max(24, 3 * period)
+    for length in (least - 1, least, least + 1):
+        words = [1, 2, 3, *(part * 30)[:length], 4, 5]
+        assert periods.find_runs(np.array(words)) == ([(3, length, period)] if length >= least else [])
+
+
+def test_words_that_grow_out_of_themselves():
+    a, b = [0], [0, 1]
+    while len(b) < 1_500:
+        a, b = b, b + a
+    assert periods.find_runs(np.array(b)) == _runs(b)
+    thue = [bin(k).count("1") % 2 for k in range(1_024)]
+    assert periods.find_runs(np.array(thue)) == _runs(thue) == []
+
+
+def test_scales_cover_every_period():
+    held = list(periods.scales(5_000))
+    assert held[0][0] == periods.SHORT + 1 and all(b[0] == a[1] + 1 for a, b in zip(held, held[1:]))
+    assert all(w >= 1 and k >= low and w <= (periods.TIMES - 1) * low - k + 1 for low, k, w in held)
+
+
+def test_documents_and_their_digests(llm):
+    rng = random.Random(3)
+    texts = [None, "", " \n\t", "one", "a " * 24, "a " * 23, "a b " * 30, "x\x0by\x0cz " * 30, "A a " * 20]
+    texts += ["  ".join(f"w{w}" for w in _some(rng)) + rng.choice(["", "\n"]) for _ in range(80)]
+    rows = list(enumerate(texts)) + [(k, texts[-1]) for k in range(100, 160)] + [(12, texts[12]), (12, texts[12]), (None, texts[20]), (None, texts[20])]
+    full = [(k, t, "en", 1, "r") for k, t in rows]
+    docs = llm.createDataFrame(full, "doc_id long, text string, lang string, start int, runs string")
+    given = docs.withColumn("text", periods.given_text(docs.doc_id, docs.text))
+    for portion in (1, 100, periods.WORDS):
+        held = [tuple(r) for r in periods.digests(periods.periodic_runs(given, portion)).collect()]
+        assert sorted(held, key=str) == sorted((_digest(k, t) for k, t in rows), key=str)
+    assert sum(zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in rows if k is not None) > 5
+    assert periods.periodic_runs(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_text(llm):
+    rng = random.Random(5)
+    part = [f"p{k}" for k in range(30_000)]
+    words = [f"u{rng.randrange(10**9)}" for _ in range(50_000)] + part * 4 + [f"v{k}" for k in range(1_000)] + ["same"] * 70_000
+    found = periods.periodic_runs(llm.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    assert [tuple(r) for r in found.runs] == [(50_000, 120_000, 30_000), (171_000, 70_000, 1)]
+    assert found.collapsed.split(" ") == words[:80_000] + words[170_000:171_001]
