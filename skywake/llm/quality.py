@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -49,7 +50,9 @@ def word_buckets(word: str, buckets: int, ngrams: tuple[int, int]) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in sorted(grams)]
 
 
-_word_buckets = lru_cache(100_000)(word_buckets)
+@lru_cache(20_000)
+def _word_buckets(word: str, buckets: int, ngrams: tuple[int, int]) -> np.ndarray:
+    return np.array(word_buckets(word, buckets, ngrams), np.int32)
 
 
 def pair_buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -107,11 +110,11 @@ class Model:
 def features(text: str, buckets: int, ngrams: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
     words = text.split()
-    found = [b for w in words for b in _word_buckets(w, buckets, ngrams)]
+    found = [_word_buckets(w, buckets, ngrams) for w in words]
     if len(words) > 1:
-        found += pair_buckets(np.array([word_hash(w) for w in words], np.uint64), buckets).tolist()
-    held, counts = np.unique(np.array(found, np.int64), return_counts=True)
-    return held.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)
+        found.append(pair_buckets(np.array([word_hash(w) for w in words], np.uint64), buckets).astype(np.int32))
+    held, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
+    return held, (counts / max(1, counts.sum())).astype(np.float32)
 
 
 def train(
@@ -128,13 +131,20 @@ def train(
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)).astype(np.float32)
     top, bias = np.zeros((dimensions, classes), np.float32), np.zeros(classes, np.float32)
-    held = [(*features(text, buckets, ngrams), label) for text, label in examples]
+    # all features one behind the other, in memory that the task gives back as a whole
+    all_found, all_shares, bounds = array("i"), array("f"), [0]
+    for text, _ in examples:
+        found, shares = features(text, buckets, ngrams)
+        all_found.frombytes(found.tobytes())
+        all_shares.frombytes(shares.tobytes())
+        bounds.append(len(all_found))
     _word_buckets.cache_clear()
     steps = 0
     for _ in range(epochs):
-        for place in rng.permutation(len(held)):
-            found, shares, label = held[place]
-            pace = rate * (1 - steps / (epochs * len(held)))
+        for place in rng.permutation(len(examples)):
+            within, label = slice(bounds[place], bounds[place + 1]), examples[place][1]
+            found, shares = np.frombuffer(all_found, np.int32)[within], np.frombuffer(all_shares, np.float32)[within]
+            pace = rate * (1 - steps / (epochs * len(examples)))
             steps += 1
             mean = shares @ vectors[found]
             logits = mean @ top + bias
