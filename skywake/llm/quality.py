@@ -143,7 +143,7 @@ def train(
     for _ in range(epochs):
         for place in rng.permutation(len(examples)):
             within, label = slice(bounds[place], bounds[place + 1]), examples[place][1]
-            found, shares = np.frombuffer(all_found, np.int32)[within], np.frombuffer(all_shares, np.float32)[within]
+            found, shares = np.asarray(all_found)[within], np.asarray(all_shares)[within]
             pace = rate * (1 - steps / (epochs * len(examples)))
             steps += 1
             mean = shares @ vectors[found]

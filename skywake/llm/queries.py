@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skywake.llm import bpe, chat, gridjoin, language, lines, neardup, packing, periods, quality, suffixes, topk, whitening
+from skywake.llm import bpe, chat, gridjoin, language, lines, neardup, packing, periods, quality, suffixes, topk, toxicity, whitening
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     "op11_whitening": whitening.op11_whitening,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
