@@ -7,13 +7,13 @@ register. Two documents agree in a register with the probability that is their p
 
 1. Documents with equal word sequences are one class; classes, not copies, are compared.
 2. Registers are banded. In every band bucket the class that meets most others in all its buckets is compared with all others
-   of other components, by the estimate from the registers first, then exactly, and leaves the bucket; then the next two.
+   of other components, by an estimate from one bit of each register first, then exactly, and leaves the bucket; then the next two.
    Buckets that are down to one component are done. What is left, texts that are alike but not alike enough, is clustered by common
    buckets, and a cluster's members are compared block against block. So every pair of classes that meet in a bucket is compared
    or already connected; pairs within a group are never listed and never capped.
 3. Classes are components of the links.
 
-At a similarity of 0.8 a pair meets in no bucket with probability 5e-8, and the estimate rejects it with one of 1e-7.
+At a similarity of 0.8 a pair meets in no bucket with probability 5e-8, and each estimate rejects it with one of less than 1e-7.
 
 Null texts and texts without a word link with nothing: each is a class of its own. Rows that share a doc_id are rows of their own;
 a null id is never a class's id unless the class has no other.
@@ -44,7 +44,8 @@ BLOCK, BYTES = 128, 1 << 22
 SLACK = 0.2
 
 WORD = re.compile(r"\w+")
-MARKED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
+MARKED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary()),
+                    ("low", pa.int64()), ("high", pa.int64())])
 BODIES = pa.schema([("num", pa.int64()), ("body", pa.binary())])
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -128,7 +129,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def mark(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, tag (a hash of the text), digest of the words, bands and registers (16 bits of each) of every row; null digest without words."""
+    """doc_id, tag (a hash of the text), digest of the words, bands, registers (16 bits of each), low and high (a bit of each) of every row; null digest without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 128):
@@ -137,19 +138,21 @@ def mark(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             found = [np.unique(shingles(t, width), return_counts=True) for t in tokens]
             doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             held = registers(doc, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), len(found)) if len(doc) else None
-            bands, short = [None] * len(found), [None] * len(found)
+            bands, short, low, high = ([None] * len(found) for _ in range(4))
             if held is not None:
                 banded = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _A, (len(found), BANDS)).copy()
                 for row in range(ROWS):
                     banded = mix(banded + held[:, row::ROWS] * _A)
+                bits = np.packbits((held & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                 for number, t in enumerate(tokens):
                     if t:
+                        low[number], high[number] = bits[number].tolist()
                         bands[number] = banded[number].astype(np.int64).tolist()
                         short[number] = (held[number] >> np.uint64(48)).astype("<u2").tobytes()
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip((part["doc_id"], part["tag"], digests, bands, short), MARKED, strict=True)], schema=MARKED)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip((part["doc_id"], part["tag"], digests, bands, short, low, high), MARKED, strict=True)], schema=MARKED)
 
     tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
-    return tagged.mapInArrow(run, "doc_id long, tag long, digest binary, bands array<long>, registers binary")
+    return tagged.mapInArrow(run, "doc_id long, tag long, digest binary, bands array<long>, registers binary, low long, high long")
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -170,16 +173,8 @@ def _bodies(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return both.mapInArrow(run, "num long, body binary").groupBy("num").agg(F.first("body").alias("body"))
 
 
-def _verified(pairs: DataFrame, held: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes that are similar: estimated from registers, then computed."""
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [
-                (np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2")).mean() >= similarity - SLACK
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes that are similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,12 +185,9 @@ def _verified(pairs: DataFrame, held: DataFrame, bodies: DataFrame, similarity:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    def with_both(frame: DataFrame, of: DataFrame, column: str) -> DataFrame:
-        one = frame.join(of.select(F.col("num").alias("b"), F.col(column).alias("y")), "b")
-        return one.join(of.select(F.col("num").alias("a"), F.col(column).alias("x")), "a").select("a", "b", "x", "y")
-
-    likely = with_both(pairs, held, "registers").mapInArrow(agree, "a long, b long")
-    return with_both(likely, bodies, "body").mapInArrow(compare, "a long, b long")
+    one = pairs.join(bodies.select(F.col("num").alias("b"), F.col("body").alias("y")), "b")
+    both = one.join(bodies.select(F.col("num").alias("a"), F.col("body").alias("x")), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(compare, "a long, b long")
 
 
 def _packed(members: DataFrame) -> DataFrame:
@@ -245,13 +237,22 @@ def _compared(members: DataFrame, similarity: float) -> DataFrame:
     return cells.join(others, ["cluster", "other"]).select("block", "other", "x", "y").mapInArrow(compare, "u long, v long")
 
 
+def most_different(similarity: float) -> int:
+    """How many of the registers' bits may differ for a pair to be verified: six standard deviations above what is expected."""
+    odds = (1 - similarity) / 2  # half of the registers that differ have the same bit
+    return int(REGISTERS * odds + 6 * (REGISTERS * odds * (1 - odds)) ** 0.5)
+
+
+ENTRY = ["band", "num", "weight", "low", "high"]
+
+
 def _open(entries: DataFrame, tree: DataFrame) -> DataFrame:
     """`entries` with their component so far, of the buckets that hold several.
 
     Components come from one step of the tree, so members of one may be told apart still, which only costs comparisons.
     """
     labels = tree.groupBy(F.col("u").alias("num")).agg(F.min("v").alias("component"))
-    placed = entries.select("band", "num", "weight").join(labels, "num", "left").withColumn("component", F.coalesce("component", "num"))
+    placed = entries.select(*ENTRY).join(labels, "num", "left").withColumn("component", F.coalesce("component", "num"))
     several = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
     return placed.join(several, "band")
 
@@ -259,14 +260,14 @@ def _open(entries: DataFrame, tree: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """doc_id, tag (a hash of the text), class_id (the smallest doc_id of the class) and kept for every row of `docs` (doc_id, text)."""
     marks = written(mark(docs, width), "marks")
-    one = marks.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    one = marks.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("bands", "registers", "low", "high")))
     held = written(one.withColumn("num", F.monotonically_increasing_id()), "classes")
-    met = held.select("num", F.explode("bands").alias("band"))
+    met = held.select("num", "low", "high", F.explode("bands").alias("band"))
     shared = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = written(met.join(shared, "band"), "entries")
     # the class that meets most others comes first: copies of one text meet it more than each other
     weight = sized.groupBy("num").agg((-F.sum("n")).alias("weight"))
-    entries = written(sized.join(weight, "num").select("band", "num", "weight"), "entries")
+    entries = written(sized.join(weight, "num").select(*ENTRY), "entries")
     forget(sized)
     wanted = held.join(entries.select("num").distinct(), "num")
     bodies = written(_bodies(docs, wanted, width), "bodies")
@@ -279,13 +280,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
             chosen.alias("c")
             .join(left.alias("o"), (F.col("c.band") == F.col("o.band")) & (F.col("c.component") != F.col("o.component")))
             .where(F.struct("c.weight", "c.num") < F.struct("o.weight", "o.num"))
+            .where(F.bit_count(F.col("c.low").bitwiseXOR(F.col("o.low"))) + F.bit_count(F.col("c.high").bitwiseXOR(F.col("o.high"))) <= most_different(similarity))
             .select(F.col("c.num").alias("a"), F.col("o.num").alias("b"))
             .distinct()
         )
-        linked = written(_verified(pairs, held, bodies, similarity).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+        linked = written(_verified(pairs, bodies, similarity).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
         tree = written(star(tree.unionByName(linked)), "tree")
         passed = chosen.groupBy("band").agg(F.max(F.struct("weight", "num")).alias("upto"))
-        left = left.join(passed, "band").where(F.struct("weight", "num") > F.col("upto")).select("band", "num", "weight")
+        left = left.join(passed, "band").where(F.struct("weight", "num") > F.col("upto")).select(*ENTRY)
     rest = written(_open(left, tree), "entries")
     if not rest.isEmpty():
         first = rest.groupBy("band").agg(F.min("num").alias("b"))
