@@ -6,6 +6,7 @@ towards the last event so that every age threshold cuts somewhere.
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -185,6 +186,11 @@ class Inputs:
         documents.write.text(path)
         return path
 
+    def write_closing_document(self, path: str, after: timedelta) -> None:
+        """Add a snapshot without vectors ``after`` the reference time, as a feed that goes on would (an action)."""
+        time = (F.unix_seconds(self.as_of.cast("timestamp")) + int(after.total_seconds())).alias("time")
+        self.spark.range(1).select(F.to_json(F.struct(time)).alias("value")).write.mode("append").text(path)
+
 
 def derive_states(events: DataFrame, as_of: Column) -> DataFrame:
     prefixes = ", ".join(f"'{p}'" for p in CALLSIGN_PREFIXES)

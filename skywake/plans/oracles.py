@@ -270,6 +270,8 @@ WHERE latest = 1 AND ingested_at >= (SELECT as_of - INTERVAL 30 MINUTE FROM wire
     ),
 }
 
+PARTS |= {f"wire_{name}": (["wire_live"], PARTS[name][1].replace("fx_live", "wire_live")) for name in ("airlines", "bands", "countries")}
+
 # Airline and its callsign prefixes, first match wins.
 AIRLINES = [
     ("Emirates", "EK", "UAE"),
@@ -798,6 +800,18 @@ SELECT time AS id, make_timestamp(time * 1000000) AS run_at, CAST(n AS INT) AS r
 FROM wire_cycles""",
         "wire_cycles",
     ),
+    "kept_airline_activity": sql("SELECT * FROM wire_airlines ORDER BY flight_count DESC, airline", "wire_airlines"),
+    "kept_altitude_distribution": sql("SELECT * FROM wire_bands", "wire_bands"),
+    "kept_country_activity": sql("SELECT * FROM wire_countries", "wire_countries"),
+    "kept_dashboard_stats": sql(
+        """
+SELECT count(*) FILTER (NOT on_ground) AS flights_in_air, count(*) FILTER (on_ground) AS flights_on_ground,
+  count(DISTINCT origin_country) AS countries_active,
+  count(*) FILTER (NOT on_ground AND ingested_at < (SELECT as_of FROM wire_now) - INTERVAL 2 MINUTE) AS ghost_count,
+  max(ingested_at) AS last_ingested_at, 0 AS seconds_since_sync
+FROM wire_live""",
+        "wire_live",
+    ),
     "live_feed": sql(_feed("uneven_recent"), "uneven_recent"),
     "live_feed_by_runs": sql(_feed("uneven_unseen"), "uneven_unseen"),
     "history_hourly": sql(

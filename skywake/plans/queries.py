@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skywake import constants as K
 from skywake.functions import scalars as S
-from skywake.operators import activity, anomalies, ghosts, nearest, positions, ranking, regions, runs, snapshots
+from skywake.operators import activity, anomalies, ghosts, maintenance, nearest, positions, ranking, regions, runs, snapshots
 from skywake.plans.inputs import Inputs
 from skywake.schemas import LIVE_COLUMNS, STATE_COLUMNS
 from skywake.session import work_path
 from skywake.sources import snapshots as wire
-from skywake.sources.state import CycleState
-from skywake.streaming import ingest
+from skywake.sources.tables import Store
+from skywake.streaming import ingest, signals
 
+SIGNAL_BUCKETS = 32
 VIEW = (20.0, -30.0, 60.0, 60.0)  # south, west, north, east
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -516,27 +517,41 @@ def performance_scatter_wide(i: Inputs) -> DataFrame:
 # Streaming
 
 
-def _ingested(i: Inputs) -> CycleState:
+#: Files of a batch where a query is to see several batches.
+BATCH_FILES = 2
+
+
+def _ingested(i: Inputs, max_files: int | None = None) -> Store:
     """Run the ingestion stream over snapshot documents of the whole event table."""
-    root = work_path(i.spark, "state")
-    stream = ingest.start_ingest(i.spark, i.write_documents(), root, work_path(i.spark, "offsets"))
+    store = Store(i.spark, work_path(i.spark, "state"))
+    stream = ingest.start_ingest(i.spark, i.write_documents(), store.root, work_path(i.spark, "offsets"), max_files)
     stream.awaitTermination()
-    return CycleState(i.spark, root)
+    return store
+
+
+def _signalled(i: Inputs) -> Store:
+    """Run both streams, ingestion and what follows it."""
+    store = Store(i.spark, work_path(i.spark, "state"))
+    landing = i.write_documents()
+    i.write_closing_document(landing, signals.LATENESS + timedelta(seconds=1))
+    ingest.start_ingest(i.spark, landing, store.root, work_path(i.spark, "offsets")).awaitTermination()
+    signals.start_signals(i.spark, store, work_path(i.spark, "signal-offsets"), buckets=SIGNAL_BUCKETS).awaitTermination()
+    return store
 
 
 @query
 def stream_ingest(i: Inputs) -> DataFrame:
-    return _ingested(i).current("live")
+    return _ingested(i).live.current()
 
 
 @query
 def stream_hourly_rollup(i: Inputs) -> DataFrame:
-    return _ingested(i).current("anomaly_hourly")
+    return signals.hourly(_signalled(i))
 
 
 @query
 def stream_new_ghosts(i: Inputs) -> DataFrame:
-    return _ingested(i).alerts()
+    return signals.alerts(_signalled(i))
 
 
 @query
@@ -544,6 +559,33 @@ def stream_runs(i: Inputs) -> DataFrame:
     return _ingested(i).run_log().drop("fetch_ms", "upsert_ms")
 
 
+def _counted(i: Inputs) -> tuple[DataFrame, Column]:
+    """The counts kept by the ingestion stream over several batches, and its last accepted snapshot."""
+    store = _ingested(i, BATCH_FILES)
+    good = store.run_log().where("status = 'success'")
+    return store.current_counts(), good.agg(F.max("run_at")).scalar()
+
+
+@query
+def kept_airline_activity(i: Inputs) -> DataFrame:
+    return maintenance.airline_activity(*_counted(i))
+
+
+@query
+def kept_altitude_distribution(i: Inputs) -> DataFrame:
+    return maintenance.altitude_distribution(*_counted(i))
+
+
+@query
+def kept_country_activity(i: Inputs) -> DataFrame:
+    return maintenance.country_activity(*_counted(i))
+
+
+@query
+def kept_dashboard_stats(i: Inputs) -> DataFrame:
+    return maintenance.dashboard_stats(*_counted(i))
+
+
 @query
 def live_feed(i: Inputs) -> DataFrame:
     return ghosts.live_feed(i.stored_uneven_cycles)

@@ -49,12 +49,23 @@ ALERTS = T.StructType([
     T.StructField("message", T.StringType()),
 ])
 
-CYCLES = T.StructType([
-    T.StructField("number", T.IntegerType()),
-    T.StructField("cycle", T.TimestampNTZType()),
-    T.StructField("success", T.TimestampNTZType()),
-    T.StructField("status", T.StringType()),
-    *LIVE.fields,
+#: Parsed vectors as the streams hand them on, the rejected ones with the reason; `cycle` is the snapshot they count to.
+OBSERVED = T.StructType([
+    *STATE.fields,
+    T.StructField("time", T.LongType()),
+    T.StructField("cycle", T.LongType()),
+    T.StructField("landed", T.TimestampType()),
+    T.StructField("file", T.LongType()),
+    T.StructField("position", T.IntegerType()),
+    T.StructField("reject_reason", T.StringType()),
+])
+
+#: How many live rows of an ingest time have a property.
+COUNTS = T.StructType([
+    T.StructField("view", T.StringType()),
+    T.StructField("key", T.StringType()),
+    T.StructField("ingested_at", T.TimestampNTZType()),
+    T.StructField("n", T.LongType()),
 ])
 
 STATE_COLUMNS = STATE.fieldNames()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 
 
@@ -23,18 +21,6 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return [entry.getPath().getName() for entry in files.listStatus(place)] if files.exists(place) else []
 
 
-def publish(spark: SparkSession, path: str, content: str) -> None:
-    """Write a small text under a name that appears whole or not at all."""
-    files, place = _at(spark, path)
-    _, unfinished = _at(spark, f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")
-    out = files.create(unfinished, True)
-    out.write(bytearray(content.encode()))
-    out.close()
-    if not files.rename(unfinished, place):
-        files.delete(unfinished, False)
-        raise FileExistsError(path)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     files, place = _at(spark, path)
     files.delete(place, True)

@@ -1,26 +1,24 @@
-"""The ingestion cycle as a stream: parse, validate, upsert, purge, roll up, log."""
+"""The ingestion cycle as a stream: parse, upsert, keep the counts, log."""
 
 from __future__ import annotations
 
 import time
 from datetime import datetime, timedelta, timezone
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skywake import constants as K
 from skywake.functions import scalars as S
-from skywake.operators import anomalies, ghosts, snapshots
-from skywake.schemas import LIVE_COLUMNS
+from skywake.operators import maintenance
 from skywake.sources.snapshots import parse_states, stream_state_snapshots, valid_states
-from skywake.sources.state import CycleState, drop_expired_hours, write_history
+from skywake.sources.tables import BUCKETS, Store, drop_expired_hours, write_history
 
 PRODUCTION_TRIGGER = {"processingTime": "180 seconds"}
 FUTURE = "future_time"
 
 
-def _arrival() -> list[Column]:
+def arrival() -> list[Column]:
     """Of several vectors for one aircraft and time, that of the file landed last counts."""
     return [F.desc("landed"), F.desc("file"), F.desc("position")]
 
@@ -42,162 +40,71 @@ def accept(parsed: DataFrame) -> DataFrame:
     return valid_states(parsed).withColumn("ingested_at", F.timestamp_seconds("time").cast("timestamp_ntz"))
 
 
-def run_cycle(vectors: DataFrame, version: int, state: CycleState) -> None:
+def run_cycle(vectors: DataFrame, batch: int, store: Store) -> None:
     """The cycles of a micro-batch, one for each snapshot time in it, however many there are.
 
-    All cycles are computed at once from one table of the aircraft as each cycle sees them, so the tables do not depend on
-    how snapshots fall into batches. The reference time is the newest accepted snapshot, not the wall clock, so that a replay
-    gives the same result. A snapshot older than that is merged and logged, but turns no time back. A batch that is published
-    already is left alone.
+    The vectors are parsed once, into the log of observations, which all else reads. The reference time is the newest accepted
+    snapshot, not the wall clock, so that a replay gives the same result. Everything a batch writes overwrites what it wrote
+    before, but for the counts: they follow from the live table before the batch, so once they are there they stay.
     """
-    if state.published(version):
-        return
-    started = time.monotonic()
-    spent = lambda: int((time.monotonic() - started) * 1000)
-    as_of = datetime.now(timezone.utc).replace(tzinfo=None)
-    parsed = bounded(parse_states(vectors)).persist(StorageLevel.MEMORY_AND_DISK)
+    clock = time.monotonic()
+    lap = lambda: int((time.monotonic() - clock) * 1000)
+    newest, accepted = None, F.col("reject_reason").isNull()
     try:
-        base = state.latest(before=version)
-        runs, before = state.read("runs", base), state.read("live", base)
-        last = runs.agg(F.max(F.when(is_cycle(), F.col("run_at"))).alias("run"), F.max(F.when(F.col("status") == "success", F.col("run_at"))).alias("success")).first()
-        rows = accept(parsed)
-        known = [t for t in (newest(rows), last.success) if t is not None]
-        as_of = max(known or [t for t in (latest_cycle(parsed),) if t is not None], default=as_of)
-        logged = state.write("runs", version, snapshots.purge_runs(merged_runs(runs, cycle_runs(parsed)), as_of))
-        cycles = cycle_table(logged, last.run)
-        seen = observations(before, rows)
-        by_cycle = state.write("cycles", version, as_seen(seen, cycles))
-
-        live = snapshots.latest_by_key(seen, ["icao24"], [F.desc("ingested_at")])
-        state.write("live", version, snapshots.purge_stale_live(live, as_of))
-
-        hourly = state.read("anomaly_hourly", base)
-        merged = anomalies.upsert_anomaly_hour(hourly, hourly_of(by_cycle))
-        state.write("anomaly_hourly", version, snapshots.purge_anomaly_hourly(merged, as_of))
-        write_alerts(by_cycle, cycles, base, version, state)
-        state.drop("cycles", version)
-        state.complete(version)
+        seen = Observation()
+        parsed = bounded(parse_states(vectors))
+        measured = parsed.observe(seen, F.count_if(accepted).alias("accepted"), F.max(F.when(accepted, F.col("time"))).alias("newest"))
+        observed = store.observed.write(batch, measured)
+        fetched = lap()
+        if seen.get["accepted"]:
+            newest = datetime.fromtimestamp(seen.get["newest"], timezone.utc).replace(tzinfo=None)
+            merged = store.live.merged(accept(observed), arrival()).persist()
+            try:
+                if batch not in store.counts.batches():
+                    store.counts.write(batch, maintenance.applied(counts_before(store, batch), merged, newest))
+                store.live.store(merged, newest)
+            finally:
+                merged.unpersist()
+        store.runs.write(batch, cycle_runs(observed, fetched, lap() - fetched))
+        store.drop_expired()
     except Exception as error:
         try:
-            state.log_failure(failed_run(vectors.sparkSession, as_of, version, spent(), str(error)), version)
+            as_of = newest or datetime.now(timezone.utc).replace(tzinfo=None)
+            store.failures.write(batch, failed_run(vectors.sparkSession, as_of, batch, lap(), str(error)))
         except Exception as second:
             error.add_note(f"The failed run could not be logged: {second}")
         raise
-    finally:
-        parsed.unpersist()
-
-
-def is_cycle() -> Column:
-    """Whether a run is that of an accepted snapshot time, not of a snapshot dated ahead."""
-    return ~F.col("error_msg").eqNullSafe(K.FUTURE_MESSAGE)
 
 
-def newest(rows: DataFrame) -> datetime | None:
-    """The newest ingest time of accepted rows."""
-    return rows.agg(F.max("ingested_at")).first()[0]
+def counts_before(store: Store, batch: int) -> DataFrame:
+    """The counts of the newest batch before this one."""
+    known = [b for b in store.counts.batches() if b < batch]
+    return store.counts.of(known[-1] if known else -1)
 
 
-def latest_cycle(parsed: DataFrame) -> datetime | None:
-    """The latest cycle of a batch, whether or not it has an accepted row; a landing only where all are dated ahead."""
-    timed = F.max(F.when(~F.col("reject_reason").eqNullSafe(FUTURE), F.col("cycle")))
-    return parsed.agg(F.timestamp_seconds(F.coalesce(timed, F.max("cycle"))).cast("timestamp_ntz")).first()[0]
+def cycle_runs(observed: DataFrame, fetch_ms: int, upsert_ms: int) -> DataFrame:
+    """A run log row for each cycle of a batch, numbered by its time; one without an accepted row is an error.
 
-
-def cycle_runs(parsed: DataFrame) -> DataFrame:
-    """A run log row for each cycle of a batch, numbered by its time; one without an accepted row is an error."""
-    ok = F.col("n") > 0
-    counted = parsed.groupBy("cycle").agg(
-        F.count_if(F.col("reject_reason").isNull() & F.col("icao24").isNotNull()).cast("int").alias("n"),
+    The times are those measured for the batch, in equal parts for its cycles.
+    """
+    counted = observed.groupBy("cycle").agg(
+        F.count_if(F.col("reject_reason").isNull()).cast("int").alias("n"),
         F.bool_and(F.col("reject_reason").eqNullSafe(FUTURE)).alias("ahead"),
     )
+    ok, cycles = F.col("n") > 0, counted.agg(F.count("*")).scalar()
+    share = lambda ms: F.ceil(F.lit(ms) / cycles).cast("int")
     return counted.select(
         F.col("cycle").alias("id"),
         F.timestamp_seconds("cycle").cast("timestamp_ntz").alias("run_at"),
         F.col("n").alias("records_fetched"),
         F.col("n").alias("records_upserted"),
-        F.lit(0).alias("fetch_ms"),
-        F.lit(0).alias("upsert_ms"),
+        share(fetch_ms).alias("fetch_ms"),
+        F.when(ok, share(upsert_ms)).otherwise(F.lit(0)).alias("upsert_ms"),
         F.when(ok, "success").otherwise("error").alias("status"),
         F.when(F.col("ahead"), K.FUTURE_MESSAGE).when(~ok, K.EMPTY_FETCH_MESSAGE).alias("error_msg"),
     )
 
 
-def merged_runs(runs: DataFrame, batch: DataFrame) -> DataFrame:
-    """The log with the runs of a batch; parts of one snapshot that came in several batches are one run."""
-    merged = runs.unionByName(batch).groupBy("id", "run_at").agg(
-        *(F.sum(c).cast("int").alias(c) for c in ("records_fetched", "records_upserted", "fetch_ms", "upsert_ms")),
-        F.max("status").alias("status"),  # 'success' comes behind 'error'
-        F.bool_and(~is_cycle()).alias("ahead"),  # a landing can be the time of a snapshot as well
-    )
-    message = F.when(F.col("ahead"), K.FUTURE_MESSAGE).when(F.col("status") == "error", K.EMPTY_FETCH_MESSAGE)
-    return merged.withColumn("error_msg", message).drop("ahead")
-
-
-def cycle_table(runs: DataFrame, known: datetime | None) -> DataFrame:
-    """number, cycle, success (the last up to it) and status of the cycles behind `known`, a row per accepted snapshot time.
-
-    The windows run over the log of a few days at most, a row per snapshot.
-    """
-    order = Window.orderBy("run_at")
-    success = F.max(F.when(F.col("status") == "success", F.col("run_at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = runs.where(is_cycle()).select(F.row_number().over(order).alias("number"), F.col("run_at").alias("cycle"), success.alias("success"), "status")
-    return numbered if known is None else numbered.where(F.col("cycle") > F.lit(known))
-
-
-def observations(live: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row per aircraft and time, known ones and those of a batch, whose later part wins."""
-    kept = [*LIVE_COLUMNS, "landed", "file", "position"]
-    old = live.select(*LIVE_COLUMNS, F.lit(None).cast("timestamp").alias("landed"), F.lit(None).cast("bigint").alias("file"), F.lit(-1).alias("position"))
-    both = old.unionByName(rows.withColumn("file", F.xxhash64("file")).select(*kept))
-    # a known row of the same time landed before
-    return snapshots.latest_by_key(both, ["icao24", "ingested_at"], _arrival()).select(*LIVE_COLUMNS)
-
-
-def as_seen(seen: DataFrame, cycles: DataFrame) -> DataFrame:
-    """The rows of `seen` that each cycle sees: an aircraft's latest up to it, no older than the live table keeps.
-
-    A row lasts until the aircraft's next one; it meets the cycles of the time slots that it lasts in, as long as the
-    retention, so at most two.
-    """
-    slot = int(K.LIVE_RETENTION.total_seconds())
-    at = lambda column: F.unix_seconds(F.col(column).cast("timestamp"))
-    following = F.lead("ingested_at").over(Window.partitionBy("icao24").orderBy("ingested_at"))
-    lasting = seen.withColumn("following", following)
-    first = F.floor(at("ingested_at") / slot)
-    last = F.floor(F.least(F.coalesce(at("following"), at("ingested_at") + slot), at("ingested_at") + slot) / slot)
-    spread = lasting.withColumn("slot", F.explode(F.sequence(first, last)))
-    timed = cycles.withColumn("slot", F.floor(at("cycle") / slot))
-    within = (F.col("ingested_at") <= F.col("cycle")) & (F.col("cycle") <= F.col("ingested_at") + F.lit(K.LIVE_RETENTION))
-    current = F.col("following").isNull() | (F.col("cycle") < F.col("following"))
-    return spread.join(timed, "slot").where(within & current).select("number", "cycle", "success", "status", *LIVE_COLUMNS)
-
-
-def hourly_of(by_cycle: DataFrame) -> DataFrame:
-    """For each hour the counts of its last cycle with accepted rows."""
-    counted = by_cycle.where(F.col("status") == "success").groupBy("cycle").agg(
-        F.count_if(ghosts.is_ghost(as_of=F.col("cycle"))).cast("int").alias("ghost_count"),
-        F.count_if(S.is_low_altitude(F.col("on_ground"), F.col("geo_altitude"))).cast("int").alias("low_alt_count"),
-    )
-    rows = counted.select(S.hour_of(F.col("cycle")).alias("hour_utc"), "ghost_count", "low_alt_count", F.col("cycle").alias("updated_at"))
-    return snapshots.latest_by_key(rows, ["hour_utc"], [F.desc("updated_at")])
-
-
-def write_alerts(by_cycle: DataFrame, cycles: DataFrame, base: int | None, version: int, state: CycleState) -> None:
-    """Record the aircraft whose signal was lost since the cycle before, by the rule of the run log."""
-    age = F.unix_seconds(F.col("cycle").cast("timestamp")) - F.unix_seconds(F.col("ingested_at").cast("timestamp"))
-    unseen = ~F.col("on_ground") & (F.col("ingested_at") < F.col("success") - F.lit(K.GHOST_RUN_GRACE)) & (age <= K.GHOST_MAX_MINUTES * 60)
-    lost = by_cycle.where(unseen)
-    # the ghosts of the last cycle so far stand before the first of this batch; late snapshots are no cycle of their own
-    span = cycles.agg(F.min("number").alias("first"), F.max("number").alias("last"))
-    earlier = state.read("ghosts", base)
-    before = lost.select("icao24", (F.col("number") + 1).alias("number")).unionByName(earlier.select("icao24", span.select("first").scalar().alias("number")))
-    text = S.feed_message(F.lit("ghost"), F.col("callsign"), F.col("icao24"), F.col("origin_country"), F.lit(None).cast("double"))
-    fresh = lost.join(before, ["icao24", "number"], "left_anti")
-    state.write_alerts(version, fresh.select("cycle", "icao24", text.alias("message")))
-    final = span.select("last").scalar()
-    state.write("ghosts", version, lost.where(F.col("number") == final).select("icao24").unionByName(earlier.where(final.isNull())))
-
-
 def failed_run(spark: SparkSession, as_of: datetime, run_id: int, spent_ms: int, error: str) -> DataFrame:
     return spark.range(1).select(
         F.lit(run_id).cast("bigint").alias("id"),
@@ -219,7 +126,7 @@ def start_ingest(
     max_files: int | None = None,
     multi_line: bool = False,
     trigger: dict | None = None,
-    keep_versions: int = 5,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Run the cycle on every batch of files landing in a folder, by default once over what is there.
 
@@ -229,7 +136,7 @@ def start_ingest(
     vectors = stream_state_snapshots(spark, landing, multi_line, max_files)
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        run_cycle(batch, batch_id, CycleState(batch.sparkSession, root, keep_versions))
+        run_cycle(batch, batch_id, Store(batch.sparkSession, root, buckets))
 
     return (
         vectors.writeStream.foreachBatch(cycle)
@@ -256,7 +163,7 @@ def start_history(
     def append(batch: DataFrame, batch_id: int) -> None:
         rows = accept(bounded(parse_states(batch)))
         write_history(rows, batch_id, path)
-        as_of = newest(rows) if keep is not None else None
+        as_of = rows.agg(F.max("ingested_at")).first()[0] if keep is not None else None
         if as_of is not None:
             drop_expired_hours(batch.sparkSession, path, as_of, keep)
 
