@@ -37,6 +37,70 @@ def region_counts(
     return exploded.select(*by, "ord", F.col("entry.region").alias("region"), F.col("entry.n").alias("flight_count"))
 
 
+#: Cells that a box is covered with, at most; the size of the cells follows from that of the box.
+MOST_CELLS = 32
+
+
+def covered(regions: DataFrame) -> DataFrame:
+    """The cells (level, cx, cy) of each box of a table (region, south, west, north, east), and whether a cell lies ``within`` it.
+
+    A box takes the smallest cells of which ``MOST_CELLS`` cover it, so a large one has large cells. Bounds are inclusive. A box with a
+    missing bound, or with its west behind its east, holds nothing; so one over the date line must be given as two. Rows that
+    repeat are one region.
+    """
+    bounds = ["south", "west", "north", "east"]
+    real = regions.select("region", *(F.col(c).cast("double").alias(c) for c in bounds)).where("south <= north AND west <= east").distinct()
+    span = lambda low, high, level: geo.cell_of(F.col(high), level) - geo.cell_of(F.col(low), level) + 1
+    fits = lambda level: span("west", "east", level) * span("south", "north", level) <= MOST_CELLS
+    levels = F.sequence(F.lit(geo.FINEST_LEVEL), F.lit(0))
+    sized = real.withColumn("level", F.get(F.filter(levels, fits), 0))
+    ends = {name: geo.cell_of(F.col(bound), F.col("level")) for name, bound in (("x0", "west"), ("x1", "east"), ("y0", "south"), ("y1", "north"))}
+    spread = sized.withColumns(ends).withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1")))
+    within = (F.col("cx") > F.col("x0")) & (F.col("cx") < F.col("x1")) & (F.col("cy") > F.col("y0")) & (F.col("cy") < F.col("y1"))
+    return spread.select("region", *bounds, "level", "cx", "cy", within.alias("within"))
+
+
+def _in_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """``rows`` (lat, lon) once for each level that ``cells`` has, with the cell there. The levels are a scalar subquery, 27 at most."""
+    levels = cells.agg(F.collect_set("level")).scalar()
+    leveled = rows.withColumn("level", F.explode(levels))
+    return leveled.withColumn("cx", geo.cell_of(F.col("lon"), F.col("level"))).withColumn("cy", geo.cell_of(F.col("lat"), F.col("level")))
+
+
+CELL = ["level", "cx", "cy"]
+
+
+def _in_bounds() -> Column:
+    return F.col("within") | (F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
+
+
+def region_table_membership(live: DataFrame, regions: DataFrame) -> DataFrame:
+    """One row per aircraft and region of a table that contains it; see ``covered``.
+
+    Aircraft and boxes meet by equal cells, then by the exact test, so any number of boxes may overlap. Spark splits a crowded cell.
+    """
+    cells = covered(regions)
+    flying = _in_cells(airborne_positioned(live), cells)
+    return flying.join(cells, CELL).where(_in_bounds()).select("region", *live.columns)
+
+
+def region_table_traffic(live: DataFrame, regions: DataFrame) -> DataFrame:
+    """Airborne aircraft in each region of a table, empty ones with zero, most first.
+
+    Cells within a box meet the number of aircraft in the cell, so only at the edge of a box is there a row per box and place; aircraft
+    at one place are one.
+    """
+    cells = covered(regions)
+    places = airborne_positioned(live).groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    placed = _in_cells(places, cells)
+    filled = placed.groupBy(*CELL).agg(F.sum("n").alias("n"))
+    within = cells.where("within").join(filled, CELL).groupBy("region").agg(F.sum("n").alias("n"))
+    edge = cells.where("NOT within").join(placed, CELL).where(_in_bounds()).groupBy("region").agg(F.sum("n").alias("n"))
+    counted = within.unionByName(edge).groupBy("region").agg(F.sum("n").alias("n"))
+    every = regions.select("region").distinct().join(counted, "region", "left")
+    return every.select("region", F.coalesce("n", F.lit(0)).alias("flight_count")).orderBy(F.desc("flight_count"), "region")
+
+
 def region_traffic(live: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Regions by traffic, most first; equal ones in list order."""
     counts = region_counts(live, K.MAP_REGIONS, by)

@@ -25,6 +25,7 @@ CALLSIGN_PREFIXES = [
 COLUMNS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint",
     "customer": "c_custkey bigint",
+    "orders": "o_orderkey bigint",
 }
 HALF_HOUR_US = 1_800_000_000
 HOUR_US = 3_600_000_000
@@ -155,6 +156,19 @@ class Inputs:
             "CAST((c_custkey * 15485863) % 1600000 AS DOUBLE) / 1e4D - 80D AS lat",
         )
 
+    @cached_property
+    def regions(self) -> DataFrame:
+        """Overlapping boxes of several sizes, one per order; some reach beyond the map, some are inside out or lack a bound."""
+        boxes = self.table("orders").selectExpr(
+            "o_orderkey AS region",
+            "CAST((o_orderkey * 7919) % 1800000 AS DOUBLE) / 1e4D - 90D AS south",
+            "CAST((o_orderkey * 104729) % 3600000 AS DOUBLE) / 1e4D - 180D AS west",
+            "CASE WHEN o_orderkey % 61 = 0 THEN 60D WHEN o_orderkey % 7 = 0 THEN 6D ELSE CAST(o_orderkey % 13 AS DOUBLE) / 4D END AS height",
+            "CASE WHEN o_orderkey % 67 = 0 THEN 150D WHEN o_orderkey % 89 = 0 THEN -1D ELSE CAST(o_orderkey % 17 AS DOUBLE) / 3D END AS width",
+        )
+        north = F.when(F.col("region") % 97 != 0, F.col("south") + F.col("height")).alias("north")
+        return boxes.select("region", "south", "west", north, (F.col("west") + F.col("width")).alias("east"))
+
     @cached_property
     def vectors(self) -> DataFrame:
         """Wire-format vectors, some of them malformed, as the lists of one-vector snapshots."""

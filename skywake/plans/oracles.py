@@ -95,6 +95,22 @@ SELECT c_custkey AS point_id,
   CAST((c_custkey*104729) % 3600000 AS DOUBLE) / 1e4 - 180e0 AS lon,
   CAST((c_custkey*15485863) % 1600000 AS DOUBLE) / 1e4 - 80e0 AS lat
 FROM customer""",
+    ),
+    "fx_regions": (
+        [],
+        """
+SELECT region, south, west, CASE WHEN region % 97 <> 0 THEN south + height END AS north, west + width AS east FROM (
+  SELECT o_orderkey AS region, CAST((o_orderkey * 7919) % 1800000 AS DOUBLE) / 1e4 - 90e0 AS south,
+    CAST((o_orderkey * 104729) % 3600000 AS DOUBLE) / 1e4 - 180e0 AS west,
+    CASE WHEN o_orderkey % 61 = 0 THEN 60e0 WHEN o_orderkey % 7 = 0 THEN 6e0 ELSE CAST(o_orderkey % 13 AS DOUBLE) / 4e0 END AS height,
+    CASE WHEN o_orderkey % 67 = 0 THEN 150e0 WHEN o_orderkey % 89 = 0 THEN -1e0 ELSE CAST(o_orderkey % 17 AS DOUBLE) / 3e0 END AS width
+  FROM orders) o""",
+    ),
+    "in_regions": (
+        ["flying", "fx_regions"],
+        """
+SELECT region, icao24 FROM flying f JOIN fx_regions r
+  ON f.lat >= r.south AND f.lat <= r.north AND f.lon >= r.west AND f.lon <= r.east""",
     ),
     "threshold": (
         ["fx_runs"],
@@ -590,6 +606,13 @@ FROM fx_live WHERE ingested_at >= {AS_OF} - INTERVAL 30 MINUTE""",
         "fx_live",
     ),
     "hourly_congestion": sql("SELECT hour, count FROM hours ORDER BY hs", "hours"),
+    "region_table_membership": sql("SELECT region, icao24 FROM in_regions", "in_regions"),
+    "region_table_traffic": sql(
+        """
+SELECT r.region, count(i.icao24) AS flight_count FROM fx_regions r LEFT JOIN in_regions i ON i.region = r.region
+GROUP BY 1 ORDER BY flight_count DESC, region""",
+        "in_regions",
+    ),
     "region_traffic": sql(
         f"SELECT region, flight_count FROM ({_region_counts('map_regions')}) c ORDER BY flight_count DESC, ord",
         "flying",

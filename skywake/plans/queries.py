@@ -341,6 +341,16 @@ def hourly_congestion(i: Inputs) -> DataFrame:
     return runs.hourly_congestion(i.runs, i.as_of)
 
 
+@query
+def region_table_membership(i: Inputs) -> DataFrame:
+    return regions.region_table_membership(i.stored_live, i.regions).select("region", "icao24")
+
+
+@query
+def region_table_traffic(i: Inputs) -> DataFrame:
+    return regions.region_table_traffic(i.stored_live, i.regions)
+
+
 @query
 def region_traffic(i: Inputs) -> DataFrame:
     return regions.region_traffic(i.live)
