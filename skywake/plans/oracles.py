@@ -401,6 +401,19 @@ SELECT icao24, CAST(rn AS INT) AS point, strftime(ingested_at, '%H:%M') AS time,
        WHEN baro_altitude IS NOT NULL AND baro_altitude <> 0 THEN floor(baro_altitude * 3.28084e0 + 0.5e0)
        ELSE 0 END AS BIGINT) AS alt
 FROM (SELECT *, row_number() OVER (PARTITION BY icao24 ORDER BY ingested_at, event_id) AS rn FROM fx_history) h
+WHERE rn <= 60""",
+        "fx_history",
+    ),
+    "altitude_profile_of": sql(
+        """
+SELECT icao24, CAST(rn AS INT) AS point, strftime(ingested_at, '%H:%M') AS time,
+  CAST(CASE WHEN geo_altitude IS NOT NULL AND geo_altitude <> 0 THEN floor(geo_altitude * 3.28084e0 + 0.5e0)
+       WHEN baro_altitude IS NOT NULL AND baro_altitude <> 0 THEN floor(baro_altitude * 3.28084e0 + 0.5e0)
+       ELSE 0 END AS BIGINT) AS alt
+FROM (
+  SELECT *, row_number() OVER (ORDER BY ingested_at, lon, lat, velocity NULLS FIRST) AS rn FROM fx_history
+  WHERE NOT on_ground AND icao24 = (
+    SELECT icao24 FROM fx_history WHERE NOT on_ground GROUP BY 1 ORDER BY count(*) DESC, icao24 LIMIT 1)) h
 WHERE rn <= 60""",
         "fx_history",
     ),
@@ -529,6 +542,9 @@ SELECT icao24, kind, {_MESSAGE} AS message FROM (
     "bbox_filter": sql(
         "SELECT * FROM fx_live WHERE lat >= 20 AND lat <= 60 AND lon >= -30 AND lon <= 60", "fx_live"
     ),
+    "bbox_by_place": sql(
+        "SELECT * FROM fx_live WHERE lat >= 20 AND lat <= 60 AND lon >= -30 AND lon <= 60", "fx_live"
+    ),
     # Joins and subqueries
     "last_success_threshold": sql("SELECT threshold FROM threshold", "threshold"),
     "region_membership": sql(
@@ -837,6 +853,9 @@ FROM wire_live""",
     ),
     "live_feed": sql(_feed("uneven_recent"), "uneven_recent"),
     "live_feed_by_runs": sql(_feed("uneven_unseen"), "uneven_unseen"),
+    "history_hourly_sketch": sql(
+        "SELECT DISTINCT make_timestamp((time // 3600) * 3600000000) AS hs, true AS within FROM wire WHERE NOT on_ground", "wire"
+    ),
     "history_hourly": sql(
         """SELECT make_timestamp((ts_us // 3600000000) * 3600000000) AS hs, count(DISTINCT icao24) AS aircraft
 FROM fx_history WHERE NOT on_ground GROUP BY 1""",

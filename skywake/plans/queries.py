@@ -11,10 +11,10 @@ from skywake import constants as K
 from skywake.functions import scalars as S
 from skywake.operators import activity, anomalies, ghosts, maintenance, nearest, positions, ranking, regions, runs, snapshots
 from skywake.plans.inputs import Inputs
-from skywake.schemas import LIVE_COLUMNS, STATE_COLUMNS
+from skywake.schemas import LIVE_COLUMNS, SKETCHES, STATE_COLUMNS
 from skywake.session import work_path
 from skywake.sources import snapshots as wire
-from skywake.sources.tables import Store
+from skywake.sources.tables import BatchLog, Store, in_view, read_history, write_by_place, write_history
 from skywake.streaming import ingest, signals
 
 SIGNAL_BUCKETS = 32
@@ -606,6 +606,39 @@ def live_feed_by_runs(i: Inputs) -> DataFrame:
     return ghosts.live_feed(i.stored_uneven_cycles, i.runs)
 
 
+@query
+def history_hourly_sketch(i: Inputs) -> DataFrame:
+    """For each hour, whether the sketches that several batches of the stream left, merged, are within the stated error of the exact count."""
+    path = work_path(i.spark, "history")
+    sketches = BatchLog(i.spark, work_path(i.spark, "sketches"), SKETCHES)
+    offsets = work_path(i.spark, "offsets")
+    ingest.start_history(i.spark, i.write_documents(), path, offsets, BATCH_FILES, keep=None, sketches=sketches).awaitTermination()
+    exact = anomalies.history_hourly(read_history(i.spark, path))
+    estimated = anomalies.merged_hourly(sketches.read()).withColumnRenamed("aircraft", "estimate")
+    near = F.abs(F.col("estimate") - F.col("aircraft")) <= F.col("aircraft") * anomalies.SKETCH_ERROR
+    return exact.join(estimated, "hs", "full_outer").select("hs", F.coalesce(near, F.lit(False)).alias("within"))
+
+
+@query
+def altitude_profile_of(i: Inputs) -> DataFrame:
+    """The altitude curve of the aircraft seen most, looked up in the stored log."""
+    path = work_path(i.spark, "history")
+    write_history(wire.accept_typed(i.states), 0, path)
+    seen = i.states.where("NOT on_ground AND lat IS NOT NULL AND lon IS NOT NULL").groupBy("icao24").count()
+    most = seen.orderBy(F.desc("count"), "icao24").first()["icao24"]
+    points = ["ingested_at", "lon", "lat", "velocity"]
+    return positions.altitude_profile(read_history(i.spark, path), points, most)
+
+
+@query
+def bbox_by_place(i: Inputs) -> DataFrame:
+    """The map view, read from the live table stored along the Z curve."""
+    path = work_path(i.spark, "places")
+    write_by_place(i.live, path)
+    stored = i.spark.read.parquet(path)
+    return in_view(stored, *VIEW)
+
+
 @query
 def history_hourly(i: Inputs) -> DataFrame:
     observed = i.history.withColumn("ingested_at", F.timestamp_micros("ts_us").cast("timestamp_ntz"))

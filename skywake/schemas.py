@@ -60,6 +60,12 @@ OBSERVED = T.StructType([
     T.StructField("reject_reason", T.StringType()),
 ])
 
+#: A sketch of the aircraft in the air in an hour.
+SKETCHES = T.StructType([
+    T.StructField("hs", T.TimestampNTZType()),
+    T.StructField("sketch", T.BinaryType()),
+])
+
 #: How many live rows of an ingest time have a property.
 COUNTS = T.StructType([
     T.StructField("view", T.StringType()),

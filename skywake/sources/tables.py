@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 from datetime import datetime, timedelta
-from functools import cached_property
+from functools import cached_property, reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from skywake import constants as K, schemas
-from skywake.operators import snapshots
+from skywake.functions import geo
+from skywake.operators import positions, snapshots
 from skywake.sources import files
 
 BUCKETS = 64
@@ -157,14 +158,45 @@ def merged_runs(runs: DataFrame) -> DataFrame:
     return merged.withColumn("error_msg", message).drop("ahead")
 
 
-def write_history(batch: DataFrame, batch_id: int, path: str) -> None:
+#: Row groups of stored logs and tables: small enough that a lookup skips most of a file.
+ROW_GROUP_BYTES = 16 << 20
+#: Addresses that a row group's Bloom filter is laid out for.
+ADDRESSES = 100_000
+
+
+def write_history(batch: DataFrame, batch_id: int, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Store the airborne rows of a micro-batch, in folders by hour and batch (an action).
 
     A batch replaces just its own folders, so that writing it again changes nothing. ``rebalance`` splits an
-    hour that holds much of the batch into several files.
+    hour that holds much of the batch into several files. Files are in the order of the address and have Bloom filters of it, so
+    that who asks for one aircraft reads the folders of its hours, and of them the row groups that can hold it.
+    """
+    rows = snapshots.history_rows(batch).withColumn("batch", F.lit(batch_id)).hint("rebalance", "ingest_hour")
+    options = {
+        "partitionOverwriteMode": "dynamic",
+        "parquet.block.size": row_group_bytes,
+        "parquet.bloom.filter.enabled#icao24": True,
+        "parquet.bloom.filter.expected.ndv#icao24": ADDRESSES,
+    }
+    ordered = rows.sortWithinPartitions("ingest_hour", "batch", "icao24", "ingested_at")
+    ordered.write.mode("overwrite").options(**options).partitionBy("ingest_hour", "batch").parquet(path)
+
+
+def write_by_place(rows: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
+    """Store rows with a position along the Z curve, neighbours in the same files and row groups (an action)."""
+    placed = rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("place", geo.z_order(F.col("lat"), F.col("lon")))
+    ordered = placed.repartitionByRange("place").sortWithinPartitions("place")
+    ordered.write.option("parquet.block.size", row_group_bytes).parquet(path)
+
+
+def in_view(stored: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
+    """``positions.bbox_filter`` over a table that ``write_by_place`` stored: it reads the row groups of the stretches that cover the box.
+
+    A box over the date line is two boxes, as there.
     """
-    rows = snapshots.history_rows(batch).withColumn("batch", F.lit(batch_id))
-    overwrite_parts(rows.hint("rebalance", "ingest_hour"), path, "ingest_hour", "batch")
+    stretches = [F.col("place").between(first, last) for first, last in geo.z_ranges(south, west, north, east)]
+    near = stored.where(reduce(lambda a, b: a | b, stretches, F.lit(False)))
+    return positions.bbox_filter(near, south, west, north, east).drop("place")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skywake import constants as K
 from skywake.functions import scalars as S
-from skywake.operators import maintenance
+from skywake.operators import anomalies, maintenance
 from skywake.sources.snapshots import parse_states, stream_state_snapshots, valid_states
-from skywake.sources.tables import BUCKETS, Store, drop_expired_hours, write_history
+from skywake.sources.tables import BUCKETS, BatchLog, Store, drop_expired_hours, write_history
 
 PRODUCTION_TRIGGER = {"processingTime": "180 seconds"}
 FUTURE = "future_time"
@@ -155,14 +155,21 @@ def start_history(
     multi_line: bool = False,
     trigger: dict | None = None,
     keep: timedelta | None = K.HISTORY_RETENTION,
+    sketches: BatchLog | None = None,
 ) -> StreamingQuery:
-    """Append the airborne rows to the history log, each batch once, and drop the hours past retention."""
+    """Append the airborne rows to the history log, each batch once, and drop the hours past retention.
+
+    With ``sketches`` each batch leaves a sketch of each hour it has rows of, which outlives the rows.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     vectors = stream_state_snapshots(spark, landing, multi_line, max_files)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         rows = accept(bounded(parse_states(batch)))
         write_history(rows, batch_id, path)
+        if sketches is not None:
+            log = BatchLog(batch.sparkSession, sketches.path, sketches.schema)
+            log.write(batch_id, anomalies.hourly_sketches(rows))
         as_of = rows.agg(F.max("ingested_at")).first()[0] if keep is not None else None
         if as_of is not None:
             drop_expired_hours(batch.sparkSession, path, as_of, keep)
