@@ -17,6 +17,7 @@ from skywake.session import work_path
 
 #: Rows of a batch that are Python objects at a time.
 SLICE = 256
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,12 +44,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage, and lost executors cost no recomputation.
 
-    The table stands in for what made it. Shuffle files and broadcasts go when the driver collects the plan they belong to, which
-    it is asked to do here: by itself it would wait until its memory is full, and the shared disks with it.
+    The table stands in for what made it: the shuffle files go when it is written, and the driver is asked to collect the plans
+    and broadcasts they belong to, which by itself it would only do when its memory is full.
     """
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

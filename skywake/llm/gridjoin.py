@@ -64,8 +64,8 @@ def keyed(rows: DataFrame) -> DataFrame:
     """vec_id, label and embedding with `vkey`, the same for equal vectors of a label, null for what links with nothing."""
     x = F.col("embedding").cast("array<double>")
     fit = F.col("label").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
-    # + 0.0 makes one zero of the two
-    name = F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.transform(x, lambda c: (c + F.lit(0.0)).cast("string"))), 256)
+    # + 0.0 makes one zero of the two; the label's length tells where it ends
+    name = F.sha2(F.concat_ws("|", F.length(F.col("label").cast("string")).cast("string"), F.col("label").cast("string"), F.transform(x, lambda c: (c + F.lit(0.0)).cast("string"))), 256)
     return rows.select("vec_id", F.col("label").cast("string").alias("label"), x.alias("embedding"), F.when(fit, name).alias("vkey"))
 
 

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from skywake.llm.common import batch_of, slices, table, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Batches that documents are inserted in, and parts of which `op7_line_dedup` delivers one again.
+BATCHES, DELIVERIES = 2, 16
 #: Keys a shard's filter holds when the number of shards is chosen; it grows once there are twice as many.
 SHARD_KEYS = 20_000
 STRIP = " \t\n\x0b\x0c\r"
@@ -223,6 +225,14 @@ class LineIndex:
         filters = written(self._filters(counts, shards, None, fresh), "line-filters") if shards else self.filters
         return replace(self, refs=refs, counts=counts, filters=filters, shards=shards)
 
+    @classmethod
+    def built(cls, docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> LineIndex:
+        """An index of `docs`, inserted in batches by a hash of the id; each asks the filters of those before."""
+        index = cls.empty(docs.sparkSession, min_chars)
+        for number in range(batches):
+            index = index.insert(docs.where(_batch(batches) == number))
+        return index
+
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the references of the documents in `ids` (doc_id)."""
         out = ids.select("doc_id").distinct()
@@ -274,14 +284,22 @@ class LineIndex:
         return both.select("d.*", "x.drops").mapInArrow(run, schema)
 
 
+def _batch(batches: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+
+
 def _counted(refs: DataFrame) -> DataFrame:
     return refs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents after the lines that five or more share are dropped."""
+    """All documents after the lines that five or more share are dropped.
+
+    The documents are inserted in batches; then one batch is withdrawn and inserted again, as a source that is delivered anew.
+    """
     docs = table(spark, sf_dir, "documents")
-    cleaned = LineIndex.empty(spark).insert(docs).clean(docs)
+    index, again = LineIndex.built(docs), docs.where(_batch(DELIVERIES) == 0)
+    cleaned = index.delete(again.select("doc_id")).insert(again).clean(docs)
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -204,16 +204,29 @@ def test_the_best_are_found_exactly(llm, monkeypatch, scale):
     monkeypatch.setattr(topk, "QUERIES", 8)
     rows = [(k, None if x is None else [None if v is None else v * scale for v in x], y) for k, x, y in _vectors(np.random.default_rng(6))]
     frame = llm.createDataFrame([(k, x, y, "c") for k, x, y in rows], "vec_id long, embedding array<double>, label int, rank string")
-    by_id = {}
-    for k, x, _ in rows:
-        if k is not None and _usable(x) or x == []:
-            v = [int(np.floor(256 * float(c))) for c in x]
-            by_id[k] = min(by_id.get(k, v), v)
+    held = [(k, [int(np.floor(256 * float(c))) for c in x]) for k, x, _ in rows if k is not None and (_usable(x) or x == [])]
     expected = []
-    for q in by_id:
+    for n, (q, asked) in enumerate(held):
         if q % 50 == 0 or q == 401:
-            scores = sorted((-sum(a * b for a, b in zip(by_id[q], v)), k) for k, v in by_id.items() if k != q and len(v) == len(by_id[q]))
+            scores = sorted((-sum(a * b for a, b in zip(asked, v)), k) for m, (k, v) in enumerate(held) if m != n and len(v) == len(asked))
             expected += [(q, rank, k, -s) for rank, (s, k) in enumerate(scores[:5], 1)]
     found = topk.top_k(frame, (F.col("vec_id") % 50 == 0) | (F.col("vec_id") == 401), bins=64 if scale == 1 else 1024)
     assert sorted(map(tuple, found.collect())) == sorted(expected)
     assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_rows_that_share_an_id_are_candidates_each_and_huge_vectors_take_no_part(llm):
+    rows = [(50, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (50, [1.5, 0.0]), (7, [1e12, 0.0]), (8, [1e300, 1.0]), (9, [-4e6, 4e6]), (None, [9.0, 9.0])]
+    frame = llm.createDataFrame([(k, x, 1) for k, x in rows], "vec_id long, embedding array<double>, row int")
+    found = topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()
+    x = lambda v: int(256 * v)
+    first = [(50, 1, 1, x(1) * x(3)), (50, 2, 1, x(1) * x(2)), (50, 3, 50, x(1) * x(1.5)), (50, 4, 9, x(1) * x(-4e6))]
+    second = [(50, 1, 1, x(1.5) * x(3)), (50, 2, 1, x(1.5) * x(2)), (50, 3, 50, x(1.5)  * x(1)), (50, 4, 9, x(1.5) * x(-4e6))]
+    assert sorted(map(tuple, found)) == sorted(first + second)
+
+
+def test_a_label_does_not_run_into_the_vector(llm):
+    rows = [(1, [2.0], "a|1.0"), (2, [1.0, 2.0], "a"), (3, [1.0, 2.0], "a"), (4, [2.0], "a|1.0"), (5, [2.0], None)]
+    frame = llm.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in gridjoin.near_duplicates(frame).collect()}
+    assert found == {1: (1, 1), 4: (1, 1), 2: (1, 2), 3: (1, 2), 5: (0, 5)}

@@ -151,6 +151,27 @@ def test_the_line_index_is_reversible(llm, documents):
     assert all(seen[k] for k in held) and not all(seen[k] for k in gone)
 
 
+def test_batches_and_deliveries_change_nothing(documents):
+    rng = random.Random(21)
+    shared = [f"this line is shared by many documents, number {k}" for k in range(6)]
+    rows = [(k, "\n".join(rng.sample(shared, rng.randint(0, 4)) + [f"line of document {k} alone, which is long enough"])) for k in range(60)]
+    rows += [(None, shared[0]), (None, shared[1]), (3, shared[2]), (61, None), (62, ""), (63, "\n\n")]
+    docs = documents(rows)
+    answers = lambda index: sorted((tuple(r) for r in index.clean(docs).collect()), key=str)
+    whole = lines.LineIndex.empty(docs.sparkSession).insert(docs)
+    for batches in (2, 5):
+        index = lines.LineIndex.built(docs, batches)
+        assert answers(index) == answers(whole)
+        for part in range(3):
+            again = docs.where(lines._batch(3) == part)
+            index = index.delete(again.select("doc_id")).insert(again)
+        assert answers(index) == answers(whole)
+        assert sorted(map(tuple, index.counts.collect())) == sorted(map(tuple, whole.counts.collect()))
+        asked = index.counts.select("key").unionByName(index.counts.selectExpr("unhex('00ff') AS key").limit(1))
+        assert sum(r.seen for r in index._seen(asked).collect()) >= index.counts.count()
+    assert lines.LineIndex.built(documents([])).clean(documents([])).count() == 0
+
+
 def test_a_cuckoo_filter_holds_what_it_was_given():
     held = lines.CuckooFilter(16)
     keys = [hashlib.md5(str(k).encode()).digest() for k in range(90)]  # more than fit
