@@ -32,7 +32,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that five or more share, but for the last."""
-    return _documents(lines.LineIndex.empty(spark).insert(docs).clean(docs, keep=ALONG))
+    return _documents(lines.LineIndex.built(docs).clean(docs, keep=ALONG))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
