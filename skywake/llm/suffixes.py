@@ -8,8 +8,11 @@ the gram alone, so equal windows are always in one group. Neighbouring windows o
 2. What is left, different segments of one minimizer, is dealt to shards of about ``SHARD`` bytes. A shard is a collection of
    short documents, and its Burrows-Wheeler transform is built column by column: each round inserts one more symbol of every
    segment, from the right. The transform and the common prefixes of neighbours lie in files that a round reads and writes
-   in sequence. In the end, windows with a common prefix of ``length`` are neighbours, and all but the earliest are removed.
-3. A minimizer whose different segments exceed ``SPLIT`` bytes is first dealt anew by further minimizers within its segments.
+   in sequence, a column at a time. In the end, windows with a common prefix of ``length`` are neighbours, and all but the earliest are removed.
+3. A minimizer whose different segments exceed ``SPLIT`` bytes is first dealt anew, by minimizers of its segments that are taken among
+   longer grams, the rarest first: how often grams occur in all crowded segments is counted in a table of fixed size. A passage shorter
+   than a window that many texts share is passed over that way, for what stands beside it. Grams grow up to a whole window,
+   whose group has one segment, so no group above ``SPLIT`` is left, and a shard fits a task's memory: it has whole groups.
 
 Null texts are empty; texts shorter than ``length`` keep all. Rows that share id and text are one document and give the same
 result; rows that share the id alone are documents in the order of a hash of their text. A null id comes first.
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from skywake.llm.common import forget, slices, table, written
 
 LENGTH, GRAM = 100, 40
-SHARD, SPLIT, LEVELS = 1 << 20, 1 << 22, 4
+SHARD, SPLIT = 1 << 20, 1 << 22
+#: By how much grams grow from one level to the next, and the size of the table that counts them.
+LONGER, COUNTERS = 20, 1 << 18
 #: Bytes of a text that are looked at together; positions within fit 20 bits.
 PART = 1 << 19
 END = 0xFF  # no byte of UTF-8
@@ -66,10 +71,11 @@ def grams(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return done ^ (done >> np.uint64(31))
 
 
-def minimizer_runs(data: bytes, length: int = LENGTH, gram: int = GRAM, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def minimizer_runs(data: bytes, length: int = LENGTH, gram: int = GRAM, seed: int = 0, ranks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Minimizers, starts and numbers of windows of the segments of `data`, part by part.
 
-    Two equal windows never share a segment: a segment's windows see one gram at different places.
+    Two equal windows never share a segment: a segment's windows see one gram at different places. With `ranks` (0 to 63, by the
+    lowest bits of a gram's hash) a gram of lower rank comes first.
     """
     gram = min(gram, length)
     wide = length - gram + 1
@@ -78,7 +84,8 @@ def minimizer_runs(data: bytes, length: int = LENGTH, gram: int = GRAM, seed: in
         part = np.frombuffer(data, np.uint8, min(len(data) - begin, PART + length - 1), begin)
         hashes = grams(part, gram, seed)
         # the smallest gram of each window, the leftmost among equals
-        keys = (hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64)
+        order = hashes if ranks is None else (ranks[hashes & np.uint64(len(ranks) - 1)] << np.uint64(58)) | (hashes >> np.uint64(6))
+        keys = (order >> low << low) | np.arange(len(hashes), dtype=np.uint64)
         full = np.concatenate([keys, np.full(-len(keys) % wide, ~np.uint64(0))]).reshape(-1, wide)
         ahead = np.minimum.accumulate(full, axis=1).ravel()
         behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -255,14 +262,33 @@ def _collapsed(found: DataFrame, length: int, *also: str) -> tuple[DataFrame, Da
     return named.where(earliest).join(several, "mini", "left_semi").select("mini", "digest", "did", "tag", "start", "n", *also), spans
 
 
-def _deeper(segments: DataFrame, length: int, seed: int) -> DataFrame:
+def _ranks(segments: DataFrame, gram: int, seed: int) -> np.ndarray:
+    """For each counter the binary magnitude of how many grams of the bodies of `segments` fall on it; `COUNTERS` numbers in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for part in slices(batches):
+            for body in part["body"]:
+                n += np.bincount((grams(np.frombuffer(body, np.uint8), gram, seed) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(some), pa.array(n[some])], names=["counter", "n"])
+
+    counted = segments.select("body").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    ranks = np.zeros(COUNTERS, np.uint64)
+    ranks[counted["counter"].to_numpy()] = np.log2(counted["n"].to_numpy() + 1.0).astype(np.uint64)
+    return ranks
+
+
+def _deeper(segments: DataFrame, length: int, level: int) -> DataFrame:
     """The segments of `segments` by further minimizers, each within its group, that occur more than once."""
+    gram = min(length, GRAM + LONGER * level)
+    shared = segments.sparkSession.sparkContext.broadcast(_ranks(segments, gram, level))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out = []
             for mini, did, tag, start, body in zip(part["mini"], part["did"], part["tag"], part["start"], part["body"], strict=True):
-                for minis, starts, sizes in minimizer_runs(body, length, seed=seed):
+                for minis, starts, sizes in minimizer_runs(body, length, gram, level, shared.value):
                     for m, i, n in zip(minis.tolist(), starts.tolist(), sizes.tolist(), strict=True):
                         piece = body[i : i + n + length - 1]
                         group = xxhash.xxh3_64_intdigest(m.to_bytes(8, "little"), mini & (1 << 64) - 1)
@@ -277,6 +303,30 @@ def _deeper(segments: DataFrame, length: int, seed: int) -> DataFrame:
     return found.join(twice, "mini", "left_semi")
 
 
+def _levels(segments: DataFrame, length: int, split: int) -> Iterator[tuple[DataFrame, int, list[DataFrame]]]:
+    """`segments` in groups of at most `split` bytes, level by level: the groups that are small enough, their bytes, and spans found on the way.
+
+    Tables that no level needs any more are deleted when the next one is asked for.
+    """
+    level, spans = 0, []
+    while True:
+        sizes = segments.groupBy("mini").agg(F.sum(F.octet_length("body")).alias("size"))
+        total, crowded = sizes.agg(F.sum("size"), F.sum(F.when(F.col("size") > split, F.col("size")))).first()
+        large = sizes.where(F.col("size") > split).select("mini")
+        # a group by grams as long as a window has one segment; two are there only if hashes agree
+        last = not crowded or GRAM + LONGER * level >= length
+        yield segments if last else segments.join(large, "mini", "left_anti"), (total or 0) - (0 if last else crowded), spans
+        if last:
+            forget(segments)
+            return
+        level += 1
+        pieces = written(_deeper(segments.join(large, "mini", "left_semi"), length, level), "pieces")
+        different, more = _collapsed(pieces, length, "body")
+        spans, before = [written(more, "spans")], segments
+        segments = written(different, "segments")
+        forget(before, pieces)
+
+
 def _bodies(docs: DataFrame, segments: DataFrame, length: int) -> DataFrame:
     """`segments` with their bytes, cut from `docs`."""
 
@@ -301,7 +351,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, split: in
     found = written(_occurrences(docs, length).join(twice, "mini", "left_semi"), "occurrences")
     different, spans = _collapsed(found, length)
     segments = written(_bodies(docs, different, length), "segments")
-    spans, done = [written(spans, "spans")], [segments]
+    spans = [written(spans, "spans")]
     forget(found)
 
     def run(group: pa.Table) -> pa.Table:
@@ -309,23 +359,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, split: in
         out = repeated(list(set(zip(*columns, strict=True))), length)  # documents that repeat bring a segment again
         return pa.table([pa.array([o[i] for o in out], f.type) for i, f in enumerate(SPANS)], schema=SPANS)
 
-    for seed in range(1, LEVELS + 1):
-        sizes = segments.groupBy("mini").agg(F.sum(F.octet_length("body")).alias("size"))
-        total, most = sizes.agg(F.sum("size"), F.max("size")).first()
-        large = sizes.where(F.col("size") > split).select("mini")
-        crowded = (most or 0) > split and seed < LEVELS
-        here = segments.join(large, "mini", "left_anti") if crowded else segments
-        shards = max(1, -(-(total or 0) // shard))
-        dealt = here.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards)))
-        spans.append(written(dealt.groupBy("shard").applyInArrow(run, "did long, tag long, start long, stop long"), "spans"))
-        if not crowded:
-            break
-        pieces = written(_deeper(segments.join(large, "mini", "left_semi"), length, seed), "pieces")
-        different, more = _collapsed(pieces, length, "body")
-        spans.append(written(more, "spans"))
-        segments = written(different, "segments")
-        done += [pieces, segments]
-    forget(*done)
+    for here, size, more in _levels(segments, length, split):
+        dealt = here.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(max(1, -(-size // shard)))))
+        spans += [*more, written(dealt.groupBy("shard").applyInArrow(run, "did long, tag long, start long, stop long"), "spans")]
     return reduce(DataFrame.unionByName, spans)
 
 

@@ -134,6 +134,30 @@ def test_repeated_strings_are_removed(documents, split):
     assert suffixes.without_repeats(documents([])).count() == 0
 
 
+def test_a_passage_in_many_texts_is_dealt_to_small_groups(documents):
+    rng = random.Random(31)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = some(90)
+    rows = [(k, some(rng.randint(60, 150)) + passage + some(rng.randint(60, 150))) for k in range(700)]
+    docs = documents(rows).selectExpr("doc_id AS did", "xxhash64(text) AS tag", "text")
+    split, length = 8_000, suffixes.LENGTH
+    found = suffixes._occurrences(docs, length)
+    different, _ = suffixes._collapsed(found, length)
+    segments = suffixes.written(suffixes._bodies(docs, different, length), "segments")
+    sizes = lambda frame: frame.groupBy("mini").agg(F.sum(F.octet_length("body")).alias("n")).agg(F.max("n")).first()[0] or 0
+    assert sizes(segments) > 5 * split
+    levels = [sizes(here) for here, _, _ in suffixes._levels(segments, length, split)]
+    assert len(levels) > 1 and max(levels) <= split
+    left = suffixes.without_repeats(documents(rows), split=split).collect()
+    assert {r.n_removed for r in left} == {0}  # no string of 100 bytes repeats
+    longer = [some(n) for n in (99, 100, 130)]
+    rows = [(k, some(rng.randint(0, 40)) + passage + some(rng.randint(0, 30)) + rng.choice([passage, some(3), *longer]) + some(rng.randint(0, 40))) for k in range(90)]
+    expected = _without(rows, length)
+    held = suffixes.without_repeats(documents(rows), split=2_000).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in held} == {k: tuple(expected[k, t.encode()]) for k, t in rows}
+    assert sum(r.n_removed > 0 for r in held) > 10
+
+
 def test_the_collection_transform_is_that_of_sorted_suffixes():
     rng = random.Random(3)
     for _ in range(30):
