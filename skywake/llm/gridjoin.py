@@ -242,3 +242,21 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, block: int =
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors with the links to others of their label."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE r AS (
+  SELECT row_number() OVER () AS n, vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+      AND len(list_filter(embedding, lambda c: c <> 0)) > 0 AS fit
+  FROM embeddings),
+v AS (SELECT n, label, x, sqrt(list_dot_product(x, x)) AS size FROM r WHERE fit),
+p AS (
+  SELECT a.n AS x, b.n AS y FROM v a JOIN v b ON a.label = b.label AND a.n <> b.n AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / a.size / b.size >= 0.93),
+reached AS (SELECT n, n AS m FROM r UNION SELECT o.n, p.y FROM reached o JOIN p ON p.x = o.m),
+c AS (SELECT o.n, min(r.vec_id) AS component_id FROM reached o JOIN r ON r.n = o.m GROUP BY o.n),
+k AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM r JOIN c USING (n) LEFT JOIN k ON k.x = r.n
+"""

@@ -23,5 +23,6 @@ QUERIES = {
 #: The others have no form in SQL that ends on whole tables, or none at all; tests/llm checks them against brute force.
 ORACLES: dict[str, str] = {
     "op1_top_k": topk.OP1_SQL,
+    "op5_embedding_dedup": gridjoin.OP5_SQL,
     "op7_line_dedup": lines.OP7_SQL,
 }
