@@ -8,11 +8,12 @@ from the last turn backwards, comes first in `options`, and of the last states t
 The step that a turn takes is a small matrix of costs, and matrices multiply (minimum for sum, sum for product), so a long
 conversation is cut into runs of ``run`` turns: each run's matrix is made in a task of its own, a pass over the run matrices
 gives each run its entry costs and exit state, and each run then finds its own path. No task holds more than a run of turns
-or a run's worth of matrices; many runs are multiplied level by level.
+or a run's worth of matrices; many runs are multiplied level by level. All of this knows roles and places alone: texts are stored once, with
+their place, and join the turns they belong to in the end, so no row holds more than one of them.
 
 Result: a row per turn, and per turn inserted, in rendered order; the ``rendered`` pieces of a conversation, one behind the other,
 are its text. Conversations without turns have no row. A null conv_id is a conversation. Turns are ordered by ``turn``, null first,
-then role and text; rows that repeat are turns of their own. Null roles are none of the three; null texts are empty. Roles
+then role and a hash of the text; rows that repeat are turns of their own. Null roles are none of the three; null texts are empty. Roles
 are compared without outer blanks and case.
 """
 
@@ -36,8 +37,8 @@ RUN, FAN = 4_096, 512
 FAR = 1 << 40
 HEAD, JOINT, TAIL = "<|{role}|>\n", "\n\n", "<|end|>\n"
 
-REPAIRED = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("action", pa.string()), ("cost", pa.int32()),
-                      ("text", pa.string()), ("rendered", pa.string())])
+REPAIRED = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("place", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("action", pa.string()),
+                      ("cost", pa.int32()), ("lead", pa.string()), ("tail", pa.string())])
 
 
 @cache
@@ -120,10 +121,10 @@ def _numbered(turns: DataFrame, run: int) -> DataFrame:
 
     One range-partitioned sort of all turns; a conversation that spans partitions continues behind the counts of those before.
     """
-    order = ["conv_id", "turn", "role", "text", "tie"]
+    order = ["conv_id", "turn", "role", "mark", "tie"]
     # equal turns are interchangeable; the tie only deals them out over partitions
-    spread = turns.withColumn("tie", F.monotonically_increasing_id())
-    sorted_ = spread.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    spread = turns.withColumn("mark", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id())
+    sorted_ = spread.repartitionByRange(*order).sortWithinPartitions(*order).drop("mark", "tie")
     held = written(sorted_.withColumn("part", F.spark_partition_id()).withColumn("spot", F.monotonically_increasing_id()), "sorted-turns")
     parts = held.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("spot").alias("first"))
     before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("n")  # a row per partition
@@ -210,7 +211,7 @@ def repair(turns: DataFrame, run: int = RUN) -> DataFrame:
     """
     chosen = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _role().alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     placed = _numbered(chosen, run)
-    turn = F.struct("place", "turn", F.coalesce("role", F.lit("")).alias("role"), "text")
+    turn = F.struct("place", "turn", F.coalesce("role", F.lit("")).alias("role"))
     runs = written(placed.groupBy("conv_id", "run").agg(F.array_sort(F.collect_list(turn)).alias("held")), "turn-runs")
     roles = runs.select("conv_id", "run", F.col("held.role").alias("roles"))
 
@@ -249,33 +250,38 @@ def repair(turns: DataFrame, run: int = RUN) -> DataFrame:
             for place in range(batch.num_rows):
                 yield pa.RecordBatch.from_pylist(rendered(*(batch.column(c)[place].as_py() for c in ("conv_id", "held", "entry", "exit", "final"))), REPAIRED)
 
-    schema = "conv_id long, seq long, turn long, role string, action string, cost int, text string, rendered string"
-    return _with(_with(runs, entries, "entry"), exits, "exit", "final").select("conv_id", "held", "entry", "exit", "final").mapInArrow(render, schema)
+    schema = "conv_id long, seq long, place long, turn long, role string, action string, cost int, lead string, tail string"
+    repaired = _with(_with(runs, entries, "entry"), exits, "exit", "final").select("conv_id", "held", "entry", "exit", "final").mapInArrow(render, schema)
+    texts = placed.select(F.col("conv_id").alias("of"), F.col("place").alias("spot"), "text")
+    both = repaired.join(texts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("place") == F.col("spot")), "left")
+    text = F.coalesce("text", F.lit(""))  # an inserted turn has none
+    return both.select("conv_id", "seq", "turn", "role", "action", "cost", text.alias("text"), F.concat("lead", text, "tail").alias("rendered"))
 
 
 def rendered(conv_id: int | None, held: list[dict], entry: list[int], state: int, final: bool) -> list[dict]:
-    """The rows of one run of turns that is entered at the costs `entry` and left in `state`."""
+    """The rows of one run of turns that is entered at the costs `entry` and left in `state`, with what stands before and behind their texts."""
     roles = [h["role"] for h in held]
     _, taken = path(roles, walk(roles, np.array(entry, np.int64)), state)
     out = []
 
-    def add(seq: int, turn: int | None, role: int, action: str, cost: int, text: str, lead: str) -> None:
-        out.append({"conv_id": conv_id, "seq": seq, "turn": turn, "role": ROLES[role - 1], "action": action, "cost": cost, "text": text, "rendered": lead + text})
+    def add(seq: int, turn: dict | None, role: int, action: str, cost: int, lead: str) -> None:
+        place, number = (turn["place"], turn["turn"]) if turn else (-1 - seq, None)  # no turn's, and spread like those of turns
+        out.append({"conv_id": conv_id, "seq": seq, "place": place, "turn": number, "role": ROLES[role - 1], "action": action, "cost": cost, "lead": lead, "tail": ""})
 
     def opened(role: int, follows: bool) -> str:
         return (TAIL if follows else "") + HEAD.format(role=ROLES[role - 1])
 
     for h, (before, after, cost, inserted, merged) in zip(held, taken, strict=True):
         for number, role in enumerate(inserted):
-            add(h["place"] * 4 + number, None, role, "insert", INSERT, "", opened(role, before != START or number > 0))
+            add(h["place"] * 4 + number, None, role, "insert", INSERT, opened(role, before != START or number > 0))
         same = h["role"] == ROLES[after - 1]
         action = ("merge" if same else "relabel and merge") if merged else "keep" if same else "relabel"
         lead = JOINT if merged else opened(after, before != START or bool(inserted))
-        add(h["place"] * 4 + 2, h["turn"], after, action, cost - INSERT * len(inserted), h["text"], lead)
+        add(h["place"] * 4 + 2, h, after, action, cost - INSERT * len(inserted), lead)
     if final:
         for number, role in enumerate(closing(state)[1]):
-            add((held[-1]["place"] + 1) * 4 + number, None, role, "insert", INSERT, "", opened(role, True))
-        out[-1]["rendered"] += TAIL
+            add((held[-1]["place"] + 1) * 4 + number, None, role, "insert", INSERT, opened(role, True))
+        out[-1]["tail"] = TAIL
     return out
 
 

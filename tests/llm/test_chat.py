@@ -62,6 +62,15 @@ def test_repairs_are_legal_and_cheapest(llm):
     assert chat.repair(frame.limit(0)).count() == 0
 
 
+def test_very_long_texts_stay_with_their_turns(llm):
+    texts = [chr(97 + k) * 1_500_000 for k in range(6)]
+    rows = [(1, k, ["user", "user", "assistant", "x", "system", "user"][k], texts[k]) for k in range(6)]
+    frame = llm.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    held = chat.repair(frame, run=2).collect()
+    _check(rows, held)
+    assert {r.turn: r.text for r in held if r.turn is not None} == dict(enumerate(texts))
+
+
 def test_runs_give_what_whole_conversations_give(llm, monkeypatch):
     rng = random.Random(2)
     rows = [(conv, k, rng.choice(["system", "user", "assistant", "x"]), f"t{k}") for conv, n in ((1, 150), (2, 3), (3, 40), (None, 30)) for k in range(n)]
