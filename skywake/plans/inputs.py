@@ -9,7 +9,7 @@ from __future__ import annotations
 from datetime import timedelta
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from skywake import constants as K
 from skywake.functions import scalars as S
@@ -181,15 +181,8 @@ class Inputs:
         The latest vector per aircraft and 180-second cycle enters the snapshot of the cycle's end. A document
         takes the vectors of a range of event ids, so none exceeds ``DOCUMENT_VECTORS``.
         """
-        step = int(K.CYCLE_INTERVAL.total_seconds()) * 1_000_000
-        timed = (
-            self.states.withColumn("now_us", _micros(self.as_of))
-            .withColumn("age_us", F.expr(f"(now_us - ts_us) div {DOCUMENT_COMPRESSION}"))
-            .withColumn("time", F.expr(f"(now_us - age_us div {step} * {step}) div 1000000"))
-        )
-        latest = snapshots.latest_by_key(timed, ["time", "icao24"], self.newest)
         documents = (
-            derive_vectors(latest, "time")
+            derive_vectors(self._latest_by_cycle(), "time")
             .groupBy("time", F.expr(f"event_id div {DOCUMENT_VECTORS}"))
             .agg(F.collect_list("vec").alias("vectors"))
             .select(F.to_json(F.struct("time", F.col("vectors").alias("states")), {"ignoreNullFields": "false"}).alias("value"))
@@ -200,6 +193,29 @@ class Inputs:
         documents.write.text(path)
         return path
 
+    def _latest_by_cycle(self) -> DataFrame:
+        """The latest vector per aircraft and 180-second cycle, with the cycle's end as ``time``."""
+        step = int(K.CYCLE_INTERVAL.total_seconds()) * 1_000_000
+        timed = (
+            self.states.withColumn("now_us", _micros(self.as_of))
+            .withColumn("age_us", F.expr(f"(now_us - ts_us) div {DOCUMENT_COMPRESSION}"))
+            .withColumn("time", F.expr(f"(now_us - age_us div {step} * {step}) div 1000000"))
+        )
+        return snapshots.latest_by_key(timed, ["time", "icao24"], self.newest)
+
+    def write_large_documents(self) -> str:
+        """Write the same vectors as one document per cycle, a file of many lines each, and return the folder (an action)."""
+        vectors = derive_vectors(self._latest_by_cycle(), "time").withColumn("first", F.row_number().over(W.partitionBy("time").orderBy("event_id")) == 1)
+        listed = F.regexp_replace(F.to_json("vec", {"ignoreNullFields": "false"}), '"(true|false)"', "$1")
+        lines = vectors.select("time", F.col("event_id").alias("place"), F.concat(F.when(F.col("first"), "  ").otherwise("  ,"), listed).alias("value"))
+        times = lines.select("time").distinct()
+        heads = times.select("time", F.lit(-1).cast("bigint").alias("place"), F.format_string('{"time": %d, "states": [', "time").alias("value"))
+        tails = times.select("time", F.lit(2**62).alias("place"), F.lit("]}").alias("value"))
+        path = work_path(self.spark, "documents")
+        whole = lines.unionByName(heads).unionByName(tails).withColumn("cycle", F.col("time"))
+        whole.repartition("cycle").sortWithinPartitions("cycle", "place").select("value", "cycle").write.partitionBy("cycle").text(path)
+        return path
+
     def write_closing_document(self, path: str, after: timedelta) -> None:
         """Add a snapshot without vectors ``after`` the reference time, as a feed that goes on would (an action)."""
         time = (F.unix_seconds(self.as_of.cast("timestamp")) + int(after.total_seconds())).alias("time")

@@ -385,6 +385,7 @@ _MESSAGE = """CASE kind WHEN 'ghost' THEN @who || ' transponder signal lost'
 ORACLES: dict[str, str] = {
     # Sources and scans
     "scan_state_snapshots": sql(f"SELECT time, {STATE} FROM wire", "wire"),
+    "scan_large_documents": sql(f"SELECT time, {STATE} FROM wire", "wire"),
     "scan_live_positions": sql(f"SELECT {LIVE} FROM fx_live WHERE lat IS NOT NULL AND lon IS NOT NULL", "fx_live"),
     "scan_recent_ghosts": sql("SELECT * FROM recent", "recent"),
     "scan_anomaly_window": sql("SELECT * FROM anomaly_window ORDER BY hour_utc", "anomaly_window"),

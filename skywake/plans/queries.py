@@ -13,7 +13,7 @@ from skywake.operators import activity, anomalies, ghosts, maintenance, nearest,
 from skywake.plans.inputs import Inputs
 from skywake.schemas import LIVE_COLUMNS, SKETCHES, STATE_COLUMNS
 from skywake.session import work_path
-from skywake.sources import snapshots as wire
+from skywake.sources import large, snapshots as wire
 from skywake.sources.tables import BatchLog, Store, in_view, read_history, write_by_place, write_history
 from skywake.streaming import ingest, signals
 
@@ -53,6 +53,12 @@ def scan_state_snapshots(i: Inputs) -> DataFrame:
     return wire.valid_states(wire.parse_states(scanned)).select("time", *STATE_COLUMNS)
 
 
+@query
+def scan_large_documents(i: Inputs) -> DataFrame:
+    scanned = large.scan_large_documents(i.spark, i.write_large_documents())
+    return wire.valid_states(wire.parse_states(scanned)).select("time", *STATE_COLUMNS)
+
+
 @query
 def scan_live_positions(i: Inputs) -> DataFrame:
     return positions.scan_live_positions(i.live)
