@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from skywake.llm.common import forget, slices, table, written
 
 LENGTH, GRAM = 100, 40
-SHARD, SPLIT = 1 << 20, 1 << 22
+SHARD, SPLIT = 1 << 19, 1 << 22
 #: By how much grams grow from one level to the next, and the size of the table that counts them.
 LONGER, COUNTERS = 20, 1 << 18
 #: Bytes of a text that are looked at together; positions within fit 20 bits.
