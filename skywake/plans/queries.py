@@ -17,7 +17,8 @@ from skywake.sources import large, snapshots as wire
 from skywake.sources.tables import BatchLog, Store, in_view, read_history, write_by_place, write_history
 from skywake.streaming import ingest, signals
 
-SIGNAL_BUCKETS = 32
+#: Buckets of the live table and of the keyed state, for tables of test size.
+BUCKETS = 16
 VIEW = (20.0, -30.0, 60.0, 60.0)  # south, west, north, east
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -539,19 +540,19 @@ BATCH_FILES = 2
 
 def _ingested(i: Inputs, max_files: int | None = None) -> Store:
     """Run the ingestion stream over snapshot documents of the whole event table."""
-    store = Store(i.spark, work_path(i.spark, "state"))
-    stream = ingest.start_ingest(i.spark, i.write_documents(), store.root, work_path(i.spark, "offsets"), max_files)
+    store = Store(i.spark, work_path(i.spark, "state"), BUCKETS)
+    stream = ingest.start_ingest(i.spark, i.write_documents(), store.root, work_path(i.spark, "offsets"), max_files, buckets=BUCKETS)
     stream.awaitTermination()
     return store
 
 
 def _signalled(i: Inputs) -> Store:
     """Run both streams, ingestion and what follows it."""
-    store = Store(i.spark, work_path(i.spark, "state"))
+    store = Store(i.spark, work_path(i.spark, "state"), BUCKETS)
     landing = i.write_documents()
     i.write_closing_document(landing, signals.LATENESS + timedelta(seconds=1))
-    ingest.start_ingest(i.spark, landing, store.root, work_path(i.spark, "offsets")).awaitTermination()
-    signals.start_signals(i.spark, store, work_path(i.spark, "signal-offsets"), buckets=SIGNAL_BUCKETS).awaitTermination()
+    ingest.start_ingest(i.spark, landing, store.root, work_path(i.spark, "offsets"), buckets=BUCKETS).awaitTermination()
+    signals.start_signals(i.spark, store, work_path(i.spark, "signal-offsets"), buckets=BUCKETS).awaitTermination()
     return store
 
 
