@@ -160,3 +160,23 @@ def test_the_scatter_shows_all_eligible_aircraft(spark):
     )
     assert positions.performance_scatter(live).count() == positions.performance_scatter(live, wide=True).count() == 3000
     assert positions.performance_scatter(live, limit=2000).count() == 2000
+
+
+def test_a_point_knows_its_reach_before_it_meets_cells(spark):
+    """Dense aircraft: the reach lies between the distance of the nearest and the width of a fine cell, so few pairs are left to move."""
+    spots = spark.range(10000).selectExpr("CAST(id % 100 AS DOUBLE) + 0.25D AS x", "CAST(id div 100 AS DOUBLE) + 0.25D AS y", "CAST(id AS STRING) AS icao24")
+    asked = spark.createDataFrame([(1, 50.0, 50.0), (1, 20.3, 70.0), (2, 5000.0, 50.0)], "point_id bigint, px double, py double")
+    for depth in (0, 1, 2):
+        reach = {(r.point_id, r.px): r.reach for r in nearest._reached(asked, spots, 16.0, depth).collect()}
+        assert reach[2, 5000.0] == 16.0
+        assert 0.35 < reach[1, 50.0] <= min(16.0, 16 / 4**depth * 2**0.5)
+    cells = {"cx": F.floor(F.col("px") / 16), "cy": F.floor(F.col("py") / 16)}
+    pairs = nearest._reached(asked.where("px < 100"), spots, 16.0, 2).withColumns(cells)
+    assert nearest._narrow(pairs, spots, 16.0, 1).count() <= 8
+
+
+def test_aircraft_at_one_pixel_beyond_the_projection_are_one(spark):
+    flights = spark.range(3000).selectExpr("lpad(hex(id), 6, '0') AS icao24", "86D + id / 1000D AS lat", "10D AS lon")
+    points = spark.createDataFrame([(5, 89.0, 10.0), (None, 89.0, 10.0), (6, 40.0, 10.0)], "point_id bigint, lat double, lon double")
+    got = nearest.nearest_aircraft(points, flights, zoom=3, crowd=8).collect()
+    assert [(r.point_id, r.icao24, r.distance_px) for r in got] == [(5, "000000", 0.0)]
