@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from skywake import constants as K
 from skywake.functions import geo, scalars as S
@@ -84,19 +86,60 @@ def region_table_membership(live: DataFrame, regions: DataFrame) -> DataFrame:
     return flying.join(cells, CELL).where(_in_bounds()).select("region", *live.columns)
 
 
+#: Strips of longitude that boxes and places meet in, at least; places of a strip and boxes of a group, about.
+STRIPS, PLACES, BOXES = 64, 250_000, 500_000
+
+
+def _counts_within(places: pa.Table, boxes: pa.Table) -> pa.Table:
+    """region and n of each box of a group: the aircraft of the group's places that lie in it.
+
+    Places stand in the order of longitude. A box is a stretch of them and a stretch of the ranks of latitudes; what of the one lies
+    below a rank is counted bit by bit of the rank, so a box costs the same however many places it holds.
+    """
+    lon, lat, n = (places[name].to_numpy() for name in ("lon", "lat", "n"))
+    order = np.argsort(lon, kind="stable")
+    lon, lat, n = lon[order], lat[order], n[order]
+    heights = np.unique(lat)
+    rank = np.searchsorted(heights, lat)
+    bound = {name: boxes[name].to_numpy() for name in ("south", "west", "north", "east")}
+    first, last = np.searchsorted(lon, bound["west"], "left"), np.searchsorted(lon, bound["east"], "right")
+    upto = [np.searchsorted(heights, bound["north"], "right"), np.searchsorted(heights, bound["south"], "left")]
+    ends = [(first.copy(), last.copy()) for _ in upto]
+    found = [np.zeros(len(first), np.int64) for _ in upto]
+    for bit in reversed(range(max(1, int(len(heights)).bit_length()))):
+        one = (rank >> bit) & 1
+        zeros = np.concatenate([[0], np.cumsum(1 - one)])
+        weight = np.concatenate([[0], np.cumsum(np.where(one == 0, n, 0))])
+        for k, (below, (lo, hi)) in enumerate(zip(upto, ends)):
+            high = ((below >> bit) & 1).astype(bool)
+            found[k] += np.where(high, weight[hi] - weight[lo], 0)
+            ends[k] = tuple(np.where(high, zeros[-1] + at - zeros[at], zeros[at]) for at in (lo, hi))
+        by_bit = np.argsort(one, kind="stable")
+        rank, n = rank[by_bit], n[by_bit]
+    return pa.table({"region": boxes["region"], "n": pa.array(found[0] - found[1], pa.int64())})
+
+
 def region_table_traffic(live: DataFrame, regions: DataFrame) -> DataFrame:
-    """Airborne aircraft in each region of a table, empty ones with zero, most first.
+    """Airborne aircraft in each region of a table, empty ones with zero, most first (an action).
 
-    Cells within a box meet the number of aircraft in the cell, so only at the edge of a box is there a row per box and place; aircraft
-    at one place are one.
+    Places are dealt to strips of longitude that hold about equally many, aircraft at one place are one. A box goes once to each
+    strip it touches, with its bounds alone, and is counted there, see ``_counts_within``. Boxes of a crowded strip are dealt to several
+    groups, each with the strip's places. Bounds of strips (some numbers a strip) are all that the driver sees.
     """
-    cells = covered(regions)
+    bounds = ["south", "west", "north", "east"]
+    boxes = regions.select("region", *(F.col(c).cast("double").alias(c) for c in bounds)).where("south <= north AND west <= east").distinct()
     places = airborne_positioned(live).groupBy("lat", "lon").agg(F.count("*").alias("n"))
-    placed = _in_cells(places, cells)
-    filled = placed.groupBy(*CELL).agg(F.sum("n").alias("n"))
-    within = cells.where("within").join(filled, CELL).groupBy("region").agg(F.sum("n").alias("n"))
-    edge = cells.where("NOT within").join(placed, CELL).where(_in_bounds()).groupBy("region").agg(F.sum("n").alias("n"))
-    counted = within.unionByName(edge).groupBy("region").agg(F.sum("n").alias("n"))
+    strips = max(STRIPS, -(-places.count() // PLACES))
+    cuts = sorted(set(places.approxQuantile("lon", [k / strips for k in range(1, strips)], 0.1 / strips)))
+    strip = lambda lon: F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda cut: cut <= lon))
+    touched = boxes.withColumn("strip", F.explode(F.sequence(strip(F.col("west")), strip(F.col("east")))))
+    parts = touched.groupBy("strip").agg(F.ceil(F.count("*") / F.lit(BOXES)).cast("int").alias("parts"))
+    dealt = touched.join(F.broadcast(parts), "strip").withColumn("part", F.pmod(F.xxhash64("region", *bounds), F.col("parts")).cast("int"))
+    placed = places.withColumn("strip", strip(F.col("lon"))).join(F.broadcast(parts), "strip")
+    met = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("strip", "part", "lat", "lon", "n")
+    sides = met.groupBy("strip", "part").cogroup(dealt.select("strip", "part", "region", *bounds).groupBy("strip", "part"))
+    counts = sides.applyInArrow(_counts_within, T.StructType([regions.schema["region"], T.StructField("n", T.LongType())]))
+    counted = counts.groupBy("region").agg(F.sum("n").alias("n"))
     every = regions.select("region").distinct().join(counted, "region", "left")
     return every.select("region", F.coalesce("n", F.lit(0)).alias("flight_count")).orderBy(F.desc("flight_count"), "region")
 

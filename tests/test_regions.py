@@ -94,3 +94,23 @@ def test_stretches_of_the_curve_cover_a_box(seed):
     area = (min(90, box[2]) - south) / 180 * (min(180, box[3]) - west) / 360
     assert covered < 3 * area + 0.01
     assert geo.z_ranges(10, 20, 5, 30) == []
+
+
+def test_counts_of_a_table_equal_brute_force_with_one_row_a_box_and_strip(spark, live_rows, monkeypatch):
+    """Boxes and places in several strips and groups; a box travels once to each strip it touches, not once a cell."""
+    rng = random.Random(5)
+    monkeypatch.setattr(regions, "STRIPS", 5)
+    monkeypatch.setattr(regions, "BOXES", 60)
+    spots = [(float(rng.randint(-20, 20)), float(rng.choice([*range(-40, 40), 7, 7, 7]))) for _ in range(400)]
+    live = live_rows([{"lat": lat, "lon": lon} for lat, lon in spots])
+    boxes = [(n % 290, *(float(v) for v in (s, w, s + rng.randint(-1, 9), w + rng.randint(-1, 60)))) for n in range(300) for s, w in [(rng.randint(-25, 20), rng.randint(-45, 40))]]
+    boxes += [boxes[7], (400, None, 0.0, 1.0, 1.0), (401, 0.0, 0.0, float("inf"), float("nan")), (None, 0.0, 0.0, 9.0, 9.0)]
+    table = spark.createDataFrame(boxes, "region bigint, south double, west double, north double, east double")
+    want: dict = {box[0]: 0 for box in boxes}
+    for region, south, west, north, east in set(boxes[:300]):
+        want[region] += sum(south <= lat <= north and west <= lon <= east for lat, lon in spots)
+    want[401] = sum(lat >= 0 and lon >= 0 for lat, lon in spots)
+    got = regions.region_table_traffic(live, table)
+    assert {r.region: r.flight_count for r in got.collect()} == want
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "FlatMapCoGroupsInArrow" in plan and "cx" not in plan
