@@ -13,7 +13,7 @@ from skywake.operators import activity, anomalies, ghosts, maintenance, nearest,
 from skywake.plans.inputs import Inputs
 from skywake.schemas import LIVE_COLUMNS, SKETCHES, STATE_COLUMNS
 from skywake.session import work_path
-from skywake.sources import large, snapshots as wire
+from skywake.sources import files, large, snapshots as wire
 from skywake.sources.tables import BatchLog, Store, in_view, read_history, write_by_place, write_history
 from skywake.streaming import ingest, signals
 
@@ -534,14 +534,23 @@ def performance_scatter_wide(i: Inputs) -> DataFrame:
 # Streaming
 
 
-#: Files of a batch where a query is to see several batches.
-BATCH_FILES = 2
+#: Files of a batch where a query is to see several batches, and most of such batches: what lands in one batch grows with the tables,
+#: since each batch goes through the whole live table.
+BATCH_FILES, BATCHES = 2, 4
 
 
-def _ingested(i: Inputs, max_files: int | None = None) -> Store:
-    """Run the ingestion stream over snapshot documents of the whole event table."""
+def _batch_files(spark: SparkSession, landing: str) -> int:
+    """Files of a batch such that all that lie in a folder come in several batches, however many files they are."""
+    landed = sum(not name.startswith(("_", ".")) for name in files.names(spark, landing))
+    return max(BATCH_FILES, -(-landed // BATCHES))
+
+
+def _ingested(i: Inputs, batches: bool = False) -> Store:
+    """Run the ingestion stream over snapshot documents of the whole event table, at once or in several batches."""
     store = Store(i.spark, work_path(i.spark, "state"), BUCKETS)
-    stream = ingest.start_ingest(i.spark, i.write_documents(), store.root, work_path(i.spark, "offsets"), max_files, buckets=BUCKETS)
+    landing = i.write_documents()
+    most = _batch_files(i.spark, landing) if batches else None
+    stream = ingest.start_ingest(i.spark, landing, store.root, work_path(i.spark, "offsets"), most, buckets=BUCKETS)
     stream.awaitTermination()
     return store
 
@@ -578,7 +587,7 @@ def stream_runs(i: Inputs) -> DataFrame:
 
 def _counted(i: Inputs) -> tuple[DataFrame, Column]:
     """The counts kept by the ingestion stream over several batches, and its last accepted snapshot."""
-    store = _ingested(i, BATCH_FILES)
+    store = _ingested(i, batches=True)
     good = store.run_log().where("status = 'success'")
     return store.current_counts(), good.agg(F.max("run_at")).scalar()
 
@@ -619,7 +628,9 @@ def history_hourly_sketch(i: Inputs) -> DataFrame:
     path = work_path(i.spark, "history")
     sketches = BatchLog(i.spark, work_path(i.spark, "sketches"), SKETCHES)
     offsets = work_path(i.spark, "offsets")
-    ingest.start_history(i.spark, i.write_documents(), path, offsets, BATCH_FILES, keep=None, sketches=sketches).awaitTermination()
+    landing = i.write_documents()
+    most = _batch_files(i.spark, landing)
+    ingest.start_history(i.spark, landing, path, offsets, most, keep=None, sketches=sketches).awaitTermination()
     exact = anomalies.history_hourly(read_history(i.spark, path))
     estimated = anomalies.merged_hourly(sketches.read()).withColumnRenamed("aircraft", "estimate")
     near = F.abs(F.col("estimate") - F.col("aircraft")) <= F.col("aircraft") * anomalies.SKETCH_ERROR

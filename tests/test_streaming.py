@@ -430,3 +430,24 @@ def test_hourly_stream_with_watermark(spark, tmp_path):
     batch = rows(anomalies.history_hourly(spark.read.parquet(str(source))), "hs", "aircraft")
     got = rows(spark.read.parquet(out), "hs", "aircraft")
     assert len(got) >= 2 and got == batch[: len(got)]  # the last hour stays open until the watermark passes it
+
+
+def test_batches_of_a_registered_query_do_not_grow_in_number_with_the_files(spark, tmp_path):
+    """Each batch goes through the whole live table, so many files come in larger batches, not in more of them."""
+    from types import SimpleNamespace
+
+    from skywake.plans import queries
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for number in range(12):
+        land(landing, number, [vector(f"b{number:02d}"), vector("all", altitude=1000.0 * number)], START + number)
+    (landing / "_SUCCESS").write_text("")
+    assert queries._batch_files(spark, str(landing)) == 3
+    assert queries._batch_files(spark, str(tmp_path / "none")) == queries.BATCH_FILES
+    fake = SimpleNamespace(spark=spark, write_documents=lambda: str(landing))
+    counts, last = queries._counted(fake)
+    got = {r.band: r.flight_count for r in maintenance.altitude_distribution(counts, last).collect()}
+    assert sum(got.values()) == 13
+    store = queries._ingested(fake, batches=True)
+    assert 1 < len(store.observed.batches()) <= queries.BATCHES
