@@ -5,7 +5,8 @@ the gram alone, so equal windows are always in one group. Neighbouring windows o
 
 1. Segments of a minimizer that occurs once have no equal. Of the others, equal segments are counted as one, in the map tasks already:
    all but the earliest are removed whole.
-2. What is left, different segments of one minimizer, is dealt to shards of about ``SHARD`` bytes. A shard is a collection of
+2. What is left, different segments of one minimizer, is dealt to shards of about ``SHARD`` bytes. Segments that agree with no other
+   of their minimizer on both sides of it, as far as windows would, go, see ``likely``. The others of a shard are a collection of
    short documents, and its Burrows-Wheeler transform is built column by column: each round inserts one more symbol of every
    segment, from the right. The transform and the common prefixes of neighbours lie in files that a round reads and writes
    in sequence, a column at a time. In the end, windows with a common prefix of ``length`` are neighbours, and all but the earliest are removed.
@@ -36,9 +37,11 @@ LENGTH, GRAM = 100, 40
 SHARD, SPLIT = 1 << 19, 1 << 22
 #: By how much grams grow from one level to the next, and the size of the table that counts them.
 LONGER, COUNTERS = 20, 1 << 18
-#: Bytes of a text that are looked at together; positions within fit 20 bits.
-PART = 1 << 19
+#: Bytes of a text that are looked at together; positions within fit 20 bits. Short texts are, up to what a processor's cache holds.
+PART, TOGETHER = 1 << 19, 1 << 16
 END = 0xFF  # no byte of UTF-8
+#: Ranges of where in a window its gram stands, by which segments are told apart that share none.
+SIDES = 3
 
 COUNTS = pa.schema([("mini", pa.int64()), ("n", pa.int64())])
 OCCURRENCES = pa.schema([("mini", pa.int64()), ("digest", pa.int64()), ("did", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
@@ -54,45 +57,69 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def grams(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """A hash of each run of `size` bytes, from hashes of halves."""
-    power = data.astype(np.uint64) + np.uint64(1 + 1000 * seed)
-    done, length, bit = None, 0, 1
-    while bit <= size:
-        if size & bit:
-            count = len(data) - (length + bit) + 1
-            done = power[:count] if done is None else _joined(done[:count], power[length : length + count])
-            length += bit
-        bit *= 2
-        if bit <= size:
-            count = len(data) - bit + 1
-            power = _joined(power[:count], power[bit // 2 : bit // 2 + count])
+    """A hash of each run of `size` bytes, from hashes of its first and last bytes, which overlap unless `size` is a power of two."""
+    wide = 8 if size >= 8 else 1
+    if len(data) < size:
+        return np.zeros(0, np.uint64)
+    done = np.lib.stride_tricks.as_strided(data, (len(data) - wide + 1, wide), (1, 1), writeable=False)
+    done = np.ascontiguousarray(done).view("<u8").ravel() if wide == 8 else data.astype(np.uint64)
+    done = done + np.uint64(1 + 1000 * seed)
+    while wide < size:
+        apart = min(wide, size - wide)
+        done = _joined(done[:-apart], done[apart:])
+        wide += apart
     done = (done ^ (done >> np.uint64(30))) * _B
     done = (done ^ (done >> np.uint64(27))) * _C
     return done ^ (done >> np.uint64(31))
 
 
-def minimizer_runs(data: bytes, length: int = LENGTH, gram: int = GRAM, seed: int = 0, ranks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Minimizers, starts and numbers of windows of the segments of `data`, part by part.
+def _parts(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Number, place and bytes of the parts of `texts` that have windows, several short ones at a time."""
+    held, total = [], 0
+    for number, data in enumerate(texts):
+        for begin in range(0, len(data) - length + 1, PART):
+            part = data[begin : begin + PART + length - 1]
+            if held and total + len(part) > TOGETHER:
+                yield held
+                held, total = [], 0
+            held.append((number, begin, part))
+            total += len(part)
+    if held:
+        yield held
+
+
+def minimizer_runs(
+    texts: list[bytes], length: int = LENGTH, gram: int = GRAM, seed: int = 0, ranks: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts, minimizers, starts and numbers of windows of the segments of `texts`, in order, part by part.
 
     Two equal windows never share a segment: a segment's windows see one gram at different places. With `ranks` (0 to 63, by the
     lowest bits of a gram's hash) a gram of lower rank comes first.
     """
     gram = min(gram, length)
-    wide = length - gram + 1
     low = np.uint64(20)
-    for begin in range(0, len(data) - length + 1, PART):
-        part = np.frombuffer(data, np.uint8, min(len(data) - begin, PART + length - 1), begin)
-        hashes = grams(part, gram, seed)
+    for held in _parts(texts, length):
+        numbers, begins, parts = zip(*held, strict=True)
+        ends = np.cumsum([len(part) for part in parts])
+        starts = np.append(0, ends[:-1])
+        hashes = grams(np.frombuffer(b"".join(parts), np.uint8), gram, seed)
         # the smallest gram of each window, the leftmost among equals
         order = hashes if ranks is None else (ranks[hashes & np.uint64(len(ranks) - 1)] << np.uint64(58)) | (hashes >> np.uint64(6))
-        keys = (order >> low << low) | np.arange(len(hashes), dtype=np.uint64)
-        full = np.concatenate([keys, np.full(-len(keys) % wide, ~np.uint64(0))]).reshape(-1, wide)
-        ahead = np.minimum.accumulate(full, axis=1).ravel()
-        behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-        n = len(part) - length + 1
-        where = (np.minimum(behind[:n], ahead[wide - 1 : wide - 1 + n]) & np.uint64((1 << 20) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        yield hashes[where[first]], first + begin, np.diff(np.append(first, n))
+        least = (order >> low << low) | np.arange(len(hashes), dtype=np.uint64)
+        seen, wide = 1, length - gram + 1
+        while seen < wide:
+            apart = min(seen, wide - seen)
+            least = np.minimum(least[:-apart], least[apart:])
+            seen += apart
+        where = (least & np.uint64((1 << 20) - 1)).astype(np.int64)
+        begin = np.append(True, where[1:] != where[:-1])
+        begin[starts] = True
+        for end in ends[:-1].tolist():  # what runs into the next text is no window
+            begin[end - length + 1 : end] = False
+        first = np.flatnonzero(begin)
+        text = np.searchsorted(starts, first, side="right") - 1
+        stops = np.minimum(np.append(first[1:], len(where)), ends[text] - length + 1)
+        yield np.array(numbers)[text], hashes[where[first]], first - starts[text] + np.array(begins)[text], stops - first
 
 
 class Files:
@@ -154,11 +181,16 @@ def transform(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             spot = np.concatenate(spots)  # of the new among the old suffixes that aren't empty
             sizes[1:] += np.bincount(first, minlength=256)
             at = spot + np.arange(len(spot))
-            joined = np.insert(rests, spot, places)
+            old = np.ones(len(rests) + len(spot), bool)
+            old[at] = False
+            joined = np.empty(len(old), np.int32)
+            joined[old], joined[at] = rests, places
             # prefixes change at a new suffix and behind it: one symbol and what the rests share
             behind = at[(np.append(at[1:], -1) != at + 1) & (at + 1 < len(joined))] + 1
-            touched = np.concatenate([at, behind])
-            touched = touched[~np.isin(touched, sizes.cumsum())]
+            changed = np.concatenate([at, behind])
+            heads = np.zeros(len(old) + 1, bool)  # the first suffix with a symbol shares nothing
+            heads[sizes.cumsum()] = True
+            touched = changed[~heads[changed]]
             low, high = joined[touched - 1] + 1, joined[touched] + 1
             least = prefixes[low]
             wide = np.flatnonzero(high - low > 1)
@@ -166,17 +198,14 @@ def transform(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
                 wide = wide[np.argsort(-low[wide])]  # from the right, so that no range between two is read
                 ends = np.column_stack([low[wide], high[wide]]).ravel()
                 least[wide] = np.minimum.reduceat(np.append(prefixes, np.uint8(0)), ends)[::2]
-            common = np.insert(prefixes[count:], spot, 0)
-            common[np.concatenate([at, behind])] = 0
-            common[touched] = least + 1
-            moved = np.zeros(len(symbols) + 1, np.int32)
-            np.add.at(moved, count + spot, 1)
-            joined += moved.cumsum(dtype=np.int32)[joined]
-            files.write(
-                np.concatenate([symbols[:count], np.insert(symbols[count:], spot, column[j, numbers])]),
-                np.concatenate([prefixes[:count], common]),
-                joined,
-            )
+            common, before = np.empty(count + len(old), np.uint8), np.empty(count + len(old), np.uint8)
+            common[:count], before[:count] = prefixes[:count], symbols[:count]
+            common[count:][old], before[count:][old] = prefixes[count:], symbols[count:]
+            common[count + changed], before[count + at] = 0, column[j, numbers]
+            common[count + touched] = least + 1
+            moved = np.arange(len(symbols), dtype=np.int32)  # where the old ones go
+            moved += np.repeat(np.arange(len(spot) + 1, dtype=np.int32), np.diff(np.concatenate([[0], count + spot, [len(symbols)]])))
+            files.write(before, common, moved.take(joined, mode="clip"))
             places = (count + at).astype(np.int32)
         state = files.read()
         files.close()
@@ -223,19 +252,39 @@ def repeated(rows: list[tuple[int, int, int, bytes]], length: int = LENGTH) -> l
     return [(*keys[number[i]], int(start[i]), int(start[k]) + length) for i, k in zip(first, last, strict=True)]
 
 
+def likely(minis: list[int], rows: list[tuple[int, int, int, bytes]], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, bytes]]:
+    """Those of `rows`, different segments with their minimizers `minis`, that may share a window with another.
+
+    Equal windows have their gram at the same place. By how much of a window lies before it, in `SIDES` ranges, they agree in the gram
+    and the least that lies before and behind it. A segment that agrees with no other in any of these has no equal window.
+    """
+    gram = min(gram, length)
+    cuts = [side * (length - gram + 1) // SIDES for side in range(SIDES + 1)]
+    hashes = grams(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), gram).view(np.int64)
+    ends = np.cumsum([len(r[3]) for r in rows])
+    starts = np.append(0, ends[:-1])
+    spots = np.flatnonzero(hashes == np.repeat(np.array(minis, np.int64), ends - starts)[: len(hashes)])
+    places = spots[np.searchsorted(spots, starts)] - starts  # the first gram is the minimizer
+    agree: dict[tuple, list[int]] = {}
+    for number, (place, (*_, body)) in enumerate(zip(places.tolist(), rows, strict=True)):
+        for side, (least, beyond) in enumerate(zip(cuts, cuts[1:])):
+            stop = place + length - beyond + 1
+            if least < beyond and place >= least and stop <= len(body):
+                agree.setdefault((minis[number], side, body[place - least : stop]), []).append(number)
+    shared = {number for held in agree.values() if len(held) > 1 for number in held}
+    return [row for number, row in enumerate(rows) if number in shared]
+
+
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
-            held = []
-            for did, tag, text in zip(part["did"], part["tag"], part["text"], strict=True):
-                data = text.encode()
-                for mini, start, n in minimizer_runs(data, length):
-                    stops = start + n + length - 1
-                    digests = [xxhash.xxh3_64_intdigest(data[i:k]) for i, k in zip(start.tolist(), stops.tolist(), strict=True)]
-                    size = len(mini)
-                    held.append((mini.astype(np.int64), np.array(digests, np.uint64).astype(np.int64), np.full(size, did), np.full(size, tag), start, n.astype(np.int32)))
-            if held:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=OCCURRENCES)
+            texts = [text.encode() for text in part["text"]]
+            did, tag = np.array(part["did"], np.int64), np.array(part["tag"], np.int64)
+            for number, mini, start, n in minimizer_runs(texts, length):
+                stops = start + n + length - 1
+                digests = [xxhash.xxh3_64_intdigest(texts[k][i:j]) for k, i, j in zip(number.tolist(), start.tolist(), stops.tolist(), strict=True)]
+                columns = mini.astype(np.int64), np.array(digests, np.uint64).astype(np.int64), did[number], tag[number], start, n.astype(np.int32)
+                yield pa.record_batch([pa.array(c) for c in columns], schema=OCCURRENCES)
 
     return docs.mapInArrow(run, "mini long, digest long, did long, tag long, start long, n int")
 
@@ -243,7 +292,7 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
 def _counted(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            held = [mini for text in part["text"] for mini, _, _ in minimizer_runs(text.encode(), length)]
+            held = [mini for _, mini, _, _ in minimizer_runs([text.encode() for text in part["text"]], length)]
             if held:
                 mini, n = np.unique(np.concatenate(held), return_counts=True)
                 yield pa.record_batch([pa.array(mini.astype(np.int64)), pa.array(n.astype(np.int64))], schema=COUNTS)
@@ -287,12 +336,11 @@ def _deeper(segments: DataFrame, length: int, level: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out = []
-            for mini, did, tag, start, body in zip(part["mini"], part["did"], part["tag"], part["start"], part["body"], strict=True):
-                for minis, starts, sizes in minimizer_runs(body, length, gram, level, shared.value):
-                    for m, i, n in zip(minis.tolist(), starts.tolist(), sizes.tolist(), strict=True):
-                        piece = body[i : i + n + length - 1]
-                        group = xxhash.xxh3_64_intdigest(m.to_bytes(8, "little"), mini & (1 << 64) - 1)
-                        out.append((group, xxhash.xxh3_64_intdigest(piece), did, tag, start + i, n, piece))
+            for number, minis, starts, sizes in minimizer_runs(part["body"], length, gram, level, shared.value):
+                for k, m, i, n in zip(number.tolist(), minis.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+                    piece = part["body"][k][i : i + n + length - 1]
+                    group = xxhash.xxh3_64_intdigest(m.to_bytes(8, "little"), part["mini"][k] & (1 << 64) - 1)
+                    out.append((group, xxhash.xxh3_64_intdigest(piece), part["did"][k], part["tag"][k], part["start"][k] + i, n, piece))
             if out:
                 columns = list(zip(*out, strict=True))
                 columns[:2] = [np.array(c, np.uint64).astype(np.int64) for c in columns[:2]]
@@ -354,12 +402,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, split: in
     spans = [written(spans, "spans")]
     forget(found)
 
-    def run(group: pa.Table) -> pa.Table:
-        columns = [group[c].to_pylist() for c in ("did", "tag", "start", "body")]
-        out = repeated(list(set(zip(*columns, strict=True))), length)  # documents that repeat bring a segment again
+    def found_in(group: pa.Table, first: bool) -> pa.Table:
+        columns = [group[c].to_pylist() for c in ("mini", "did", "tag", "start", "body")]
+        held = sorted(set(zip(*columns, strict=True)))  # documents that repeat bring a segment again
+        minis, rows = [h[0] for h in held], [h[1:] for h in held]
+        rows = likely(minis, rows, length) if first else rows  # at other levels the minimizer doesn't tell the gram
+        out = repeated(rows, length) if rows else []
         return pa.table([pa.array([o[i] for o in out], f.type) for i, f in enumerate(SPANS)], schema=SPANS)
 
-    for here, size, more in _levels(segments, length, split):
+    for level, (here, size, more) in enumerate(_levels(segments, length, split)):
+        run = (lambda group: found_in(group, False)) if level else (lambda group: found_in(group, True))
         dealt = here.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(max(1, -(-size // shard)))))
         spans += [*more, written(dealt.groupBy("shard").applyInArrow(run, "did long, tag long, start long, stop long"), "spans")]
     return reduce(DataFrame.unionByName, spans)

@@ -158,6 +158,42 @@ def test_a_passage_in_many_texts_is_dealt_to_small_groups(documents):
     assert sum(r.n_removed > 0 for r in held) > 10
 
 
+def test_segments_without_an_equal_window_are_left_out_and_no_others():
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    for length, size in ((suffixes.LENGTH, 40), (64, 40), (50, 40)):
+        rows = []
+        for _ in range(60):
+            passage = line(length + rng.randint(0, 30))
+            gram = passage[length // 2 - size // 2 :][:size]
+            rows += [(line(rng.randint(0, 80)) + passage[rng.randint(0, 9) :] + line(rng.randint(0, 80))).encode() for _ in range(rng.randint(1, 4))]
+            rows += [(line(length) + gram + line(length)).encode() for _ in range(2)]  # the gram alone is shared
+        held = {}
+        for number, mini, start, n in zip(*(np.concatenate(c).tolist() for c in zip(*suffixes.minimizer_runs(rows, length)))):
+            body = rows[number][start : start + n + length - 1]
+            held.setdefault(mini, {}).setdefault(body, (np.uint64(mini).astype(np.int64).item(), (number, 0, start, body)))
+        several = [entry for bodies in held.values() if len(bodies) > 1 for entry in bodies.values()]
+        whole = [row for _, row in several]
+        left = suffixes.likely([mini for mini, _ in several], whole, length)
+        windows = collections.Counter((mini, w) for mini, row in several for w in {row[3][i : i + length] for i in range(len(row[3]) - length + 1)})
+        need = [row for mini, row in several if any(windows[mini, row[3][i : i + length]] > 1 for i in range(len(row[3]) - length + 1))]
+        assert set(need) <= set(left) and (length != suffixes.LENGTH or 0 < len(left) < len(whole))
+        assert suffixes.repeated(left, length) == suffixes.repeated(whole, length)
+
+
+def test_windows_of_many_short_texts_are_looked_at_together(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abc", k=rng.choice([0, 99, 100, 101, 180, 700]))).encode() for _ in range(200)]
+    calls = []
+    grams = suffixes.grams
+    monkeypatch.setattr(suffixes, "grams", lambda data, *more: calls.append(len(data)) or grams(data, *more))
+    together = [np.concatenate(c) for c in zip(*suffixes.minimizer_runs(texts))]
+    assert len(calls) == 1
+    alone = [[np.full_like(found[0], k), *found[1:]] for k, text in enumerate(texts) for found in suffixes.minimizer_runs([text])]
+    assert all((a == np.concatenate(b)).all() for a, b in zip(together, zip(*alone)))
+    assert [sum(together[3][together[0] == k]) for k in range(len(texts))] == [max(0, len(t) - 99) for t in texts]
+
+
 def test_the_collection_transform_is_that_of_sorted_suffixes():
     rng = random.Random(3)
     for _ in range(30):
