@@ -68,6 +68,15 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def merging(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that is sorted and merged, however small it is.
+
+    Every side that Spark broadcasts takes a thread of the driver, whose stack and buffers stay for a minute. Loops over many small
+    tables had 128 of them at a time, as many as there can be.
+    """
+    return df.hint("merge")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[dict[str, list]]:
     """The batches in small slices, as lists by column."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skywake.llm.common import forget, written
+from skywake.llm.common import forget, merging, written
 
 
 def star(edges: DataFrame) -> DataFrame:
@@ -17,11 +17,11 @@ def star(edges: DataFrame) -> DataFrame:
     proper = edges.where("u <> v")
     both = proper.unionByName(proper.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(edges.where("u = v")).distinct()
+    large = both.where("v > u").join(merging(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(edges.where("u = v")).distinct()
     smaller = large.where("u <> v")
     base = smaller.groupBy("u").agg(F.min("v").alias("m"))
     handed = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-    small = smaller.join(base, "u").select(F.explode(handed).alias("e")).select("e.u", "e.v")
+    small = smaller.join(merging(base), "u").select(F.explode(handed).alias("e")).select("e.u", "e.v")
     return small.unionByName(large.where("u = v")).distinct()
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skywake.llm.common import forget, slices, table, written
+from skywake.llm.common import forget, merging, slices, table, written
 from skywake.llm.graph import components, star
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -168,7 +168,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.record_batch([pa.array([o[i] for o in out], f.type) for i, f in enumerate(BODIES)], schema=BODIES)
 
     keyed = wanted.select("num", "digest", F.col("doc_id").alias("of"))
-    both = docs.select("doc_id", "text").join(keyed, F.col("doc_id").eqNullSafe(F.col("of"))).select("num", "digest", "text")
+    both = docs.select("doc_id", "text").join(merging(keyed), F.col("doc_id").eqNullSafe(F.col("of"))).select("num", "digest", "text")
     # rows that repeat give the same body again
     return both.mapInArrow(run, "num long, body binary").groupBy("num").agg(F.first("body").alias("body"))
 
@@ -185,15 +185,15 @@ def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFra
             ]
             yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    one = pairs.join(bodies.select(F.col("num").alias("b"), F.col("body").alias("y")), "b")
-    both = one.join(bodies.select(F.col("num").alias("a"), F.col("body").alias("x")), "a").select("a", "b", "x", "y")
+    one = pairs.join(merging(bodies.select(F.col("num").alias("b"), F.col("body").alias("y"))), "b")
+    both = one.join(merging(bodies.select(F.col("num").alias("a"), F.col("body").alias("x"))), "a").select("a", "b", "x", "y")
     return both.mapInArrow(compare, "a long, b long")
 
 
 def _packed(members: DataFrame) -> DataFrame:
     """`members` (cluster, num, component, registers, body) in blocks of about `BLOCK` members or `BYTES` bytes of a cluster."""
     size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("body")) / BYTES)).alias("blocks"))
-    dealt = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")))
+    dealt = members.join(merging(size), "cluster").withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")))
     held = F.collect_list(F.struct("num", "component", "registers", "body"))
     return dealt.groupBy("cluster", "blocks", "block").agg(held.alias("held"))
 
@@ -234,7 +234,7 @@ def _compared(members: DataFrame, similarity: float) -> DataFrame:
     blocks = written(_packed(members), "blocks")
     cells = blocks.select("cluster", "block", F.col("held").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
     others = blocks.select("cluster", F.col("block").alias("other"), F.col("held").alias("y"))
-    return cells.join(others, ["cluster", "other"]).select("block", "other", "x", "y").mapInArrow(compare, "u long, v long")
+    return cells.join(merging(others), ["cluster", "other"]).select("block", "other", "x", "y").mapInArrow(compare, "u long, v long")
 
 
 def most_different(similarity: float) -> int:
@@ -252,9 +252,9 @@ def _open(entries: DataFrame, tree: DataFrame) -> DataFrame:
     Components come from one step of the tree, so members of one may be told apart still, which only costs comparisons.
     """
     labels = tree.groupBy(F.col("u").alias("num")).agg(F.min("v").alias("component"))
-    placed = entries.select(*ENTRY).join(labels, "num", "left").withColumn("component", F.coalesce("component", "num"))
+    placed = entries.select(*ENTRY).join(merging(labels), "num", "left").withColumn("component", F.coalesce("component", "num"))
     several = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
-    return placed.join(several, "band")
+    return placed.join(merging(several), "band")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
@@ -264,12 +264,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     held = written(one.withColumn("num", F.monotonically_increasing_id()), "classes")
     met = held.select("num", "low", "high", F.explode("bands").alias("band"))
     shared = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = written(met.join(shared, "band"), "entries")
+    sized = written(met.join(merging(shared), "band"), "entries")
     # the class that meets most others comes first: copies of one text meet it more than each other
     weight = sized.groupBy("num").agg((-F.sum("n")).alias("weight"))
-    entries = written(sized.join(weight, "num").select(*ENTRY), "entries")
+    entries = written(sized.join(merging(weight), "num").select(*ENTRY), "entries")
     forget(sized)
-    wanted = held.join(entries.select("num").distinct(), "num")
+    wanted = held.join(merging(entries.select("num").distinct()), "num")
     bodies = written(_bodies(docs, wanted, width), "bodies")
     tree, left = held.sparkSession.createDataFrame([], "u long, v long"), entries  # what is linked so far, what is left to compare
     for centres in STARS:
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
         chosen = left.withColumn("place", rank).where(F.col("place") <= centres).drop("place")
         pairs = (
             chosen.alias("c")
-            .join(left.alias("o"), (F.col("c.band") == F.col("o.band")) & (F.col("c.component") != F.col("o.component")))
+            .join(merging(left.alias("o")), (F.col("c.band") == F.col("o.band")) & (F.col("c.component") != F.col("o.component")))
             .where(F.struct("c.weight", "c.num") < F.struct("o.weight", "o.num"))
             .where(F.bit_count(F.col("c.low").bitwiseXOR(F.col("o.low"))) + F.bit_count(F.col("c.high").bitwiseXOR(F.col("o.high"))) <= most_different(similarity))
             .select(F.col("c.num").alias("a"), F.col("o.num").alias("b"))
@@ -287,19 +287,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
         linked = written(_verified(pairs, bodies, similarity).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
         tree = written(star(tree.unionByName(linked)), "tree")
         passed = chosen.groupBy("band").agg(F.max(F.struct("weight", "num")).alias("upto"))
-        left = left.join(passed, "band").where(F.struct("weight", "num") > F.col("upto")).select(*ENTRY)
+        left = left.join(merging(passed), "band").where(F.struct("weight", "num") > F.col("upto")).select(*ENTRY)
     rest = written(_open(left, tree), "entries")
     if not rest.isEmpty():
         first = rest.groupBy("band").agg(F.min("num").alias("b"))
-        clusters = components(rest.select("band", F.col("num").alias("a")).join(first, "band").select("a", "b")).select(F.col("node").alias("num"), F.col("component").alias("cluster"))
-        named = rest.groupBy("num").agg(F.min("component").alias("component")).join(clusters, "num")
-        members = named.join(held.select("num", "registers"), "num").join(bodies, "num")
+        clusters = components(rest.select("band", F.col("num").alias("a")).join(merging(first), "band").select("a", "b")).select(F.col("node").alias("num"), F.col("component").alias("cluster"))
+        named = rest.groupBy("num").agg(F.min("component").alias("component")).join(merging(clusters), "num")
+        members = named.join(merging(held.select("num", "registers")), "num").join(merging(bodies), "num")
         tree = tree.unionByName(written(_compared(members, similarity), "links"))
     parts = components(tree.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "num")
-    tagged = held.select("digest", "doc_id", "num").join(parts, "num", "left").withColumn("component", F.coalesce("component", "num"))
+    tagged = held.select("digest", "doc_id", "num").join(merging(parts), "num", "left").withColumn("component", F.coalesce("component", "num"))
     ids = tagged.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    named = tagged.join(ids, "component").select("digest", "class_id")
-    return marks.select("doc_id", "tag", "digest").join(named, "digest", "left").select(
+    named = tagged.join(merging(ids), "component").select("digest", "class_id")
+    return marks.select("doc_id", "tag", "digest").join(merging(named), "digest", "left").select(
         "doc_id", "tag", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("doc_id").eqNullSafe(F.coalesce("class_id", "doc_id")).alias("kept")
     )
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skywake.llm import gridjoin, neardup, suffixes, topk
-from skywake.llm.graph import components
+from skywake.llm.graph import components, star
 
 
 def _classes(count, pairs):
@@ -25,6 +25,15 @@ def _classes(count, pairs):
     return [top(k) for k in range(count)]
 
 
+def test_small_tables_in_loops_take_no_broadcast(llm, documents):
+    shown = lambda df: llm._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    edges = llm.createDataFrame([(2, 1), (3, 2), (3, 3)], "u long, v long")
+    found = neardup.near_duplicates(documents([(1, "one two three four five six"), (2, "one two three four five six"), (3, None)]))
+    for df in (star(edges), found):
+        df.collect()
+        assert "Broadcast" not in shown(df) and "SortMergeJoin" in shown(df)
+
+
 def test_components(llm):
     rng = random.Random(2)
     pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(k, k + 1) for k in range(200, 240)] + [(300, k) for k in range(301, 340)]
