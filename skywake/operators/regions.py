@@ -41,19 +41,21 @@ def region_counts(
 
 #: Cells that a box is covered with, at most; the size of the cells follows from that of the box.
 MOST_CELLS = 32
+#: Cells in which a box meets aircraft one by one, at most: each is a row that travels with the bounds, and finer ones only save tests.
+FEW_CELLS = 9
 
 
-def covered(regions: DataFrame) -> DataFrame:
+def covered(regions: DataFrame, most: int = MOST_CELLS) -> DataFrame:
     """The cells (level, cx, cy) of each box of a table (region, south, west, north, east), and whether a cell lies ``within`` it.
 
-    A box takes the smallest cells of which ``MOST_CELLS`` cover it, so a large one has large cells. Bounds are inclusive. A box with a
+    A box takes the smallest cells of which ``most`` cover it, so a large one has large cells. Bounds are inclusive. A box with a
     missing bound, or with its west behind its east, holds nothing; so one over the date line must be given as two. Rows that
     repeat are one region.
     """
     bounds = ["south", "west", "north", "east"]
     real = regions.select("region", *(F.col(c).cast("double").alias(c) for c in bounds)).where("south <= north AND west <= east").distinct()
     span = lambda low, high, level: geo.cell_of(F.col(high), level) - geo.cell_of(F.col(low), level) + 1
-    fits = lambda level: span("west", "east", level) * span("south", "north", level) <= MOST_CELLS
+    fits = lambda level: span("west", "east", level) * span("south", "north", level) <= most
     levels = F.sequence(F.lit(geo.FINEST_LEVEL), F.lit(0))
     sized = real.withColumn("level", F.get(F.filter(levels, fits), 0))
     ends = {name: geo.cell_of(F.col(bound), F.col("level")) for name, bound in (("x0", "west"), ("x1", "east"), ("y0", "south"), ("y1", "north"))}
@@ -81,7 +83,7 @@ def region_table_membership(live: DataFrame, regions: DataFrame) -> DataFrame:
 
     Aircraft and boxes meet by equal cells, then by the exact test, so any number of boxes may overlap. Spark splits a crowded cell.
     """
-    cells = covered(regions)
+    cells = covered(regions, FEW_CELLS)
     flying = _in_cells(airborne_positioned(live), cells)
     return flying.join(cells, CELL).where(_in_bounds()).select("region", *live.columns)
 

@@ -114,3 +114,14 @@ def test_counts_of_a_table_equal_brute_force_with_one_row_a_box_and_strip(spark,
     assert {r.region: r.flight_count for r in got.collect()} == want
     plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
     assert "FlatMapCoGroupsInArrow" in plan and "cx" not in plan
+
+
+def test_a_box_meets_aircraft_in_few_cells(spark, live_rows, monkeypatch):
+    rng = random.Random(8)
+    boxes = list(_boxes(rng, 200))
+    live = [{"lat": rng.uniform(-90, 90), "lon": rng.uniform(-180, 180), "icao24": f"{n:05d}", "on_ground": False} for n in range(100)]
+    found, covered = [], regions.covered
+    monkeypatch.setattr(regions, "covered", lambda *a: found.append(covered(*a)) or found[-1])
+    held = regions.region_table_membership(live_rows(live), spark.createDataFrame(boxes, BOX))
+    assert sorted((r.region, r.icao24) for r in held.collect()) == _expected(live, boxes)
+    assert found[0].groupBy("region").count().agg(F.max("count")).first()[0] <= 9
