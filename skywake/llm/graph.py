@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skywake.llm.common import forget, merging, written
 
+#: Edges that a task flattens at a time.
+EDGES = 1 << 18
+
 
 def star(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step: `edges` (u, v; v <= u) that connect the same nodes with flatter trees.
@@ -25,19 +31,55 @@ def star(edges: DataFrame) -> DataFrame:
     return small.unionByName(large.where("u = v")).distinct()
 
 
+def flattened(edges: DataFrame, parts: int) -> DataFrame:
+    """`edges` (u, v) dealt to `parts`: every node of a part with the smallest node that the part's edges connect it to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parent.setdefault(u, u)
+                parent.setdefault(v, v)
+                x, y = top(u), top(v)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        if parent:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip((list(parent), [top(x) for x in parent]), schema, strict=True)], schema=schema)
+
+    dealt = edges.select("u", "v")
+    dealt = dealt.coalesce(1) if parts <= 1 else dealt.repartition(parts, "u", "v")
+    return dealt.mapInArrow(run, dealt.schema)
+
+
+def flatter(edges: DataFrame, count: int) -> DataFrame:
+    """`count` `edges` (u, v; v <= u) with flatter trees: flat ones where a task holds all, else by parts and then a `star`."""
+    parts = -(-count // EDGES)
+    return flattened(edges, parts) if parts <= 1 else star(flattened(edges, parts))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) of every node in `edges` (a, b), which may hold loops and repeats."""
     down = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     known = None
     while known != (known := _mark(down)):
-        after = written(star(down), "edges")
+        after = written(flatter(down, known[0]), "edges")
         forget(down)
         down = after
+        if known[0] <= EDGES:  # flat
+            break
     return down.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
 def _mark(edges: DataFrame) -> tuple:
-    """Number and sums of the proper edges: equal when nothing changed."""
-    proper = edges.where("u <> v")
-    row = proper.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-    return tuple(row)
+    """Numbers of all and of the proper edges and sums of these: equal when nothing changed."""
+    proper = F.col("u") != F.col("v")
+    total = lambda *of: F.sum(F.when(proper, F.xxhash64(*of).cast("decimal(38,0)")))
+    return tuple(edges.agg(F.count(F.lit(1)), F.count_if(proper), total("u", "v"), total("v", "u")).first())

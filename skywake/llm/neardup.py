@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skywake.llm.common import forget, merging, slices, table, written
-from skywake.llm.graph import components, star
+from skywake.llm.graph import components, flatter
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -249,7 +249,7 @@ ENTRY = ["band", "num", "weight", "low", "high"]
 def _open(entries: DataFrame, tree: DataFrame) -> DataFrame:
     """`entries` with their component so far, of the buckets that hold several.
 
-    Components come from one step of the tree, so members of one may be told apart still, which only costs comparisons.
+    Of many links, components come from one step of the tree, so members of one may be told apart still, which only costs comparisons.
     """
     labels = tree.groupBy(F.col("u").alias("num")).agg(F.min("v").alias("component"))
     placed = entries.select(*ENTRY).join(merging(labels), "num", "left").withColumn("component", F.coalesce("component", "num"))
@@ -271,9 +271,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     forget(sized)
     wanted = held.join(merging(entries.select("num").distinct()), "num")
     bodies = written(_bodies(docs, wanted, width), "bodies")
-    tree, left = held.sparkSession.createDataFrame([], "u long, v long"), entries  # what is linked so far, what is left to compare
+    tree, left = None, entries.withColumn("component", F.col("num"))  # what is linked so far, what is left to compare
     for centres in STARS:
-        left = written(_open(left, tree), "entries")
+        left = left if tree is None else written(_open(left, tree), "entries")
         rank = F.row_number().over(Window.partitionBy("band").orderBy("weight", "num"))
         chosen = left.withColumn("place", rank).where(F.col("place") <= centres).drop("place")
         pairs = (
@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
             .distinct()
         )
         linked = written(_verified(pairs, bodies, similarity).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
-        tree = written(star(tree.unionByName(linked)), "tree")
+        edges = linked if tree is None else tree.unionByName(linked)
+        tree = written(flatter(edges, edges.count()), "tree")
         passed = chosen.groupBy("band").agg(F.max(F.struct("weight", "num")).alias("upto"))
         left = left.join(merging(passed), "band").where(F.struct("weight", "num") > F.col("upto")).select(*ENTRY)
     rest = written(_open(left, tree), "entries")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skywake.llm import gridjoin, neardup, suffixes, topk
+from skywake.llm import graph, gridjoin, neardup, suffixes, topk
 from skywake.llm.graph import components, star
 
 
@@ -43,6 +43,20 @@ def test_components(llm):
     assert components(llm.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_few_edges_are_flat_in_one_step_and_many_by_parts(llm, monkeypatch, kind):
+    steps, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: steps.append(label) or real(df, label))
+    name = int if kind == "long" else "n{:04d}".format
+    edges = [(name(k), name(k + 1)) for k in range(1000, 1060)] + [(name(2000), name(2000))]
+    expected = {name(k): name(1000) for k in range(1000, 1061)} | {name(2000): name(2000)}
+    for most, least, longest in ((1 << 18, 2, 2), (40, 3, 12)):
+        monkeypatch.setattr(graph, "EDGES", most)
+        steps.clear()
+        assert dict(components(llm.createDataFrame(edges, f"a {kind}, b {kind}")).collect()) == expected
+        assert least <= len(steps) <= longest
+
+
 def test_probability_jaccard():
     def plain(a, b):
         x, y = collections.Counter(a), collections.Counter(b)
