@@ -555,13 +555,22 @@ def _ingested(i: Inputs, batches: bool = False) -> Store:
     return store
 
 
+#: Vectors for which the keyed state of a larger table has one bucket.
+BUCKET_VECTORS = 25_000
+
+
+def _signal_buckets(store: Store) -> int:
+    """Buckets of the keyed state such that one holds little of a large table, as it is one call's work."""
+    return max(BUCKETS, min(signals.BUCKETS, store.observed.read().count() // BUCKET_VECTORS))
+
+
 def _signalled(i: Inputs) -> Store:
     """Run both streams, ingestion and what follows it."""
     store = Store(i.spark, work_path(i.spark, "state"), BUCKETS)
     landing = i.write_documents()
     i.write_closing_document(landing, signals.LATENESS + timedelta(seconds=1))
     ingest.start_ingest(i.spark, landing, store.root, work_path(i.spark, "offsets"), buckets=BUCKETS).awaitTermination()
-    signals.start_signals(i.spark, store, work_path(i.spark, "signal-offsets"), buckets=BUCKETS).awaitTermination()
+    signals.start_signals(i.spark, store, work_path(i.spark, "signal-offsets"), buckets=_signal_buckets(store)).awaitTermination()
     return store
 
 

@@ -20,7 +20,11 @@ NUMBER_POSITIONS = {
 TEXT_POSITIONS = (1, 2)
 GROUND_POSITION = 8
 VECTOR_LENGTH = 14
+#: Fields of a vector that are typed in one step.
+FIELDS_AT_ONCE = 3
 # A number as text: digits may be grouped by underscores, as the feed's consumers read them.
+LIST = r"^\s*\["
+DECIMAL = r"^-?[0-9]+(?:\.[0-9]+)?$"
 NUMBER = r"(?i)^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)\s*$"
 
 
@@ -46,25 +50,50 @@ def vector_texts(element: Column) -> Column:
     JSON tells 1, true, "1" and "true" apart, a text does not. So what a field's place makes of its kind is settled here: a
     boolean is a number where one is due, anything that is not false, zero or empty is true on the ground, and a callsign
     or country that is none of these is missing.
+
+    An element is parsed once, if it can be a list, and its texts are taken in one go. Fields are gone through one by one only in a
+    vector with a text that its kind may change.
     """
-    fields = F.try_variant_get(F.try_parse_json(element), "$", "array<variant>")
-
-    def text(field: Column, place: Column) -> Column:
-        kind, plain = F.schema_of_variant(field), F.try_variant_get(field, "$", "string")
-        boolean, nothing = kind == "BOOLEAN", kind == "VOID"
-        listed = kind.startswith("ARRAY") | kind.startswith("OBJECT")
-        number = ~(boolean | nothing | listed | (kind == "STRING"))
-        empty = nothing | (boolean & (plain == "false")) | ((kind == "STRING") & (plain == "")) | (number & (plain.try_cast("double") == 0))
-        empty = empty | (listed & F.to_json(field).isin("[]", "{}"))
+
+    def kind(parsed: Column, place: Column) -> Column:
+        return F.schema_of_variant(F.get(F.try_variant_get(parsed, "$", "array<variant>"), place))
+
+    def text(parsed: Column, plain: Column, place: Column) -> Column:
+        zero = F.when(plain.startswith("0") | plain.startswith("-0"), plain.try_cast("double") == 0)
+        empty = (
+            F.when(plain == "", F.lit(True))
+            .when(plain == "false", kind(parsed, place) == "BOOLEAN")
+            .when(plain.isin("[]", "{}") | F.coalesce(zero, F.lit(False)), kind(parsed, place) != "STRING")
+            .otherwise(F.lit(False))
+        )
+        number = F.when(kind(parsed, place) != "BOOLEAN", plain).when(plain == "true", "1").otherwise("0")
         return (
-            F.when(place == GROUND_POSITION, F.when(empty, "false").otherwise("true"))
-            .when(nothing, F.lit(None).cast("string"))
-            .when(place.isin(*NUMBER_POSITIONS.values()) & boolean, F.when(plain == "true", "1").otherwise("0"))
+            F.when(place == GROUND_POSITION, F.when(plain.isNull() | empty, "false").otherwise("true"))
+            .when(place.isin(*NUMBER_POSITIONS.values()) & plain.isin("true", "false"), number)
             .when(place.isin(*TEXT_POSITIONS) & empty, F.lit(None).cast("string"))
-            .otherwise(F.coalesce(plain, F.to_json(field)))
+            .otherwise(plain)
         )
 
-    return F.transform(fields, text)
+    def settled(parsed: Column, plains: Column) -> Column:
+        """Whether every field stays as it is."""
+        at = lambda place: F.get(plains, F.lit(place))
+        ground = at(GROUND_POSITION)
+        ground_kind = F.schema_of_variant(F.try_variant_get(parsed, f"$[{GROUND_POSITION}]", "variant"))
+        found = (ground == "true") | ((ground == "false") & (ground_kind == "BOOLEAN"))
+        for place in TEXT_POSITIONS:
+            found &= at(place).isNull() | (at(place).rlike("^[A-Z ]"))
+        for place in NUMBER_POSITIONS.values():
+            found &= at(place).isNull() | ~at(place).isin("true", "false")
+        return F.coalesce(found, F.lit(False))
+
+    def texts(parsed: Column, plains: Column) -> Column:
+        return F.when(settled(parsed, plains), plains).otherwise(F.transform(plains, lambda plain, place: text(parsed, plain, place)))
+
+    def fields(parsed: Column) -> Column:
+        plains = F.array(F.try_variant_get(parsed, "$", "array<string>"))
+        return F.get(F.transform(plains, lambda found: texts(parsed, found)), F.lit(0))
+
+    return F.get(F.transform(F.array(F.when(element.rlike(LIST), F.try_parse_json(element))), fields), F.lit(0))
 
 
 def scan_state_snapshots(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -101,8 +130,9 @@ def _truth(text: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    """The number a text stands for, else null."""
-    return F.when(text.rlike(NUMBER), F.replace(F.trim(text), F.lit("_"), F.lit("")).try_cast("double"))
+    """The number a text stands for, else null. Nearly all are plain decimals, which need no more than a cast."""
+    plain = F.when(text.rlike(DECIMAL), text.try_cast("double"))
+    return plain.when(text.rlike(NUMBER), F.replace(F.trim(text), F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def parse_states(vectors: DataFrame, vec: str = "vec") -> DataFrame:
@@ -121,9 +151,12 @@ def parse_states(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     }
     typed |= {name: _number(at(i)) for name, i in NUMBER_POSITIONS.items()}
     # Unpacking a struct fixes the typed fields as columns: a filter on the reason then reads them instead of
-    # parsing every text a second time below the projection.
-    row = F.struct(*[typed[name].alias(name) for name in STATE_COLUMNS])
-    rows = vectors.select("*", F.inline(F.array(row)))
+    # parsing every text a second time below the projection. Some fields at a time, as the JVM interprets a method
+    # of more than 8,000 bytes.
+    rows = vectors
+    for start in range(0, len(STATE_COLUMNS), FIELDS_AT_ONCE):
+        row = F.struct(*[typed[name].alias(name) for name in STATE_COLUMNS[start : start + FIELDS_AT_ONCE]])
+        rows = rows.select("*", F.inline(F.array(row)))
     unreadable = F.lit(False)
     for name, i in NUMBER_POSITIONS.items():
         unreadable = unreadable | (at(i).isNotNull() & F.col(name).isNull())

@@ -19,6 +19,7 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,11 +39,13 @@ SPREAD = 16
 
 SEEN = ["icao24", "time", "callsign", "origin_country", "flying", "low", "landed", "file", "position"]
 SIGNALS = "kind string, cycle bigint, icao24 string, callsign string, origin_country string, ghost_count bigint, low_alt_count bigint"
-#: A bucket's vectors (columns of SEEN), snapshots that wait, and the last one gone through.
-STATE = (
-    "icao24 array<string>, time array<bigint>, callsign array<string>, origin_country array<string>, flying array<boolean>, "
-    "low array<boolean>, landed array<bigint>, file array<bigint>, position array<int>, waiting array<bigint>, last bigint"
-)
+#: A bucket's vectors (columns of SEEN, as an Arrow stream), snapshots that wait, and the last one gone through.
+STATE = "rows binary, waiting array<bigint>, last bigint"
+HELD = pa.schema({
+    "icao24": pa.string(), "time": pa.int64(), "callsign": pa.string(), "origin_country": pa.string(), "flying": pa.bool_(), "low": pa.bool_(),
+    "landed": pa.int64(), "file": pa.int64(), "position": pa.int64(),
+})
+_NAMES = [field.split()[0] for field in SIGNALS.split(", ")]
 _GRACE, _MOST = int(K.GHOST_RUN_GRACE.total_seconds()), K.GHOST_MAX_MINUTES * 60
 _AGE, _KEEP = int(K.GHOST_AGE.total_seconds()), int(K.LIVE_RETENTION.total_seconds())
 
@@ -64,34 +67,66 @@ def bucketed(observed: DataFrame, buckets: int, lateness: timedelta) -> DataFram
     part = F.pmod(F.hash("file", "position"), F.lit(SPREAD)).alias("part")
     told = F.when(F.col("good"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(-1)))
     beats = timed.select("event_time", "good", part).dropDuplicates(["event_time", "good", "part"])
-    return rows.unionByName(beats.select(F.explode(told).alias("bucket"), "event_time", F.unix_seconds("event_time").alias("time")), allowMissingColumns=True)
+    # What a beat lacks is filled: a null would make floats of a task's numbers.
+    filled = {"flying": F.lit(False), "low": F.lit(False), "landed": F.lit(0).cast("bigint"), "file": F.lit(0).cast("bigint"), "position": F.lit(0)}
+    told_all = beats.select(F.explode(told).alias("bucket"), "event_time", F.unix_seconds("event_time").alias("time")).withColumns(filled)
+    return rows.unionByName(told_all, allowMissingColumns=True)
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+        stream.write_table(pa.Table.from_pandas(rows[SEEN], HELD, preserve_index=False))
+    return sink.getvalue().to_pybytes()
 
 
 def _held(state: GroupState) -> tuple[pd.DataFrame, list[int], int | None]:
     if not state.exists:
-        return pd.DataFrame({name: [] for name in SEEN}), [], None
-    *columns, waiting, last = state.get
-    return pd.DataFrame(dict(zip(SEEN, columns, strict=True))), list(waiting), last
+        return HELD.empty_table().to_pandas(), [], None
+    rows, waiting, last = state.get
+    return pa.ipc.open_stream(rows).read_pandas(), list(waiting), last
+
 
+def _in_order(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows by aircraft and time, that of the file landed last behind its equals, and whether the next one is of the same aircraft."""
+    aircraft = pd.factorize(rows["icao24"])[0]
+    order = np.lexsort([rows[name].to_numpy() for name in ("position", "file", "landed", "time")] + [aircraft])
+    aircraft = aircraft[order]
+    return rows.iloc[order], np.append(aircraft[1:] == aircraft[:-1], False)[: len(rows)]
 
-def _latest(rows: pd.DataFrame) -> pd.DataFrame:
-    """An aircraft's latest row, that of the file landed last among equals."""
-    return rows.sort_values(["time", "landed", "file", "position"]).drop_duplicates("icao24", keep="last")
 
+def _added(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """At each of `size` snapshots, how many of the stretches [start, end) hold it."""
+    real = start < end
+    return np.cumsum(np.bincount(start[real], minlength=size + 1) - np.bincount(end[real], minlength=size + 1))[:size]
 
-def _gone_through(cycle: int, before: int | None, seen: pd.DataFrame, first: bool) -> Iterator[dict]:
-    """What a bucket has to say of a snapshot. `before` is the one before it, `seen` the latest rows up to it, `first` a bucket that counts even nothing."""
-    age = cycle - seen["time"].to_numpy(np.int64)
-    flying, low = seen["flying"].to_numpy(bool), seen["low"].to_numpy(bool)
-    unseen = age > _GRACE
-    if before is not None:
-        unseen &= before - seen["time"].to_numpy(np.int64) <= _GRACE  # no alert before
-    for row in seen[flying & unseen & (age <= _MOST)].itertuples():
-        yield {"kind": "alert", "cycle": cycle, "icao24": row.icao24, "callsign": row.callsign, "origin_country": row.origin_country}
-    kept = age <= _KEEP
-    ghosts, lows = int((flying & kept & (age > _AGE)).sum()), int((low & kept).sum())
-    if ghosts or lows or first:
-        yield {"kind": "count", "cycle": cycle, "ghost_count": ghosts, "low_alt_count": lows}
+
+def _gone_through(ready: list[int], last: int | None, rows: pd.DataFrame, first: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """What a bucket has to say of snapshots in order, and the rows it still needs; `last` is the snapshot before them, `first` a bucket that
+    counts even nothing.
+
+    A row is its aircraft's latest one from the first snapshot not before it to the one that shows the next row. Its age at each of these
+    follows from their times, so it is looked at once, however many they are.
+    """
+    cycles, (rows, again) = np.array(ready, np.int64), _in_order(rows)
+    time, flying, low = rows["time"].to_numpy(), rows["flying"].to_numpy(bool), rows["low"].to_numpy(bool)
+    start = np.searchsorted(cycles, time)
+    end = np.where(again, np.append(start[1:], 0)[: len(rows)], len(cycles))
+    past = lambda age: np.searchsorted(cycles, time + age, side="right")  # noqa: E731  the first snapshot at which a row is older
+    kept = np.minimum(end, past(_KEEP))
+    ghosts = _added(len(cycles), np.maximum(start, past(_AGE))[flying], kept[flying])
+    lows = _added(len(cycles), start[low], kept[low])
+    lost = past(_GRACE)
+    found = flying & (start <= lost) & (lost < end)
+    found[found] &= cycles[lost[found]] - time[found] <= _MOST
+    if last is not None:
+        found &= (lost > 0) | (last - time <= _GRACE)  # no alert before
+    alerts = rows.loc[found, ["icao24", "callsign", "origin_country"]].assign(kind="alert", cycle=cycles[lost[found]])
+    told = (ghosts > 0) | (lows > 0) | first
+    counts = pd.DataFrame({"kind": "count", "cycle": cycles[told], "ghost_count": ghosts[told], "low_alt_count": lows[told]})
+    ahead = start == len(cycles)
+    current = (start < end) & (cycles[-1] - time <= _KEEP)
+    return pd.concat([alerts, counts]).reindex(columns=_NAMES), rows[ahead | current]
 
 
 def run_bucket(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -99,42 +134,25 @@ def run_bucket(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) ->
     if key[0] < 0:  # clock alone
         return
     rows, waiting, last = _held(state)
-    new = [part[SEEN + ["event_time"]] for part in parts] if not state.hasTimedOut else []
+    new = list(parts) if not state.hasTimedOut else []
     if new:
-        came = pd.concat(new)
-        vectors = came[came["icao24"].notna()]
-        waiting = sorted(set(waiting) | set(came["time"].astype("int64").tolist()))
-        rows = pd.concat([rows, vectors[SEEN]]) if len(rows) else vectors[SEEN]
+        waiting = sorted(set(waiting).union(*(part["time"].unique().tolist() for part in new)))
+        rows = pd.concat([rows, *(part.loc[part["icao24"].notna(), SEEN] for part in new)], ignore_index=True)
         rows = rows.astype({"time": "int64", "landed": "int64", "file": "int64", "position": "int64", "flying": "bool", "low": "bool"})
-        rows = rows.astype({"callsign": object, "origin_country": object}).where(rows.notna(), None)
     mark = state.getCurrentWatermarkMs()
     ready = [c for c in waiting if c * 1000 <= mark]
-    out: list[dict] = []
     if ready:
-        rows = rows.sort_values("time")
-        times = rows["time"].to_numpy(np.int64)
-        current, done = rows[:0], 0
-        for cycle in ready:
-            upto = int(np.searchsorted(times, cycle, side="right"))
-            current = _latest(pd.concat([current, rows[done:upto]]) if len(current) else rows[done:upto])
-            done = upto
-            out += _gone_through(cycle, last, current, key[0] == 0)
-            last = cycle
-        kept = current[last - current["time"].to_numpy(np.int64) <= _KEEP]
-        rows = pd.concat([kept, rows[done:]]) if len(kept) else rows[done:]
-        waiting = waiting[len(ready) :]
+        out, rows = _gone_through(ready, last, rows, key[0] == 0)
+        last, waiting = ready[-1], waiting[len(ready) :]
     if not len(rows) and not waiting:
         if state.exists:
             state.remove()
     else:
-        columns = [rows[name].tolist() for name in SEEN]
-        state.update((*columns, waiting, last))
+        state.update((_packed(rows), waiting, last))
         if waiting:
             state.setTimeoutTimestamp(waiting[0] * 1000 - 1)  # a timer rings when the watermark is past it
-    if out:
-        names = [field.split()[0] for field in SIGNALS.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        yield frame.astype({"ghost_count": "Int64", "low_alt_count": "Int64"})
+    if ready and len(out):
+        yield out.astype({"ghost_count": "Int64", "low_alt_count": "Int64"})
 
 
 def signals(observed: DataFrame, buckets: int = BUCKETS, lateness: timedelta = LATENESS) -> DataFrame:

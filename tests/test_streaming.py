@@ -3,8 +3,10 @@
 import json
 import os
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -451,3 +453,78 @@ def test_batches_of_a_registered_query_do_not_grow_in_number_with_the_files(spar
     assert sum(got.values()) == 13
     store = queries._ingested(fake, batches=True)
     assert 1 < len(store.observed.batches()) <= queries.BATCHES
+
+
+class Held:
+    """The state of a bucket, as Spark gives it to `run_bucket`."""
+
+    def __init__(self):
+        self.row, self.mark, self.hasTimedOut = None, 0, False
+
+    exists = property(lambda self: self.row is not None)
+    get = property(lambda self: self.row)
+    getCurrentWatermarkMs = lambda self: self.mark
+    setTimeoutTimestamp = lambda self, at: None
+
+    def update(self, row):
+        self.row = row
+
+    def remove(self):
+        self.row = None
+
+
+def _bucket(vectors, cycles, marks):
+    """The signals of a bucket that is told of vectors and cycles, then of one watermark after the other."""
+    beats = [(None, c, None, None, False, False, 0, 0, 0) for c in cycles]
+    came, state, found = pd.DataFrame(vectors + beats, columns=signals.SEEN), Held(), []
+    for mark in [0, *marks]:
+        state.mark = mark * 1000
+        found += list(signals.run_bucket((0,), iter([] if state.hasTimedOut else [came]), state))
+        state.hasTimedOut = True
+    return pd.concat(found), state
+
+
+def test_a_bucket_goes_through_its_rows_once_however_many_snapshots_wait():
+    rng = random.Random(3)
+    cycles = [START + n * 180 for n in range(2000)]
+    seen_at = [(f"{a:05x}", cycles[k]) for a in range(3000) for k in rng.sample(range(2000), 3)]
+    vectors = [(icao, at, None, "Spain", rng.random() < 0.8, rng.random() < 0.5, at, 1, n) for n, (icao, at) in enumerate(seen_at)]
+    clock = time.process_time()
+    found, _ = _bucket(vectors, cycles, [cycles[-1]])
+    assert time.process_time() - clock < 5
+    counts = found[found["kind"] == "count"].set_index("cycle")
+    assert len(counts) == len(cycles)
+    last = counts.loc[cycles[-1]]
+    latest = {}
+    for row in sorted(vectors, key=lambda row: row[1]):
+        latest[row[0]] = row
+    seen = [row for row in latest.values() if cycles[-1] - row[1] <= signals._KEEP]
+    assert last["ghost_count"] == sum(row[4] and cycles[-1] - row[1] > signals._AGE for row in seen)
+    assert last["low_alt_count"] == sum(row[5] for row in seen)
+
+
+def test_what_a_bucket_says_does_not_depend_on_where_the_watermark_stops():
+    rng = random.Random(4)
+    cycles = sorted(rng.sample(range(START, START + 20_000), 60))
+    vectors = [(f"a{rng.randrange(12)}", time, None, None, rng.random() < 0.8, rng.random() < 0.5, rng.randrange(3), rng.randrange(3), n) for n, time in enumerate(cycles * 4)]
+    whole, held = _bucket(vectors, cycles, [cycles[-1]])
+    parts, kept = _bucket(vectors, cycles, [cycles[7], cycles[8] - 1, cycles[8], cycles[40], cycles[-1]])
+    told = lambda frame: sorted(map(str, frame.astype(object).where(frame.notna(), None).itertuples(index=False)))
+    assert told(whole) == told(parts)
+    assert {"alert", "count"} == set(whole["kind"])
+    ends = [signals._held(state) for state in (held, kept)]
+    assert sorted(map(tuple, ends[0][0].astype(object).to_numpy().tolist()), key=str) == sorted(map(tuple, ends[1][0].astype(object).to_numpy().tolist()), key=str)
+    assert ends[0][1:] == ends[1][1:] == ([], cycles[-1])
+
+
+def test_buckets_of_the_keyed_state_grow_with_its_vectors(spark, tmp_path, monkeypatch):
+    from skywake.plans import queries
+
+    store = Store(spark, str(tmp_path / "store"), BUCKETS)
+    assert queries._signal_buckets(store) == queries.BUCKETS
+    log = spark.createDataFrame([("a",)] * 200, "icao24 string")
+    store.observed.write(0, log.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in store.observed.schema)))
+    monkeypatch.setattr(queries, "BUCKET_VECTORS", 2)
+    assert queries._signal_buckets(store) == 100
+    monkeypatch.setattr(queries, "BUCKET_VECTORS", 1 / 8)
+    assert queries._signal_buckets(store) == signals.BUCKETS

@@ -139,3 +139,21 @@ def test_typed_rows_follow_the_same_rule(spark, live_rows):
 def test_other_columns_stay(spark, tmp_path):
     parsed = wire.parse_states(scan(spark, tmp_path, [vector()]).withColumn("feed", F.lit("x")))
     assert {"time", "file", "position", "feed"} <= set(parsed.columns)
+
+
+def test_a_text_that_its_kind_may_change_is_told_apart_in_any_vector(spark):
+    """Vectors whose fields all stay as they are take a shorter way than others; both give the same texts."""
+    plain = ["a1", "BA1", "Spain", None, None, "1.5", 2, 3, False, "4.0", 5, 6, None, 7]
+    odd = {1: ["", 0, "0", -0.0, "-0", False, "false", [], {}, "[]", "lh1"], 2: [False, "false", "x"], 8: [True, "true", "false", 0, "0", None, "", [], [0]], 9: [True, "true", "false", False]}
+    vectors = [plain] + [plain[:place] + [value] + plain[place + 1 :] for place, values in odd.items() for value in values]
+    frame = spark.createDataFrame([(n, json.dumps(v)) for n, v in enumerate(vectors)], "n int, e string")
+    texts = [row.vec for row in frame.select("n", wire.vector_texts(F.col("e")).alias("vec")).orderBy("n").collect()]
+    as_text = [None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in plain]
+    assert texts[0] == as_text
+    expected = {
+        1: [None, None, "0", None, "-0", None, "false", None, None, "[]", "lh1"], 2: [None, "false", "x"],
+        8: ["true", "true", "true", "false", "true", "false", "false", "false", "true"], 9: ["1", "true", "false", "0"],
+    }
+    found = [(place, value) for place, values in expected.items() for value in values]
+    for (place, value), text in zip(found, texts[1:], strict=True):
+        assert text == as_text[:place] + [value] + as_text[place + 1 :]
